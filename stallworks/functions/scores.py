@@ -42,7 +42,7 @@ def discovery_label_score(text: Column | str) -> Column:
 
     def score(label: Column) -> Column:
         total = points(
-            (label.isin(rules.DISCOVERY_LABELS), 140),
+            (T.is_one_of(label, rules.DISCOVERY_LABELS), 140),
             (label.contains("participating"), 55),
             (label.contains("directory"), 40),
             *[(label.contains(word), 25) for word in rules.DISCOVERY_WORDS],
@@ -200,8 +200,11 @@ def company_name_score(name: Column, website_url: Column, weight: Column) -> Col
     return F.when(~rejected, total)
 
 
-def plausible_website(url: Column | str, profile_url: Column | None = None, brands: Column | None = None) -> Column:
-    """Can this be a company's own website?"""
+def plausible_website(url: Column | str, profile_url: Column | None = None, branded: Column | None = None) -> Column:
+    """Can this be a company's own website?
+
+    ``branded``: does one of the names known for it match?  NULL where none is known.
+    """
 
     def judged(u: Column) -> Column:
         host = U.host_key(u)
@@ -215,10 +218,9 @@ def plausible_website(url: Column | str, profile_url: Column | None = None, bran
         )
         if profile_url is not None:
             good = good & ~U.same_site(u, profile_url)
-        if brands is not None:
-            branded = F.exists(brands, lambda b: brand_match(b, u))
+        if branded is not None:
             service = host.rlike("^(?:" + T.pattern_of(rules.NON_BRAND_HOST_PREFIXES) + ")")
-            good = good & ((F.size(brands) == 0) | branded | ~service)
+            good = good & (F.coalesce(branded, F.lit(True)) | ~service)
         return good
 
     return F.coalesce(let(U.normalize_http_url(url), judged), F.lit(False))

@@ -117,9 +117,7 @@ def is_companyish(text: Column | str) -> Column:
         return (
             F.length(name).between(2, 140)
             & name.rlike("[A-Za-z]")
-            & ~lowered.isin(rules.GENERIC_LINK_TEXTS)
-            & ~lowered.isin(rules.PROFILE_LABELS)
-            & ~lowered.isin(rules.PAGINATION_TEXTS)
+            & ~is_one_of(lowered, rules.GENERIC_LINK_TEXTS + rules.PROFILE_LABELS + rules.PAGINATION_TEXTS)
             & ~lowered.rlike(r"^page \d+$")
             & (F.size(words(name)) <= 20)
             & ((letters >= 2) | code)
@@ -169,7 +167,7 @@ def is_generic_directory_label(text: Column | str) -> Column:
     return let(
         canonical_label(text),
         lambda label: (label == "")
-        | label.isin(rules.DIRECTORY_LABELS)
+        | is_one_of(label, rules.DIRECTORY_LABELS)
         | (label.contains("directory") & label.rlike(any_of(rules.DIRECTORY_LABEL_WORDS))),
     )
 
@@ -186,7 +184,7 @@ def is_richtext_company_line(text: Column | str) -> Column:
 def brand_tokens(text: Column | str) -> Column:
     return F.filter(
         words(canonical_label(clean_company_name(text))),
-        lambda t: (F.length(t) >= 3) & ~t.isin(rules.DOMAIN_STOPWORDS) & ~t.rlike(r"^\d+$"),
+        lambda t: (F.length(t) >= 3) & ~is_one_of(t, rules.DOMAIN_STOPWORDS) & ~t.rlike(r"^\d+$"),
     )
 
 
@@ -206,7 +204,7 @@ def acronym_of(tokens: Column) -> Column:
 def brand_key(text: Column | str) -> Column:
     """Name tokens in one string, without site words and trailing regions."""
     label = canonical_label(clean_company_name(text))
-    kept = F.array_join(F.filter(words(label), lambda t: ~t.isin(rules.SITE_WORDS)), " ")
+    kept = F.array_join(F.filter(words(label), lambda t: ~is_one_of(t, rules.SITE_WORDS)), " ")
     bare = F.regexp_replace(kept, "(?:(?:^| )" + any_of(rules.REGION_WORDS) + ")+$", "")
     return F.replace(bare, F.lit(" "))
 
@@ -279,7 +277,7 @@ def region_abbr(text: Column | str) -> Column:
     return let(
         canonical_label(text),
         lambda label: F.when(
-            F.upper(F.replace(label, F.lit(" "))).isin(known), F.upper(F.replace(label, F.lit(" ")))
+            is_one_of(F.upper(F.replace(label, F.lit(" "))), known), F.upper(F.replace(label, F.lit(" ")))
         ).otherwise(F.coalesce(F.try_element_at(region_map(), label), F.lit(""))),
     )
 
@@ -399,6 +397,11 @@ def display_text(text: Column, title: Column, label: Column) -> Column:
     return F.coalesce(*parts, F.lit(""))
 
 
+def is_one_of(text: Column, words_: list[str]) -> Column:
+    """Membership in a word list, as one pattern: one node in the plan instead of one per word."""
+    return text.rlike(r"^(?:" + pattern_of(words_) + r")\z")
+
+
 def contains_any(text: Column, markers: list[str]) -> Column:
     return text.rlike(any_of(markers))
 

@@ -105,7 +105,7 @@ def is_social_url(url: Column | str) -> Column:
 
 def is_page_param(key: Column | str) -> Column:
     name = F.replace(F.lower(F.trim(F.regexp_replace(_col(key), r"(?U)\s+", " "))), F.lit(" "), F.lit("_"))
-    return name.isin(rules.PAGE_PARAMS) | name.endswith("_page") | name.endswith("_page_num")
+    return name.rlike("^(?:" + "|".join(rules.PAGE_PARAMS) + r")\z|_page(?:_num)?\z")
 
 
 def _decode(part: Column) -> Column:
@@ -137,7 +137,7 @@ def path_segments(url: Column | str) -> Column:
 def url_group(url: Column | str) -> Column:
     """Shape of a URL: what profile links of one directory have in common."""
     url = _col(url)
-    id_keys = F.filter(F.transform(query_pairs(url), lambda p: F.lower(p["key"])), lambda k: k.isin(rules.ID_KEYS))
+    id_keys = F.filter(F.transform(query_pairs(url), lambda p: F.lower(p["key"])), lambda k: k.rlike("^(?:" + "|".join(rules.ID_KEYS) + r")\z"))
 
     def by_path(lowered: Column) -> Column:
         return let(

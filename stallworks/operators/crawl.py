@@ -18,9 +18,22 @@ from stallworks.sources import pages as P, signals as G
 PAGE_LIST = ["seed_url", "directory_page", "page_url"]
 
 
-def page_rows(page_list: DataFrame, signals: DataFrame) -> DataFrame:
-    """Signals of the listed pages, with their seed and page number."""
-    return page_list.join(signals.withColumnRenamed("url", "page_url"), "page_url").withColumnRenamed("page_url", "url")
+def listing_key(url: Column | str) -> Column:
+    """What all pages of one listing share, however they are numbered."""
+    series = U.page_series(url)
+    return F.to_json(
+        F.struct(series["host"], F.regexp_replace(series["path"], r"(?:/page/\{page\})?/*$", "").alias("path"), series["params"])
+    )
+
+
+def page_rows(seeds: DataFrame, signals: DataFrame) -> DataFrame:
+    """Signals of all pages that may belong to the listing of a seed: one equi join.
+
+    Every way of numbering pages stays inside this table, so each page is
+    analysed once, whatever steps ask for it later.
+    """
+    keyed = seeds.select("seed_url", listing_key("seed_url").alias("listing"))
+    return keyed.join(signals.withColumn("listing", listing_key("url")), "listing").drop("listing")
 
 
 # --- from the asked address to the directory itself --------------------------
@@ -201,10 +214,10 @@ def page_url(param: Column, number: Column) -> Column:
     )
 
 
-def entries_of(page_list: DataFrame, signals: DataFrame, strategies: DataFrame) -> DataFrame:
+def entries_of(page_list: DataFrame, candidates: DataFrame, strategies: DataFrame) -> DataFrame:
     """Entries that the chosen strategy of each seed finds on the listed pages."""
-    candidates = listing.listing_candidates(page_rows(page_list, signals))
-    return listing.matching_entries(candidates, strategies).withColumnRenamed("url", "profile_url")
+    listed = page_list.join(candidates, ["seed_url", "page_url"])
+    return listing.matching_entries(listed, strategies).withColumnRenamed("url", "profile_url")
 
 
 def _range_end(total: Column) -> tuple[Column, Column]:
@@ -213,7 +226,8 @@ def _range_end(total: Column) -> tuple[Column, Column]:
 
 
 def explicit_pages(
-    seeds: DataFrame, pages: DataFrame, signals: DataFrame, strategies: DataFrame, seed_entries: DataFrame
+    seeds: DataFrame, pages: DataFrame, known: DataFrame, candidates: DataFrame, strategies: DataFrame,
+    seed_entries: DataFrame,
 ) -> DataFrame:
     """Page lists of seeds that state their total: by the first pattern whose page 2 lists other companies.
 
@@ -224,7 +238,7 @@ def explicit_pages(
     patterns = page_url_patterns(stated).withColumn("page_url", page_url(F.col("param"), F.lit(2)))
     # every pattern is probed as a seed of its own, so that one pass serves all
     probes = patterns.select("seed_url", F.col("priority").alias("directory_page"), "page_url")
-    found = entries_of(probes, signals, strategies).select(
+    found = entries_of(probes, candidates, strategies).select(
         F.struct("seed_url", F.col("directory_page").alias("priority")).alias("probe"), "profile_url"
     )
     tried = found.select("probe").distinct()
@@ -240,15 +254,27 @@ def explicit_pages(
         .filter(start <= end)
         .select("seed_url", "param", F.explode(F.sequence(start.cast("bigint"), end.cast("bigint"))).alias("directory_page"))
     )
-    return numbered.select("seed_url", "directory_page", page_url(F.col("param"), F.col("directory_page")).alias("page_url"))
+    addressed = numbered.select(
+        "seed_url", "directory_page", page_url(F.col("param"), F.col("directory_page")).alias("page_url")
+    )
+    return first_page_is_seed(addressed, known)
 
 
-def query_probe_pages(seeds: DataFrame, params: DataFrame, known: DataFrame, max_pages: int = rules.MAX_PAGES) -> DataFrame:
-    """Numbered pages of seeds with a page parameter, whether the snapshot holds them or not.
+def first_page_is_seed(page_list: DataFrame, known: DataFrame) -> DataFrame:
+    """The page with the seed's own number is the seed; so is page 1 of a seed without
+    number, where the snapshot has no other first page."""
+    held = known.select(F.col("url").alias("page_url"), F.lit(True).alias("held"))
+    is_seed = (U.page_number("seed_url") == F.col("directory_page")) | (
+        (F.col("directory_page") == 1) & F.col("held").isNull() & U.page_number("seed_url").isNull()
+    )
+    return page_list.join(held, "page_url", "left").select(
+        "seed_url", "directory_page",
+        F.when(F.coalesce(is_seed, F.lit(False)), F.col("seed_url")).otherwise(F.col("page_url")).alias("page_url"),
+    )
 
-    The first page is the seed itself where its own number says so or where the
-    snapshot has no other first page.
-    """
+
+def query_probe_pages(seeds: DataFrame, params: DataFrame, known: DataFrame, max_pages: int = rules.MAX_PAGES) -> DataFrame:
+    """Numbered pages of seeds with a page parameter, whether the snapshot holds them or not."""
     start = F.greatest(F.coalesce("start_page", F.lit(1)), F.lit(1)).cast("bigint")
     end = F.coalesce("end_page", F.lit(max_pages)).cast("bigint")
     rows = (
@@ -257,19 +283,11 @@ def query_probe_pages(seeds: DataFrame, params: DataFrame, known: DataFrame, max
         .select("seed_url", "param", F.explode(F.sequence(start, end)).alias("directory_page"))
         .withColumn("page_url", U.query_page_url("seed_url", F.col("param"), F.col("directory_page")))
     )
-    held = known.select(F.col("url").alias("page_url"), F.lit(True).alias("held"))
-    is_seed = (U.page_number("seed_url") == F.col("directory_page")) | (
-        (F.col("directory_page") == 1) & F.col("held").isNull() & U.page_number("seed_url").isNull()
-    )
-    return rows.join(held, "page_url", "left").select(
-        "seed_url", "directory_page",
-        F.when(F.coalesce(is_seed, F.lit(False)), F.col("seed_url")).otherwise(F.col("page_url")).alias("page_url"),
-    )
+    return first_page_is_seed(rows.select("seed_url", "directory_page", "page_url"), known)
 
 
-def query_probe(page_list: DataFrame, signals: DataFrame, strategies: DataFrame) -> DataFrame:
+def query_probe(page_list: DataFrame, entries: DataFrame) -> DataFrame:
     """Entries of numbered pages up to the second page in a row without news."""
-    entries = entries_of(page_list, signals, strategies)
     every_page = page_list.select("seed_url", "directory_page", "page_url").join(
         entries.drop("page_url"), ["seed_url", "directory_page"], "left"
     )
@@ -352,8 +370,12 @@ def paginator_pages(
         .withColumn("url", F.col("seed_url"))
     )
     # one config at a time is a "seed" of the matching step: its pages carry distinct numbers
+    numbers = rows.select("seed_url", F.col("answer").alias("page_url"), F.struct("config", "directory_page").alias("directory_page"))
+    scanned_rows = rows.drop("config", "directory_page").dropDuplicates(["answer"])
+    # one row of signals per answer; its address is the seed's, its name the answer's
+    candidates = listing.listing_candidates(scanned_rows.withColumn("url", F.col("seed_url")), page=F.col("answer"))
     found = listing.matching_entries(
-        listing.listing_candidates(rows.withColumn("directory_page", F.struct("config", "directory_page"))), strategies
+        numbers.join(candidates, ["seed_url", "page_url"]), strategies
     ).withColumnRenamed("url", "profile_url")
     found = found.select(
         "seed_url", "page_url", "source_kind", "rank", "name", "profile_url", "first_ord",

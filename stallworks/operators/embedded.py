@@ -8,6 +8,7 @@ from stallworks import rules
 from stallworks.functions import scores as S, text as T, url as U
 from stallworks.functions.binding import let
 from stallworks.operators.entries import entry_key, first_per_key, number_rows
+from stallworks.session import cut_lineage
 
 
 def _first(leaves: Column, keep, value) -> Column:
@@ -21,17 +22,17 @@ def candidate_fields(rows: DataFrame, seed: str = "url") -> DataFrame:
     last = lambda leaf: F.element_at(leaf["path"], -1)
     name = _first(
         F.col("leaves"),
-        lambda l: last(l).isin(rules.NAME_KEYS) & T.is_companyish(l["value"]),
+        lambda l: T.is_one_of(last(l), rules.NAME_KEYS) & T.is_companyish(l["value"]),
         lambda l: T.normalize_text(l["value"]),
     )
     profile = _first(
         F.col("leaves"),
-        lambda l: last(l).isin(rules.PROFILE_URL_KEYS),
+        lambda l: T.is_one_of(last(l), rules.PROFILE_URL_KEYS),
         lambda l: let(U.resolve_url(seed_col, l["value"]), lambda u: F.when(U.same_site(u, seed_col), u)),
     )
     website = _first(
         F.col("leaves"),
-        lambda l: last(l).isin(rules.WEBSITE_KEYS) | F.exists(l["path"], lambda p: p.contains("website")),
+        lambda l: T.is_one_of(last(l), rules.WEBSITE_KEYS) | F.exists(l["path"], lambda p: p.contains("website")),
         lambda l: let(U.resolve_url(seed_col, l["value"]), lambda u: F.when(S.plausible_website(u, seed_col), u)),
     )
     return rows.withColumns({"company_name": name, "profile_url": profile, "website_url_hint": website})
@@ -61,18 +62,24 @@ def resolve_state_refs(state: DataFrame) -> DataFrame:
 
 
 def state_candidates(state: DataFrame) -> DataFrame:
-    """Candidates of the state objects: listed in a cache, else typed nodes of it; then named lists."""
-    columns = ["url", "source", "seq", "typename", "item_id", "leaves", "event_slug", "titles"]
-    in_cache = build_candidates(
-        resolve_state_refs(state).select(*columns).unionByName(state.filter("kind = 'held'").select(*columns))
-    ).withColumn("stage", F.lit(0))
-    served = in_cache.select("url", "source").distinct()
-    typed = state.filter("kind = 'node'").filter(
-        T.contains_any(T.canonical_label("typename"), rules.COMPANY_TYPE_WORDS)
+    """Candidates of the state objects: listed in a cache, else typed nodes of it; then named lists.
+
+    All objects go through one projection, which is written down, since three
+    steps read it.
+    """
+    columns = ["url", "source", "seq", "kind", "typename", "item_id", "leaves", "event_slug", "titles"]
+    held = resolve_state_refs(state).withColumn("kind", F.lit("held")).select(*columns)
+    typed = (F.col("kind") != "node") | T.contains_any(T.canonical_label("typename"), rules.COMPANY_TYPE_WORDS)
+    rows = state.filter("kind <> 'ref'").select(*columns).unionByName(held).filter(typed)
+    built = cut_lineage(
+        build_candidates(rows).select(
+            "url", "source", "seq", "kind", "company_name", "profile_url", "website_url_hint", "titles"
+        )
+    )
+    served = built.filter("kind = 'held'").select("url", "source", F.lit("node").alias("kind")).distinct()
+    return built.join(served, ["url", "source", "kind"], "left_anti").withColumn(
+        "stage", F.when(F.col("kind") == "listed", 1).otherwise(0)
     )
-    typed = build_candidates(typed.select(*columns).join(served, ["url", "source"], "left_anti")).withColumn("stage", F.lit(0))
-    listed = build_candidates(state.filter("kind = 'listed'").select(*columns)).withColumn("stage", F.lit(1))
-    return in_cache.unionByName(typed).unionByName(listed)
 
 
 def embedded_entries(state: DataFrame, smallest: int = rules.MIN_EMBEDDED) -> DataFrame:

@@ -1,8 +1,9 @@
 """Which repeated links or containers of a directory page list its companies.
 
-Tables: ``candidates`` (seed_url, page_url, directory_page, source_kind,
-signature, url_group, name, url, ord) and ``strategies`` (seed_url, source_kind,
-signature, url_group, base_score, unique_urls, sample_names, rank).
+Tables: ``candidates`` (seed_url, page_url, source_kind, signature, url_group,
+name, url, ord) and ``strategies`` (seed_url, source_kind, signature, url_group,
+base_score, unique_urls, sample_names, rank).  A page list is (seed_url,
+directory_page, page_url).
 
 All groupings over a seed are plain aggregates with map-side partial results or
 "first k" windows, which Spark also cuts down before the shuffle; so a seed that
@@ -19,7 +20,8 @@ from stallworks.functions.binding import let
 from stallworks.sources import signals as G
 
 KEYS = ["seed_url", "source_kind", "signature", "url_group"]
-PAGE = ["seed_url", "page_url", "directory_page"]
+PAGE = ["seed_url", "page_url"]
+LISTED = ["seed_url", "page_url", "directory_page"]
 KINDS = ["anchor", "action", "container", "text_container"]
 
 # --- fixed values: weights per kind (per URL, diversity, constant, smallest group) ---
@@ -45,11 +47,11 @@ def company_links(links: DataFrame, seed: str = "seed_url") -> DataFrame:
 
 
 def link_candidates(pages: DataFrame) -> DataFrame:
-    """Candidates from anchors and from other navigable actions."""
-    keep = ("seed_url", "directory_page")
+    """Candidates from anchors and from other navigable actions (page rows with ``page_url``)."""
+    keep = ("seed_url", "page_url")
     links = G.anchors(pages, *keep).unionByName(G.non_anchor_actions(G.actions(pages, *keep)))
     return company_links(links).select(
-        "seed_url", F.col("url").alias("page_url"), "directory_page", "source_kind", "signature",
+        *PAGE, "source_kind", "signature",
         U.url_group("absolute_url").alias("url_group"),
         F.col("display_text").alias("name"), F.col("absolute_url").alias("url"), "ord",
     )
@@ -77,13 +79,13 @@ def with_scored_actions(pages: DataFrame) -> DataFrame:
 def containers(pages: DataFrame) -> DataFrame:
     """One row per container outside header, footer and navigation, with its headings and actions cut out."""
     rows = with_scored_actions(pages).select(
-        "seed_url", F.col("url").alias("page_url"), "directory_page", "headings", "scored", F.inline("containers")
+        *PAGE, "url", "headings", "scored", F.inline("containers")
     )
     rows = rows.filter(~(F.col("in_header") | F.col("in_footer") | F.col("in_nav"))).filter(
         "heading_count > 0 OR text IS NOT NULL"
     )
     return rows.select(
-        *PAGE, "signature", "ord", "in_main", "text_length", "text",
+        *PAGE, "url", "signature", "ord", "in_main", "text_length", "text",
         F.slice("headings", F.col("first_heading") + 1, F.col("heading_count")).alias("heading_texts"),
         F.filter(
             F.slice("scored", F.col("first_action") + 1, F.col("action_count")), lambda a: a["url"] != ""
@@ -142,12 +144,16 @@ def text_container_candidates(rows: DataFrame) -> DataFrame:
     return out.select(
         *PAGE, F.lit("text_container").alias("source_kind"), "signature", F.lit("#text").alias("url_group"),
         F.col("pair.name").alias("name"),
-        U.text_fragment_url("page_url", F.col("pair.name"), F.col("pair.booth")).alias("url"), "ord",
+        U.text_fragment_url("url", F.col("pair.name"), F.col("pair.booth")).alias("url"), "ord",
     )
 
 
-def listing_candidates(pages: DataFrame) -> DataFrame:
-    """Union of the four kinds for page rows (signals with seed_url and directory_page)."""
+def listing_candidates(pages: DataFrame, page: Column | None = None) -> DataFrame:
+    """Union of the four kinds for page rows (signals with seed_url).
+
+    ``page`` names the page where its address does not (answers of a paginator).
+    """
+    pages = pages.withColumn("page_url", F.col("url") if page is None else page)
     rows = containers(pages)
     return (
         link_candidates(pages)
@@ -244,7 +250,7 @@ def listing_strategies(candidates: DataFrame) -> DataFrame:
 
 
 def matching_entries(candidates: DataFrame, strategies: DataFrame) -> DataFrame:
-    """Entries that a strategy finds on each page, by relaxing the match where it finds fewer than two.
+    """Entries that a strategy finds on each listed page, by relaxing the match where it finds fewer than two.
 
     The counting window is over one page and one strategy, hence bounded by a
     document.  Strategies are at most twelve rows per seed; AQE picks the join
@@ -260,7 +266,7 @@ def matching_entries(candidates: DataFrame, strategies: DataFrame) -> DataFrame:
     rows = rows.withColumn("sig_ok", any_signature | (F.col("signature") == F.col("s_signature"))).withColumn(
         "group_ok", is_text | (F.col("s_group") == "*") | (F.col("url_group") == F.col("s_group"))
     ).filter("sig_ok OR group_ok")
-    window = Window.partitionBy(*PAGE, "source_kind", "rank")
+    window = Window.partitionBy(*LISTED, "source_kind", "rank")
     rows = rows.withColumn("n_both", F.count_if(F.col("sig_ok") & F.col("group_ok")).over(window)).withColumn(
         "n_sig", F.count_if("sig_ok").over(window)
     )
@@ -272,7 +278,7 @@ def matching_entries(candidates: DataFrame, strategies: DataFrame) -> DataFrame:
         .when(any_signature, F.col("sig_ok") & F.col("group_ok"))
         .otherwise(F.col("sig_ok"))
     )
-    return best_link_per_url(rows.filter(kept), [*PAGE, "source_kind", "rank"]).filter("name <> ''")
+    return best_link_per_url(rows.filter(kept), [*LISTED, "source_kind", "rank"]).filter("name <> ''")
 
 
 def strategy_support(

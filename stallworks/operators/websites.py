@@ -10,13 +10,10 @@ from stallworks.operators import listing
 from stallworks.sources import pages as P, signals as G
 
 
-def page_brands() -> Column:
-    """Cleaned names in headings and title of a page."""
-    return F.array_distinct(
-        F.filter(
-            F.transform(F.concat("h1_texts", T.split_title("title")), T.clean_company_name), lambda b: b != ""
-        )
-    )
+def page_brand_keys() -> Column:
+    """Brand keys of the cleaned names in headings and title of a page."""
+    names = F.filter(F.transform(F.concat("h1_texts", T.split_title("title")), T.clean_company_name), lambda b: b != "")
+    return F.array_distinct(F.transform(names, T.brand_key))
 
 
 def json_ld_urls(profiles: DataFrame) -> DataFrame:
@@ -35,7 +32,7 @@ def json_ld_urls(profiles: DataFrame) -> DataFrame:
 def best_external_link(profiles: DataFrame) -> DataFrame:
     """Best scoring off-site link of each profile that may be a company's own."""
     keep = ("brands",)
-    rows = profiles.withColumn("brands", page_brands())
+    rows = profiles.withColumn("brands", page_brand_keys())
     links = G.anchors(rows, *keep).withColumn("src", F.lit(0)).unionByName(
         G.non_anchor_actions(G.actions(rows, *keep)).withColumn("src", F.lit(1))
     )
@@ -52,9 +49,11 @@ def best_external_link(profiles: DataFrame) -> DataFrame:
     )
     best = best.select("url", "absolute_url", "brands", "first_seen", "link.*")
     scored = best.withColumn("score", S.external_link_score(S.row, F.col("url"))).filter("score >= 35")
-    branded = (F.size("brands") == 0) | F.exists("brands", lambda b: S.brand_match(b, F.col("absolute_url")))
-    fit = scored.filter((F.col("score") >= 55) | branded).filter(
-        S.plausible_website("absolute_url", F.col("url"), F.col("brands"))
+    scored = scored.withColumn("host_brand", S.host_brand_key("absolute_url")).withColumn(
+        "branded", F.when(F.size("brands") > 0, F.exists("brands", lambda b: S.keys_match(b, F.col("host_brand"))))
+    )
+    fit = scored.filter((F.col("score") >= 55) | F.coalesce("branded", F.lit(True))).filter(
+        S.plausible_website("absolute_url", F.col("url"), F.col("branded"))
     )
     return fit.groupBy("url").agg(
         F.max_by("absolute_url", F.struct("score", -F.col("first_seen.src"), -F.col("first_seen.ord"))).alias("link_url")

@@ -6,12 +6,14 @@ down once (``cut_lineage``): page signals, listing candidates, page lists.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from stallworks import rules
 from stallworks.functions import text as T, url as U
 from stallworks.operators import crawl, embedded, lines, listing, websites
-from stallworks.operators.entries import at_least, best_source, dedupe_entries, stall_cut
+from stallworks.operators.entries import at_least, best_source, dedupe_entries
 from stallworks.session import cut_lineage
 from stallworks.sources import embedded as E, pages as P, signals as G
 
@@ -21,36 +23,43 @@ CANDIDATE = ["seed_url", "directory_page", "visit_no", "page_url", "company_name
              "name_key", "first_ord", "source_kind"]
 
 
-def seed_strategies(seeds: DataFrame, pages: DataFrame, signals: DataFrame, samples: int = rules.SAMPLE_SIZE):
-    """(chosen strategy per seed, entries it finds on the seed page)."""
-    page_list = seeds.select("seed_url", F.lit(1).cast("bigint").alias("directory_page"), F.col("seed_url").alias("page_url"))
-    candidates = cut_lineage(listing.listing_candidates(crawl.page_rows(page_list, signals)))
-    ranked = cut_lineage(listing.listing_strategies(candidates))
-    entries = cut_lineage(listing.matching_entries(candidates, ranked))
-    wanted = entries.select(F.col("url")).distinct()
+def profile_table(urls: DataFrame, pages: DataFrame, signals: DataFrame) -> DataFrame:
+    """(profile_url, website_url) of the pages with these addresses (column ``url``), each read once."""
+    wanted = urls.select("url").distinct()
     profiles = signals.join(wanted, "url", "left_semi").join(pages.select("url", "html"), "url")
-    supported = listing.strategy_support(ranked, entries, websites.profile_websites(profiles), samples)
+    return websites.profile_websites(profiles)
+
+
+def seed_strategies(seeds: DataFrame, candidates: DataFrame, profiles: DataFrame, samples: int = rules.SAMPLE_SIZE):
+    """(chosen strategy per seed, entries it finds on the seed page)."""
+    on_seed = candidates.join(seeds.select("seed_url"), "seed_url", "left_semi").filter("page_url = seed_url").withColumn(
+        "directory_page", F.lit(1).cast("bigint")
+    )
+    ranked = cut_lineage(listing.listing_strategies(on_seed))
+    entries = cut_lineage(listing.matching_entries(on_seed, ranked))
+    supported = listing.strategy_support(ranked, entries, profiles, samples)
     chosen = cut_lineage(listing.choose_strategy(supported))
     own = entries.join(chosen.select("seed_url", "source_kind", "rank"), ["seed_url", "source_kind", "rank"], "left_semi")
     return chosen, own.withColumnRenamed("url", "profile_url")
 
 
 def listing_entries(
-    seeds: DataFrame, pages: DataFrame, signals: DataFrame, fragments: DataFrame | None = None,
-    max_pages: int = rules.MAX_PAGES, samples: int = rules.SAMPLE_SIZE,
+    seeds: DataFrame, pages: DataFrame, signals: DataFrame, candidates: DataFrame, profiles: DataFrame,
+    fragments: DataFrame | None = None, max_pages: int = rules.MAX_PAGES, samples: int = rules.SAMPLE_SIZE,
 ) -> DataFrame:
     """Entries found by the chosen listing strategy over all pages of each directory.
 
-    Each seed goes one way: stated page total, scripted paginator, page
-    parameter, or links between pages.
+    ``candidates``: listing candidates of all pages that may belong to a seed;
+    ``profiles``: (profile_url, website_url).  Each seed goes one way: stated
+    page total, scripted paginator, page parameter, or links between pages.
     """
-    chosen, seed_entries = seed_strategies(seeds, pages, signals, samples)
+    chosen, seed_entries = seed_strategies(seeds, candidates, profiles, samples)
     seeds = seeds.join(chosen.select("seed_url"), "seed_url", "left_semi")
     known = signals.select("url")
     seed_pages = pages.join(seeds.select(F.col("seed_url").alias("url")), "url", "left_semi")
-    seed_links = G.anchors(signals.join(seeds.select(F.col("seed_url").alias("url")), "url", "left_semi"))
+    links = cut_lineage(G.anchors(crawl.page_rows(seeds, signals), "seed_url"))
 
-    explicit = cut_lineage(crawl.explicit_pages(seeds, seed_pages, signals, chosen, seed_entries))
+    explicit = cut_lineage(crawl.explicit_pages(seeds, seed_pages, known, candidates, chosen, seed_entries))
     rest = seeds.join(explicit.select("seed_url"), "seed_url", "left_anti")
     by_script = None
     if fragments is not None:
@@ -59,28 +68,24 @@ def listing_entries(
             crawl.paginator_pages(rest, configs, tokens, fragments, G.page_signals, chosen, seed_entries, max_pages)
         )
         rest = rest.join(by_script.select("seed_url"), "seed_url", "left_anti")
-    params = cut_lineage(crawl.query_param_votes(rest, seed_links))
+    params = cut_lineage(crawl.query_param_votes(rest, links.filter("url = seed_url")))
     probed = crawl.query_probe_pages(rest, params, known, max_pages)
     walked = rest.join(params, "seed_url", "left_anti")
-    edges = crawl.pagination_edges(G.anchors(signals))
-    reached = crawl.crawl_reachable(walked, edges, known, max_pages)
+    reached = crawl.crawl_reachable(walked, crawl.pagination_edges(links), known, max_pages)
 
     numbered = explicit.withColumn("mode", F.lit("explicit")).unionByName(probed.withColumn("mode", F.lit("probe")))
     page_list = numbered.withColumn("visit_no", F.col("directory_page")).unionByName(
         reached.withColumn("mode", F.lit("walk")).withColumnRenamed("place", "visit_no")
     )
     page_list = cut_lineage(page_list.withColumn("directory_page", F.col("directory_page").cast("bigint")))
+    numbers = page_list.select("seed_url", "page_url", F.struct("directory_page", "visit_no", "mode").alias("directory_page"))
     found = cut_lineage(
-        crawl.entries_of(page_list.select("seed_url", F.struct("directory_page", "visit_no", "mode").alias("directory_page"), "page_url"),
-                         signals, chosen)
-        .select("*", "directory_page.visit_no", "directory_page.mode", F.col("directory_page.directory_page").alias("number"))
-        .drop("directory_page").withColumnRenamed("number", "directory_page")
-    )
-    tried = page_list.filter("mode = 'probe'").select("seed_url", "directory_page", "page_url").join(
-        found.filter("mode = 'probe'").drop("page_url", "mode"), ["seed_url", "directory_page"], "left"
+        crawl.entries_of(numbers, candidates, chosen)
+        .withColumns({"visit_no": F.col("directory_page.visit_no"), "mode": F.col("directory_page.mode")})
+        .withColumn("directory_page", F.col("directory_page.directory_page"))
     )
-    kept = stall_cut(tried).filter("profile_url IS NOT NULL").select(*[c for c in found.columns if c != "mode"])
-    rows = found.filter("mode <> 'probe'").drop("mode").unionByName(kept)
+    by_number = crawl.query_probe(page_list.filter("mode = 'probe'"), found.filter("mode = 'probe'"))
+    rows = found.filter("mode <> 'probe'").unionByName(by_number)
     if by_script is not None:
         rows = rows.unionByName(by_script.withColumn("visit_no", F.col("directory_page")), allowMissingColumns=True)
     return rows.select(
@@ -118,6 +123,18 @@ def table_mode(seeds: DataFrame, pages: DataFrame, signals: DataFrame, max_pages
     return crawl.until_empty(page_list, page_list.join(found, "page_url"))
 
 
+def page_marks(seed_pages: DataFrame) -> dict[str, bool]:
+    """Which kinds of source occur at all: one aggregate row, so that absent kinds cost no job."""
+    html = F.col("html")
+    state = reduce(lambda a, b: a | b, [html.contains(v) for v in ("__NEXT_DATA__", *rules.STATE_VARIABLES)])
+    marks = {
+        "gallery": html.contains("wix-warmup-data"), "richtext": html.contains("richTextElement"),
+        "table": html.rlike("(?i)<tr"), "state": state,
+    }
+    row = seed_pages.agg(*[F.coalesce(F.bool_or(mark), F.lit(False)).alias(name) for name, mark in marks.items()]).first()
+    return row.asDict()
+
+
 def directory_candidates(
     seeds: DataFrame, pages: DataFrame, signals: DataFrame, *, fragments: DataFrame | None = None,
     search_payloads: DataFrame | None = None, floorplan_payloads: DataFrame | None = None,
@@ -135,23 +152,33 @@ def directory_candidates(
         found.append(("platform", E.search_payload_entries(search_payloads)))
     if floorplan_payloads is not None:
         found.append(("platform", E.floorplan_payload_entries(floorplan_payloads).drop("plan_title")))
-    found.append(("gallery", as_seed(embedded.gallery_entries(E.gallery_items(seed_pages)))))
-    found.append(("richtext", as_seed(lines.richtext_entries(seed_pages))))
+    marks = page_marks(seed_pages)
+    if marks["gallery"]:
+        found.append(("gallery", as_seed(embedded.gallery_entries(E.gallery_items(seed_pages)))))
+    if marks["richtext"]:
+        found.append(("richtext", as_seed(lines.richtext_entries(seed_pages))))
     if ocr_lines is not None:
         pairs = lines.name_url_pairs(ocr_lines)
         found.append(("ocr", pairs.withColumn("ord", F.col("image_rank") * 1000000 + F.col("line_no"))))
-    found.append(("table", table_mode(seeds, pages, signals, max_pages)))
-    direct = None
-    for kind, rows in found:
-        part = _one_page(rows, kind).withColumn("priority", F.lit(SOURCES.index(kind)))
-        direct = part if direct is None else direct.unionByName(part)
-    direct = cut_lineage(best_source(direct))
-    rest = cut_lineage(seeds.join(direct.select("seed_url"), "seed_url", "left_anti"))
-    listed = cut_lineage(listing_entries(rest, pages, signals, fragments, max_pages))
-    last = rest.join(listed.select("seed_url"), "seed_url", "left_anti").select(F.col("seed_url").alias("url"))
-    state = E.embedded_state(seed_pages.join(last, "url", "left_semi"))
-    stored = _one_page(as_seed(embedded.embedded_entries(state)), "embedded")
-    return direct.drop("priority").unionByName(listed).unionByName(stored)
+    if marks["table"]:
+        found.append(("table", table_mode(seeds, pages, signals, max_pages)))
+    parts = [_one_page(rows, kind).withColumn("priority", F.lit(SOURCES.index(kind))) for kind, rows in found]
+    rest, out = seeds, []
+    if parts:
+        direct = cut_lineage(best_source(reduce(DataFrame.unionByName, parts)).drop("priority"))
+        rest = cut_lineage(seeds.join(direct.select("seed_url"), "seed_url", "left_anti"))
+        out.append(direct)
+    candidates = cut_lineage(listing.listing_candidates(crawl.page_rows(rest, signals)))
+    profiles = cut_lineage(profile_table(candidates.filter("page_url = seed_url"), pages, signals))
+    listed = cut_lineage(
+        listing_entries(rest, pages, signals, candidates, profiles, fragments, max_pages)
+    )
+    out.append(listed)
+    if marks["state"]:
+        last = rest.join(listed.select("seed_url"), "seed_url", "left_anti").select(F.col("seed_url").alias("url"))
+        state = E.embedded_state(seed_pages.join(last, "url", "left_semi"))
+        out.append(_one_page(as_seed(embedded.embedded_entries(state)), "embedded"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def directory_entries(candidates: DataFrame) -> DataFrame:

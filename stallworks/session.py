@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,14 +32,26 @@ def local_session(cores: str = "*", app: str = "stallworks", shuffle_partitions:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Folder that all executors see, named by ``spark.checkpoint.dir``.
+
+    Only a session that names none (tests, a laptop) gets a folder of its own.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        named = tempfile.mkdtemp(prefix="stallworks-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder named by ``spark.checkpoint.dir``.
+    """Write a table that several later steps read, and read it back.
 
-    Only where a session names none (tests, a laptop) is a private folder used.
+    The written table survives lost executors, keeps later plans short, lets
+    them read only the columns they need, and has a known size, by which Spark
+    decides on broadcasts.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="stallworks-checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
