@@ -1,7 +1,7 @@
 """All registered queries and their SQL twins."""
 
-from workloads import urls
+from workloads import listings, texts, urls
 
-MODULES = [urls]
+MODULES = [urls, texts, listings]
 QUERIES = {name: run for module in MODULES for name, run in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
