@@ -32,6 +32,7 @@ def write_export(rows: DataFrame, path: str, stem: str = "show") -> None:
         .partitionBy(stem)
         .option("header", True)
         .option("emptyValue", "")
+        .option("escape", '"')
         .csv(path)
     )
 

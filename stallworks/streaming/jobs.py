@@ -91,10 +91,25 @@ def stream_leads(leads: DataFrame, path: str, checkpoint: str, delay: str = "1 d
     return writer.start()
 
 
-def stream_status(events: DataFrame, name: str, checkpoint: str, ts: str = "ts", tie: str = "event_id") -> StreamingQuery:
-    """Newest status per show as a running aggregate."""
+def stream_status(events: DataFrame, path: str, checkpoint: str, ts: str = "ts", tie: str = "event_id") -> StreamingQuery:
+    """Newest status per show as a running aggregate.
+
+    Each batch writes only the shows that changed, under its own number; a
+    repeated batch replaces its own part.
+    """
     folded = C.latest_status(events, ts=ts, tie=tie)
+
+    def batch(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
     return (
-        folded.writeStream.outputMode("complete").format("memory").queryName(name)
+        folded.writeStream.outputMode("update").foreachBatch(batch)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
+
+
+def newest_status(spark: SparkSession, path: str) -> DataFrame:
+    """The last written state of each show."""
+    rows = spark.read.parquet(path)
+    others = [c for c in rows.columns if c not in ("show_id", "batch")]
+    return rows.groupBy("show_id").agg(F.max_by(F.struct(*others), "batch").alias("r")).select("show_id", "r.*")
