@@ -351,7 +351,7 @@ def paginator_pages(
     )
     start = F.greatest(F.coalesce("start_page", F.lit(1)), F.lit(1))
     end = F.least(F.coalesce("end_page", F.col("pages")), F.col("pages"), start + max_pages - 1)
-    usable = usable.withColumns({"first": start, "last": end}).filter("first <= last")
+    usable = cut_lineage(usable.withColumns({"first": start, "last": end}).filter("first <= last"))
     wanted = usable.select(
         "seed_url", "page_id", "script_no", "call_no", "limit", "next_offset", "first", "last",
         F.explode(F.sequence(F.least("first", F.lit(2)), F.greatest("last", F.lit(2)))).alias("directory_page"),
@@ -362,7 +362,7 @@ def paginator_pages(
     keyed = answers.withColumn("url", F.col("seed_url"))
     keyed = keyed.withColumn("answer", F.to_json(F.struct("seed_url", "page_id", "page_offset")))
     scanned = signals_of(keyed.select(F.col("answer").alias("url"), "html")).withColumnRenamed("url", "answer")
-    rows = (
+    rows = cut_lineage(
         keyed.select("answer", "seed_url", "page_id", "page_offset")
         .join(scanned, "answer")
         .join(wanted, ["seed_url", "page_id", "page_offset"])
@@ -373,14 +373,16 @@ def paginator_pages(
     numbers = rows.select("seed_url", F.col("answer").alias("page_url"), F.struct("config", "directory_page").alias("directory_page"))
     scanned_rows = rows.drop("config", "directory_page").dropDuplicates(["answer"])
     # one row of signals per answer; its address is the seed's, its name the answer's
-    candidates = listing.listing_candidates(scanned_rows.withColumn("url", F.col("seed_url")), page=F.col("answer"))
+    candidates = cut_lineage(
+        listing.listing_candidates(scanned_rows.withColumn("url", F.col("seed_url")), page=F.col("answer"))
+    )
     found = listing.matching_entries(
         numbers.join(candidates, ["seed_url", "page_url"]), strategies
     ).withColumnRenamed("url", "profile_url")
-    found = found.select(
+    found = cut_lineage(found.select(
         "seed_url", "page_url", "source_kind", "rank", "name", "profile_url", "first_ord",
         F.col("directory_page.config").alias("config"), F.col("directory_page.directory_page").alias("directory_page"),
-    )
+    ))
     probe_page = F.when(F.col("first") > 1, F.col("first")).otherwise(2)
     probe = usable.select("seed_url", F.struct("script_no", "call_no").alias("config"), probe_page.alias("directory_page"))
     probed = found.join(probe, ["seed_url", "config", "directory_page"], "left_semi").select(

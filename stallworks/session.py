@@ -13,6 +13,10 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # pages can be large: few per Arrow batch
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    # expressions here are built from many small calls; do not trace each of them
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -200,8 +200,9 @@ def export_table(spark, sf_dir):
 
 def delivery_payload(spark, sf_dir):
     rows = L.delivery_payload(export_table(spark, sf_dir), shows(spark, sf_dir), SCRAPED_AT)
-    field = lambda name: F.get_json_object("payload", f"$.{name}").alias(name)
-    return rows.select("show_id", *[field(n) for n in ("company_name", "website_url", "sort_index", "show_name", "show_date", "show_day", "show_date_pretty", "show_place", "source_url", "scraped_at")])
+    names = ("company_name", "website_url", "sort_index", "show_name", "show_date", "show_day", "show_date_pretty", "show_place", "source_url", "scraped_at")
+    parsed = rows.select("show_id", F.from_json("payload", ", ".join(f"{n} string" for n in names)).alias("p"))
+    return parsed.select("show_id", *[F.col(f"p.{n}").alias(n) for n in names])
 
 
 def delivery_batches(spark, sf_dir):
