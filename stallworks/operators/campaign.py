@@ -57,7 +57,7 @@ def import_summary(schedule: DataFrame, parsed: DataFrame, shows: DataFrame) ->
     bad = parsed.agg(F.count_if(F.col("event_date").isNull()).alias("bad_dates"))
     # three one-row tables side by side
     tagged = lambda df: df.withColumn("one", F.lit(1))
-    return tagged(keyed).join(tagged(read), "one").join(tagged(bad), "one").drop("one")
+    return tagged(keyed).join(F.broadcast(tagged(read)), "one").join(F.broadcast(tagged(bad)), "one").drop("one")
 
 
 def upsert_shows(shows: DataFrame, parsed: DataFrame, now: str, strict: bool = False) -> DataFrame:
@@ -302,7 +302,8 @@ def next_to_activate(shows: DataFrame, active: DataFrame) -> DataFrame:
     """The next ready show, if no show's campaign is active (``active``: show_id)."""
     busy = active.select(F.lit(1).alias("busy")).limit(1)
     ready = shows.filter("status IN ('ready_for_review', 'approved')").withColumn("busy", F.lit(1))
-    return ready.join(busy, "busy", "left_anti").drop("busy").orderBy("event_date", "id").limit(1)
+    # at most one row, so the broadcast is bounded
+    return ready.join(F.broadcast(busy), "busy", "left_anti").drop("busy").orderBy("event_date", "id").limit(1)
 
 
 def latest_status(events: DataFrame, key: str = "show_id", status: str = "status", ts: str = "ts", tie: str = "event_id") -> DataFrame:

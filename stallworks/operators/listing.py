@@ -77,20 +77,32 @@ def with_scored_actions(pages: DataFrame) -> DataFrame:
 
 
 def containers(pages: DataFrame) -> DataFrame:
-    """One row per container outside header, footer and navigation, with its headings and actions cut out."""
-    rows = with_scored_actions(pages).select(
-        *PAGE, "url", "headings", "scored", F.inline("containers")
-    )
-    rows = rows.filter(~(F.col("in_header") | F.col("in_footer") | F.col("in_nav"))).filter(
-        "heading_count > 0 OR text IS NOT NULL"
-    )
-    return rows.select(
-        *PAGE, "url", "signature", "ord", "in_main", "text_length", "text",
-        F.slice("headings", F.col("first_heading") + 1, F.col("heading_count")).alias("heading_texts"),
-        F.filter(
-            F.slice("scored", F.col("first_action") + 1, F.col("action_count")), lambda a: a["url"] != ""
-        ).alias("actions"),
+    """One row per container that may be an entry, with its headings and actions cut out.
+
+    The cutting happens inside the page's row, and wrappers of many links drop
+    out there, so a page's lists are not copied once per container.  A container
+    may be an entry if it leads to one to three profiles, or holds one to four
+    actions in all.
+    """
+
+    def cut(c: Column) -> Column:
+        actions = F.filter(F.slice("scored", c["first_action"] + 1, c["action_count"]), lambda a: a["url"] != "")
+        return F.struct(
+            *[c[f].alias(f) for f in ("signature", "ord", "in_main", "text_length", "text")],
+            F.slice("headings", c["first_heading"] + 1, c["heading_count"]).alias("heading_texts"),
+            actions.alias("actions"),
+        )
+
+    def profiles(c: Column) -> Column:
+        valid = F.filter(c["actions"], lambda a: a["score"].isNotNull())
+        return F.size(F.array_distinct(F.transform(valid, lambda a: a["url"])))
+
+    outside = lambda c: c["in_header"] | c["in_footer"] | c["in_nav"]
+    worth = F.filter(
+        "containers", lambda c: ~outside(c) & ((c["heading_count"] > 0) | c["text"].isNotNull())
     )
+    kept = F.filter(F.transform(worth, cut), lambda c: F.size(c["actions"]).between(1, 4) | profiles(c).between(1, 3))
+    return with_scored_actions(pages).select(*PAGE, "url", F.inline(kept))
 
 
 def container_candidates(rows: DataFrame) -> DataFrame:

@@ -15,17 +15,24 @@ def weight_of(key: Column, weights: dict[str, float]) -> Column:
     return F.coalesce(F.try_element_at(table, key), F.lit(0.0))
 
 
-def name_candidates(sites: DataFrame) -> DataFrame:
-    """All names a site gives itself: (url, src, pos, weight, name), source order kept for ties."""
+def weighted_meta(pages: DataFrame) -> DataFrame:
+    """Meta tags that name a site, with their weight: a map over the pages, few small rows out."""
+    key = F.lower(F.coalesce(F.nullif("property", F.lit("")), "name"))
+    return P.meta_tags(pages, "url").withColumn("weight", weight_of(key, rules.META_WEIGHTS)).filter("weight > 0")
+
+
+def name_candidates(sites: DataFrame, meta: DataFrame) -> DataFrame:
+    """All names a site gives itself: (url, src, pos, weight, name), source order kept for ties.
+
+    ``sites`` are signals, ``meta`` their weighted meta tags.
+    """
 
     def rows(df: DataFrame, src: int, weight: Column, text: Column, pos: Column) -> DataFrame:
         found = df.select("url", F.lit(src).alias("src"), pos.alias("pos"), weight.alias("weight"),
                           T.brandish_candidates(text).alias("names"))
         return found.select("url", "src", "pos", "weight", F.posexplode("names").alias("sub", "name"))
 
-    meta = P.meta_tags(sites, "url")
-    key = F.lower(F.coalesce(F.nullif("property", F.lit("")), "name"))
-    meta = meta.withColumn("weight", weight_of(key, rules.META_WEIGHTS)).filter("weight > 0")
+    meta = meta.join(sites.select("url"), "url", "left_semi")
     ld = sites.select("url", F.posexplode("ld_names").alias("pos", "item")).withColumn(
         "weight",
         F.array_max(F.concat(F.array(F.lit(0.0)), F.transform("item.types", lambda t: weight_of(t, rules.JSON_LD_WEIGHTS)))),
@@ -41,12 +48,12 @@ def name_candidates(sites: DataFrame) -> DataFrame:
     )
 
 
-def site_names(sites: DataFrame) -> DataFrame:
+def site_names(sites: DataFrame, meta: DataFrame) -> DataFrame:
     """(lookup_url, site_name): the best name of a site; its domain where none fits, '' where that is poor.
 
     First mention per spelling and arg-max are both aggregates.
     """
-    candidates = name_candidates(sites)
+    candidates = name_candidates(sites, meta)
     first = candidates.groupBy("url", F.lower("name").alias("name_key")).agg(
         F.min_by(F.struct("weight", "name", "src", "pos", "sub"), F.struct("src", "pos", "sub")).alias("c")
     )
@@ -68,7 +75,7 @@ def site_names(sites: DataFrame) -> DataFrame:
     )
 
 
-def enriched_names(records: DataFrame, sites: DataFrame) -> DataFrame:
+def enriched_names(records: DataFrame, sites: DataFrame, meta: DataFrame) -> DataFrame:
     """Better names for poor ones: cleaned, then from the company's own site.
 
     Only rows that were not looked up are touched, and only poor ones with a
@@ -82,7 +89,7 @@ def enriched_names(records: DataFrame, sites: DataFrame) -> DataFrame:
     kept = marked.filter("lookup_url IS NULL").select(
         *[F.col("clean_name").alias(c) if c == "company_name" else F.col(c) for c in records.columns]
     )
-    better = marked.filter("lookup_url IS NOT NULL").join(site_names(sites), "lookup_url", "left")
+    better = marked.filter("lookup_url IS NOT NULL").join(site_names(sites, meta), "lookup_url", "left")
     name = T.clean_company_name(F.coalesce(F.nullif("site_name", F.lit("")), "clean_name"))
     return kept.unionByName(
         better.select(*[name.alias(c) if c == "company_name" else F.col(c) for c in records.columns])

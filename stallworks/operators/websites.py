@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from stallworks import rules
 from stallworks.functions import scores as S, text as T, url as U
-from stallworks.operators import listing
 from stallworks.sources import pages as P, signals as G
 
 
@@ -60,21 +61,26 @@ def best_external_link(profiles: DataFrame) -> DataFrame:
     )
 
 
-def profile_websites(profiles: DataFrame) -> DataFrame:
-    """(profile_url, website_url) for page rows (signals with ``html`` or without).
+def scripted_websites(pages: DataFrame) -> DataFrame:
+    """(url, scripted_url) of pages whose scripts name the website: a map over the pages, few small rows out."""
+    marked = reduce(lambda a, b: a | b, [F.lower("html").contains(f.lower()) for f in rules.EMBEDDED_WEBSITE_FIELDS])
+    return pages.filter(marked).select("url", P.embedded_url("html").alias("scripted_url")).filter("scripted_url <> ''")
+
+
+def profile_websites(profiles: DataFrame, scripted: DataFrame) -> DataFrame:
+    """(profile_url, website_url) for page rows (signals).
 
     The address in the page's scripts comes first, then linked data, then the
-    best link; '' where none fits.
+    best link; '' where none fits.  Page texts take no part in the joins.
     """
-    scripted = (
-        P.embedded_url("html") if "html" in profiles.columns else F.lit("")
+    joined = (
+        profiles.select("url")
+        .join(scripted, "url", "left")
+        .join(json_ld_urls(profiles), "url", "left")
+        .join(best_external_link(profiles), "url", "left")
     )
-    base = profiles.select("url", scripted.alias("scripted"))
-    rest = profiles.drop("html")
-    joined = base.join(json_ld_urls(rest), "url", "left").join(best_external_link(rest), "url", "left")
     return joined.select(
-        F.col("url").alias("profile_url"),
-        F.coalesce(F.nullif("scripted", F.lit("")), "ld_url", "link_url", F.lit("")).alias("website_url"),
+        F.col("url").alias("profile_url"), F.coalesce("scripted_url", "ld_url", "link_url", F.lit("")).alias("website_url")
     )
 
 

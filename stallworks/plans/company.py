@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from stallworks.functions import text as T, url as U
 from stallworks.operators import names, places, websites
-from stallworks.sources import pages as P
+from stallworks.session import cut_lineage
 
 
 def company_records(
@@ -18,13 +18,13 @@ def company_records(
     name, are read.
     """
     wanted = entries.select(F.col("profile_url").alias("url")).filter("url <> ''").distinct()
-    profiles = signals.join(wanted, "url", "left_semi").join(pages.select("url", "html"), "url")
-    records = websites.resolve_profiles(entries, websites.profile_websites(profiles))
+    profiles = signals.join(wanted, "url", "left_semi")
+    found = websites.profile_websites(profiles, websites.scripted_websites(pages))
+    records = cut_lineage(websites.resolve_profiles(entries, found))
     if rendered is not None:
         records = websites.resolve_blank_from_rendered(records, rendered)
     looked = records.filter("website_url <> '' AND NOT looked_up").select(U.lookup_url("website_url").alias("url")).distinct()
-    sites = signals.join(looked, "url", "left_semi").join(pages.select("url", "html"), "url")
-    return names.enriched_names(records, sites)
+    return names.enriched_names(records, signals.join(looked, "url", "left_semi"), names.weighted_meta(pages))
 
 
 def conference_facts(seeds: DataFrame, pages: DataFrame, signals: DataFrame, titles: DataFrame | None = None) -> DataFrame:

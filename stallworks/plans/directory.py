@@ -25,9 +25,8 @@ CANDIDATE = ["seed_url", "directory_page", "visit_no", "page_url", "company_name
 
 def profile_table(urls: DataFrame, pages: DataFrame, signals: DataFrame) -> DataFrame:
     """(profile_url, website_url) of the pages with these addresses (column ``url``), each read once."""
-    wanted = urls.select("url").distinct()
-    profiles = signals.join(wanted, "url", "left_semi").join(pages.select("url", "html"), "url")
-    return websites.profile_websites(profiles)
+    profiles = signals.join(urls.select("url").distinct(), "url", "left_semi")
+    return websites.profile_websites(profiles, websites.scripted_websites(pages))
 
 
 def seed_strategies(seeds: DataFrame, candidates: DataFrame, profiles: DataFrame, samples: int = rules.SAMPLE_SIZE):

@@ -68,7 +68,7 @@ def test_name_predicates(one):
 def test_booth_and_place(one):
     assert one([("A12 Acme Works New Exhibitor",), ("B 7",), ("Clear Filters",)], "t string", T.booth_and_name("t")["name"], T.booth_and_name("t")["booth"]) == [
         ("Acme Works", "A12"), ("", ""), ("", "")]
-    got = one([("In RENO, NV or Reno, Nevada; Paris, France",)], "t string", F.to_json(T.city_region_pairs("t")))
+    got = one([("at RENO, NV or Reno, Nevada; Paris, France",)], "t string", F.to_json(T.city_region_pairs("t")))
     assert got == [('[{"city":"Reno","region":"NV"}]',)]
 
 

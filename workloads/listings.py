@@ -135,13 +135,13 @@ SITE_HTML = """concat('<html><head>',
 def profile_websites(spark, sf_dir):
     pages = shared.derived_pages(spark, sf_dir, "profiles", PROFILE_URL, PROFILE_HTML)
     signals = shared.derived_signals(spark, sf_dir, "profiles", pages)
-    return websites.profile_websites(signals.join(pages, "url"))
+    return websites.profile_websites(signals, websites.scripted_websites(pages))
 
 
 def company_site_names(spark, sf_dir):
     pages = shared.derived_pages(spark, sf_dir, "company_sites", SITE_URL, SITE_HTML)
     signals = shared.derived_signals(spark, sf_dir, "company_sites", pages)
-    return names.site_names(signals.join(pages, "url"))
+    return names.site_names(signals, names.weighted_meta(pages))
 
 
 def meta_tags(spark, sf_dir):
@@ -158,7 +158,7 @@ def enriched_names(spark, sf_dir):
         F.expr(f"concat({SITE_URL}, 'about?x=1')").alias("website_url"),
         (F.col("c_custkey") % 7 == 0).alias("looked_up"),
     )
-    out = names.enriched_names(records, signals.join(pages, "url"))
+    out = names.enriched_names(records, signals, names.weighted_meta(pages))
     return out.select("key", "company_name", F.col("looked_up").cast("int").alias("looked_up"))
 
 
