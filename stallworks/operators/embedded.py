@@ -122,7 +122,7 @@ def gallery_candidates(items: DataFrame) -> DataFrame:
 
 def gallery_entries(items: DataFrame) -> DataFrame:
     """Entries of the best gallery of each page."""
-    linked = gallery_candidates(items)
+    linked = cut_lineage(gallery_candidates(items))  # read for the scores and for the entries
     named = F.col("company_name") != ""
     scores = linked.groupBy("url", "gallery_no").agg(
         F.count("*").alias("external_links"),

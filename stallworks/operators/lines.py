@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from stallworks import rules
 from stallworks.functions import scores as S, text as T, url as U
 from stallworks.operators.entries import at_least, first_per_key, number_rows, running_count
-from stallworks.sources import pages as P, signals as G
+from stallworks.session import cut_lineage
+from stallworks.sources import pages as P
 
 
 def read_ocr_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -71,6 +72,7 @@ def name_url_pairs(lines: DataFrame, is_name: Column | None = None, smallest: in
     rows = rows.withColumn(
         "is_name", (F.col("website") == "") & (T.is_richtext_company_line("line") if is_name is None else is_name)
     ).filter("is_name OR website <> ''")
+    rows = cut_lineage(rows)  # read for the counts and for the lines
     rows = running_count(rows, stream, "line_no", F.col("is_name"), "wait_no").filter("wait_no > 0")
     waits = rows.groupBy(*stream, "wait_no").agg(
         F.min_by("line", "line_no").alias("line"),
