@@ -274,11 +274,19 @@ def first_page_is_seed(page_list: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def query_probe_pages(seeds: DataFrame, params: DataFrame, known: DataFrame, max_pages: int = rules.MAX_PAGES) -> DataFrame:
-    """Numbered pages of seeds with a page parameter, whether the snapshot holds them or not."""
+    """Numbered pages of seeds with a page parameter, whether the snapshot holds them or not.
+
+    Numbers behind the last page that the snapshot holds of a listing are left
+    out: those pages are all empty.
+    """
+    last = page_rows(seeds.join(params, "seed_url", "left_semi"), known.select("url")).groupBy("seed_url").agg(
+        F.coalesce(F.max(U.page_number("url")), F.lit(1)).alias("last_page")
+    )
     start = F.greatest(F.coalesce("start_page", F.lit(1)), F.lit(1)).cast("bigint")
-    end = F.coalesce("end_page", F.lit(max_pages)).cast("bigint")
+    end = F.least(F.coalesce("end_page", F.lit(max_pages)).cast("bigint"), F.coalesce("last_page", F.lit(1)))
     rows = (
         seeds.join(params, "seed_url")
+        .join(last, "seed_url", "left")
         .filter(start <= end)
         .select("seed_url", "param", F.explode(F.sequence(start, end)).alias("directory_page"))
         .withColumn("page_url", U.query_page_url("seed_url", F.col("param"), F.col("directory_page")))
