@@ -74,23 +74,28 @@ def stream_sync(deliveries: DataFrame, state: StateTables, checkpoint: str, seco
 
 
 def stream_leads(leads: DataFrame, path: str, checkpoint: str, delay: str = "1 day", seconds: int | None = None) -> StreamingQuery:
-    """Enriched leads (show_id, email, arrived_at, lead_id, ...): repeats inside the watermark are
-    dropped in state, older ones by the upsert into the versioned lead table."""
-    spark = leads.sparkSession
+    """Enriched leads (show_id, email, arrived_at, lead_id, ...).
+
+    Repeats inside the watermark are dropped in state.  Each batch writes only
+    its own leads, under its own number; a repeated batch replaces its part, and
+    ``current_leads`` resolves older ones.
+    """
     keyed = leads.withColumn("email_key", F.lower(F.trim("email"))).filter("email_key <> ''")
     fresh = keyed.withWatermark("arrived_at", delay).dropDuplicatesWithinWatermark(["show_id", "email_key", "lead_id"])
 
     def batch(rows: DataFrame, number: int) -> None:
-        rows = rows.drop("email_key")
-        if number > 0:
-            rows = spark.read.schema(rows.schema).parquet(f"{path}/v{number}").unionByName(rows)
-        C.dedupe_leads(rows).drop("email_key").write.mode("overwrite").parquet(f"{path}/v{number + 1}")
+        C.dedupe_leads(rows.drop("email_key")).drop("email_key").write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     writer = fresh.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if seconds is None else writer.trigger(processingTime=f"{seconds} seconds")
     return writer.start()
 
 
+def current_leads(spark: SparkSession, path: str) -> DataFrame:
+    """Latest lead per show and address over all batches."""
+    return C.dedupe_leads(spark.read.parquet(path).drop("batch"))
+
+
 def stream_status(events: DataFrame, path: str, checkpoint: str, ts: str = "ts", tie: str = "event_id") -> StreamingQuery:
     """Newest status per show as a running aggregate.
 

@@ -130,7 +130,7 @@ def delete_section(spark, sf_dir):
     return left.groupBy("status").agg(F.count("*").alias("shows")).join(
         left_runs.join(left.select(F.col("id").alias("show_id"), F.col("status").alias("show_status")), "show_id")
         .groupBy(F.col("show_status").alias("status")).agg(F.count("*").alias("runs")), "status", "left"
-    )
+    ).select("status", "shows", F.coalesce("runs", F.lit(0)).alias("runs"))
 
 
 def transition_check(spark, sf_dir):
@@ -180,7 +180,7 @@ def runs_latest(spark, sf_dir):
 
 
 def shows_with_runs(spark, sf_dir):
-    return B.shows_with_runs(shows(spark, sf_dir), runs(spark, sf_dir)).select("id", "name", "run_id", "run_status", "run_company_count")
+    return B.shows_with_runs(shows(spark, sf_dir), runs(spark, sf_dir)).select("id", "name", F.coalesce("run_id", F.lit(-1)).alias("run_id"), "run_status", F.coalesce("run_company_count", F.lit(-1)).alias("run_company_count"))
 
 
 def run_queue(spark, sf_dir):
@@ -393,7 +393,7 @@ ORACLES = {
     "delete_section": f"""
         WITH {_SHOWS}, {_RUNS}, k AS (SELECT id, status FROM sh WHERE NOT ({_ACTIVE})),
         r AS (SELECT k.status, count(*) AS n FROM ru JOIN k ON show_id = k.id GROUP BY k.status)
-        SELECT status, count(*) AS shows, any_value(n) AS runs FROM k LEFT JOIN r USING (status) GROUP BY status""",
+        SELECT status, count(*) AS shows, coalesce(any_value(n), 0) AS runs FROM k LEFT JOIN r USING (status) GROUP BY status""",
     "transition_check": f"""
         WITH {_SHOWS}, t(a, b) AS (VALUES {_ALLOWED}), e AS (SELECT event_id, user_id, {_list([*rules.SHOW_STATUSES, "sold"])}[event_id % 8 + 1] AS new_status FROM events)
         SELECT event_id, new_status, CAST(t.a IS NOT NULL AS INT) AS allowed FROM e LEFT JOIN sh ON user_id = id LEFT JOIN t ON status = a AND new_status = b""",
@@ -422,7 +422,7 @@ ORACLES = {
                  WHEN company_count > 0 THEN 'Clay has not received this export yet.' ELSE 'Clay has nothing to send yet.' END AS provider_summary, replace(status, '_', ' ') AS status_label FROM u""",
     "dashboard_counts": f"""
         WITH {_SHOWS}, b AS (SELECT CASE WHEN {_ACTIVE} THEN 'active' WHEN status = 'waiting' THEN 'scheduled_later' ELSE 'completed' END AS board, status, company_count FROM sh)
-        SELECT coalesce(board, 'all') AS board, count(*) AS shows, count(*) FILTER (status = 'ready_for_review') AS ready, count(*) FILTER (company_count > 0) AS completed, sum(company_count) AS leads
+        SELECT coalesce(board, 'all') AS board, count(*) AS shows, count(*) FILTER (status = 'ready_for_review') AS ready, count(*) FILTER (company_count > 0) AS completed, CAST(sum(company_count) AS BIGINT) AS leads
         FROM b GROUP BY ROLLUP (board)""",
     "section_positions": f"""
         WITH {_SHOWS}, c AS (SELECT *, {_flow_case(1)} AS section FROM sh)
@@ -430,7 +430,7 @@ ORACLES = {
     "runs_latest": f"""
         WITH {_RUNS}, r AS (SELECT *, row_number() OVER (PARTITION BY show_id ORDER BY created_at DESC, id DESC) AS n, count(*) OVER (PARTITION BY show_id) AS c FROM ru)
         SELECT show_id, c AS run_count, id AS run_id, status AS run_status, strftime(created_at, '%Y-%m-%d 00:00:00') AS run_created_at FROM r WHERE n = 1""",
-    "shows_with_runs": f"""WITH {_SHOWS}, {_RUNS} SELECT sh.id, name, ru.id AS run_id, ru.status AS run_status, ru.company_count AS run_company_count FROM sh LEFT JOIN ru ON sh.id = show_id""",
+    "shows_with_runs": f"""WITH {_SHOWS}, {_RUNS} SELECT sh.id, name, coalesce(ru.id, -1) AS run_id, ru.status AS run_status, coalesce(ru.company_count, -1) AS run_company_count FROM sh LEFT JOIN ru ON sh.id = show_id""",
     "run_queue": f"""WITH {_RUNS}, q AS (SELECT id, show_id, row_number() OVER (ORDER BY created_at, id) AS n FROM ru WHERE status = 'queued') SELECT id, show_id, CAST(n = 1 AS INT) AS is_next FROM q""",
     "delivery_payload": f"""
         WITH {_SHOWS} SELECT CAST(id AS VARCHAR) AS show_id, concat('Company ', l_partkey) AS company_name, concat('https://c', l_suppkey, '.example.com/') AS website_url,
@@ -472,7 +472,7 @@ ORACLES = {
         UNION ALL SELECT s, 0, 'start page is greater than end page' FROM r WHERE a > b""",
     "url_set_equality": """
         WITH v AS (SELECT l_suppkey AS s, l_partkey % 5 AS u, max(CAST(l_linenumber = 1 AS INT)) AS a, max(CAST(l_linenumber = 2 AS INT)) AS b FROM lineitem WHERE l_linenumber IN (1, 2) GROUP BY ALL)
-        SELECT s AS seed_url, CAST(count(*) FILTER (a <> b) = 0 AS INT) AS same_set, sum(a) AS n_a, sum(b) AS n_b FROM v GROUP BY s""",
+        SELECT s AS seed_url, CAST(count(*) FILTER (a <> b) = 0 AS INT) AS same_set, CAST(sum(a) AS BIGINT) AS n_a, CAST(sum(b) AS BIGINT) AS n_b FROM v GROUP BY s""",
     "unseen_profiles": "SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 7 = 0)",
     "export_roundtrip": """
         SELECT concat('show-', c_nationkey) AS show, concat('Co "', c_name, '", Inc') AS company_name, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'https://x.example.com/' END AS website_url,

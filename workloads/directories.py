@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -250,7 +250,7 @@ def status_stream(spark, sf_dir):
     """Newest status per show from a stream over the event files."""
     events = spark.readStream.schema("event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string").parquet(f"{sf_dir}/events.parquet*")
     rows = events.select(F.col("user_id").alias("show_id"), F.col("event_type").alias("status"), "ts", "event_id")
-    base = tempfile.mkdtemp(dir=None if "://" in shared_folder(spark) else shared_folder(spark), prefix="stream-")
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     query = jobs.stream_status(rows, f"{base}/out", f"{base}/checkpoint")
     query.awaitTermination()
     return jobs.newest_status(spark, f"{base}/out").select("show_id", "status", "events")

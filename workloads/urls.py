@@ -51,7 +51,7 @@ def url_shapes(spark, sf_dir):
         customers(spark, sf_dir, url=FORMS).select(F.col("c_custkey").alias("key"), F.lit("form").alias("src"), F.trim("url").alias("url"))
     )
     return both.select(
-        "key", "src", U.url_group("url").alias("url_group"), U.page_number("url").alias("page_number")
+        "key", "src", U.url_group("url").alias("url_group"), F.coalesce(U.page_number("url"), F.lit(-1)).alias("page_number")
     )
 
 
@@ -154,7 +154,7 @@ ORACLES = {
     "url_shapes": f"""
         WITH r AS (SELECT page_id AS key, 'page' AS src, url FROM pages UNION ALL SELECT key, 'form', trim(url) FROM {_FORMS})
         SELECT key, src, CASE WHEN url = 'mailto:a@example.com' THEN '/{{slug}}' ELSE {Q.url_group('url')} END AS url_group,
-               {Q.page_number('url')} AS page_number FROM r""",
+               coalesce({Q.page_number('url')}, -1) AS page_number FROM r""",
     "url_flags": f"""
         WITH r AS (SELECT key, trim(url) AS url, {Q.host('url')} AS h, {Q.normalized('url')} AS u FROM {_FORMS})
         SELECT key, CAST(regexp_matches(lower({Q.path('url')}), '\\.(?:{_ASSETS})$') AS INT) AS is_asset,
