@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stallworks.llm import line_dedup, mixing, quality_rules as quality, sentencepiece
+from stallworks.llm import line_dedup, mixing, ngram_join, quality_rules as quality, sentencepiece
 from stallworks.llm.tables import Scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -23,7 +23,32 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return judged.filter("kept").select(*COLUMNS)
 
 
-STAGES = [("quality rules", quality_stage)]
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that are boilerplate of their source go from the texts; every document stays."""
+    done = line_dedup.drop_boilerplate(docs, F.col("text"), F.col("source"), {c: F.col(c) for c in COLUMNS if c not in ("text", "n_chars")})
+    return done.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
+
+
+def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates the document with the smallest id stays."""
+    return ngram_join.ngram_classes(docs, carry=COLUMNS).filter("kept").select(*COLUMNS)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample whose token shares by source, language and topic are the target shares."""
+    dimensions = {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic()}
+    done = mixing.mixed(docs, dimensions, mixing.token_count(F.coalesce("text", F.lit(""))), F.col("doc_id"),
+                        {f"own_{c}": F.col(c) for c in COLUMNS})
+    return done.filter("kept").select(*(F.col(f"own_{c}").alias(c) for c in COLUMNS))
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_pieces, n_bytes, ids_sha256, score, round_trip of every document that is left."""
+    return sentencepiece.encoding_digest(docs)
+
+
+STAGES = [("quality rules", quality_stage), ("line dedup", line_stage), ("n-gram Jaccard join", join_stage),
+          ("mixing sources", mixing_stage), ("SentencePiece encoding", encoding_stage)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

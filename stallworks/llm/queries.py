@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from stallworks.llm import (
-    line_dedup, mixing, oracles, quality_rules, secret_scan, sentencepiece, token_counts,
+    line_dedup, mixing, ngram_join, oracles, quality_rules, secret_scan, sentencepiece, substring_dedup, token_counts,
 )
 
 
@@ -25,6 +25,14 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(_documents(spark, sf_dir))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(_documents(spark, sf_dir))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_documents(spark, sf_dir))
 
@@ -38,7 +46,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_secret_scan, op2_quality_rules, op5_line_dedup, op8_token_counts, op9_source_mixing, op10_sentencepiece,
+    op1_secret_scan, op2_quality_rules, op5_line_dedup, op6_ngram_join, op7_substring_dedup, op8_token_counts, op9_source_mixing, op10_sentencepiece,
 )}
 ORACLES = {
     "op1_secret_scan": oracles.SECRETS, "op2_quality_rules": oracles.quality(), "op5_line_dedup": oracles.lines(),

@@ -55,11 +55,13 @@ def unique_ids(df: DataFrame, column: str) -> bool:
 
 
 def keyed(scratch: Scratch, df: DataFrame) -> DataFrame:
-    """Adds ``row``, a long that names each row and stays the same in every later read.
+    """Adds ``row``, a long that names each row, stays the same in every later read and follows the order of the ids.
 
     ``df`` has a column ``id``.  Unique whole-number ids are their own keys;
-    otherwise the table is written once with generated keys.
+    otherwise the table is written once, sorted by id (nulls last), with
+    generated keys.
     """
     if unique_ids(df, "id"):
         return df.withColumn("row", F.col("id").cast("long"))
-    return scratch.write(df.withColumn("row", F.monotonically_increasing_id()))
+    ordered = df.orderBy(F.col("id").isNull(), F.col("id"))
+    return scratch.write(ordered.withColumn("row", F.monotonically_increasing_id()))
