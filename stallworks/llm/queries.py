@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from stallworks.llm import (
-    line_dedup, mixing, ngram_join, oracles, quality_rules, secret_scan, sentencepiece, substring_dedup, token_counts,
+    hnsw_dedup, line_dedup, mixing, ngram_join, oracles, quality_classifier, quality_rules, secret_scan, sentencepiece, substring_dedup,
+    token_counts,
 )
 
 
@@ -21,6 +22,14 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_documents(spark, sf_dir))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality_scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw_dedup.embedding_components(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -46,7 +55,8 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_secret_scan, op2_quality_rules, op5_line_dedup, op6_ngram_join, op7_substring_dedup, op8_token_counts, op9_source_mixing, op10_sentencepiece,
+    op1_secret_scan, op2_quality_rules, op3_quality_classifier, op4_embedding_near_dedup, op5_line_dedup,
+     op6_ngram_join, op7_substring_dedup, op8_token_counts, op9_source_mixing, op10_sentencepiece,
 )}
 ORACLES = {
     "op1_secret_scan": oracles.SECRETS, "op2_quality_rules": oracles.quality(), "op5_line_dedup": oracles.lines(),

@@ -19,7 +19,6 @@ _BYTES = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) * np.
 _STEP = 0xD1342543DE82EF95
 _BACK = pow(_STEP, -1, 2**64)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -27,13 +26,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for k, step in enumerate((_STEP, _BACK)):
-            steps = np.full(max(n, 1 << 22), step, dtype=np.uint64)
-            steps[0] = 1
-            _POWERS[k] = np.multiply.accumulate(steps)
-    return _POWERS[0][:n], _POWERS[1]
+def _powers(step: int, n: int) -> np.ndarray:
+    steps = np.full(n, step, dtype=np.uint64)
+    steps[:1] = 1
+    return np.multiply.accumulate(steps)
 
 
 class Words(NamedTuple):
@@ -58,7 +54,7 @@ def words_of(texts: pa.Array) -> Words:
     begin[1:] &= ~word[:-1] | heads[1:n]
     end[:-1] &= ~word[1:] | heads[1:n]
     begins, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    up, down = _powers(n)
+    up, down = _powers(_STEP, n), _powers(_BACK, n)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[data] * up)])
     hashes = mix((total[ends] - total[begins]) * down[begins] + (ends - begins).astype(np.uint64))
     return Words(hashes, begins, ends, np.searchsorted(begins, offsets), data)
