@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
+from html.entities import html5
 
 from pyspark.sql import Column, functions as F
 
@@ -10,22 +12,51 @@ from stallworks import rules
 from stallworks.functions.binding import let
 from stallworks.functions.url import _col, any_of, split_borders
 
-ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"),
-    ("&nbsp;", " "), ("&#160;", " "), ("&ndash;", "–"), ("&mdash;", "—"), ("&rsquo;", "’"), ("&lsquo;", "‘"),
-    ("&hellip;", "…"), ("&reg;", "®"), ("&trade;", "™"), ("&copy;", "©"), ("&eacute;", "é"), ("&#38;", "&"),
-    ("&#x26;", "&"), ("&amp;", "&"),
-]
+# Names that stand without a semicolon, longest first; all names come from the standard library's HTML5 table.
+_BARE = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+ENTITY = "&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;|(?:" + "|".join(_BARE) + "))"
+
+
+def _legacy_codes() -> dict[int, int]:
+    """Codes 128 to 159 mean Windows letters where that code page has one."""
+    held = {}
+    for code in range(128, 160):
+        try:
+            held[code] = ord(bytes([code]).decode("cp1252"))
+        except UnicodeDecodeError:
+            continue
+    return held
+
+
+def _code_point(code: Column) -> Column:
+    """The character of a code; U+FFFD for 0, surrogates and codes beyond Unicode."""
+    legacy = F.create_map(*(F.lit(x) for pair in _legacy_codes().items() for x in pair))
+    code = F.coalesce(F.try_element_at(legacy, code.try_cast("int")), code.try_cast("int"), F.lit(0))
+    bad = (code <= 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
+    return F.decode(F.unhex(F.lpad(F.hex(F.when(bad, F.lit(0xFFFD)).otherwise(code).cast("long")), 8, "0")), "UTF-32")
+
+
+def _entity(entity: Column) -> Column:
+    """What one entity stands for; an unknown name stays as it is."""
+    body = F.regexp_replace(entity, "^&|;$", "")
+    digits = F.when(F.length(body) <= 9, F.substring(body, 2, 9)).otherwise("9999999")
+    hexed = F.when(F.length(body) <= 9, F.conv(F.substring(body, 3, 9), 16, 10)).otherwise("9999999")
+    names = F.from_json(F.lit(json.dumps({n: c for n, c in html5.items()})), "map<string,string>")
+    return (
+        F.when(body.rlike("^#[xX]"), _code_point(hexed.try_cast("bigint")))
+        .when(body.startswith("#"), _code_point(digits.try_cast("bigint")))
+        .otherwise(F.coalesce(F.try_element_at(names, F.substr(entity, F.lit(2))), entity))
+    )
 
 
 def unescape(text: Column | str) -> Column:
-    """The named and numeric entities in use; ``&amp;`` last, so nothing is unescaped twice."""
+    """All HTML5 names and numeric forms, each once: what comes out is not looked at again."""
 
     def replaced(value: Column) -> Column:
-        out = value
-        for entity, char in ENTITIES:
-            out = F.replace(out, F.lit(entity), F.lit(char))
-        return F.when(value.contains("&"), out).otherwise(value)
+        between = F.split(value, ENTITY, -1)
+        found = F.regexp_extract_all(value, F.lit(ENTITY), F.lit(0))
+        parts = F.zip_with(between, found, lambda a, e: F.concat(a, F.when(e.isNull(), "").otherwise(_entity(e))))
+        return F.when(value.contains("&"), F.array_join(parts, "")).otherwise(value)
 
     return let(_col(text), replaced)
 
@@ -261,7 +292,7 @@ def booth_and_name(text: Column | str) -> Column:
     def shortened(raw: Column) -> Column:
         short = F.regexp_replace(raw, rules.BOOTH_NOISE, "")
         short = normalize_text(F.regexp_replace(short, r"^[ \-|,]+|[ \-|,]+$", ""))
-        return F.when(F.length(raw) <= 140, short).otherwise("")
+        return F.when(F.length(raw) <= rules.SHORT_TEXT, short).otherwise("")
 
     raw = normalize_text(F.coalesce(_col(text), F.lit("")))
     return let(let(let(raw, shortened), parts), checked)

@@ -6,6 +6,8 @@ A page list is (seed_url, directory_page, page_url).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stallworks import rules
@@ -69,17 +71,19 @@ def seed_hops(pages: DataFrame, signals: DataFrame) -> DataFrame:
     )
 
 
-def resolve_seeds(seeds: DataFrame, hops: DataFrame, count: int = rules.SEED_HOPS) -> DataFrame:
-    """Follow frames and directory links for a few hops; (seed_url, resolved_url).
+def resolve_seeds(seeds: DataFrame, hops: DataFrame) -> DataFrame:
+    """Follow frames and directory links until nothing new is found; (seed_url, resolved_url).
 
-    One equi join per hop for all seeds.  Targets that the snapshot lacks are not followed.
+    One equi join per hop for all seeds that still move; visited pages end every chain.
+    Targets that the snapshot lacks are not followed.
     """
     known = hops.select(F.col("url").alias("current_url"), "is_platform", "frame_url", "link_url")
     state = seeds.select("seed_url", U.normalize_http_url("seed_url").alias("current_url")).withColumn(
         "visited", F.array("current_url")
     )
-    state = state.join(known, "current_url", "left")
-    for _ in range(count):
+    state = cut_lineage(state.join(known, "current_url", "left"))
+    resting = []
+    while True:
         frame, link = F.col("frame_url"), F.col("link_url")
         fresh = lambda u: u.isNotNull() & ~F.array_contains("visited", F.coalesce(u, F.lit("")))
         target = F.when(~F.coalesce("is_platform", F.lit(True)), F.when(fresh(frame), frame).when(fresh(link), link))
@@ -87,15 +91,19 @@ def resolve_seeds(seeds: DataFrame, hops: DataFrame, count: int = rules.SEED_HOP
             F.col("url").alias("target"), F.col("is_platform").alias("p2"), F.col("frame_url").alias("f2"),
             F.col("link_url").alias("l2"),
         )
-        state = state.withColumn("target", target).join(ahead, "target", "left")
+        state = cut_lineage(state.withColumn("target", target).join(ahead, "target", "left"))
         moved = F.col("p2").isNotNull()
+        resting.append(state.filter(~moved).select("seed_url", "current_url"))
+        state = state.filter(moved)
+        if state.isEmpty():
+            break
         pick = lambda new, old: F.when(moved, F.col(new)).otherwise(F.col(old)).alias(old)
         state = state.select(
             "seed_url", pick("target", "current_url"),
             F.when(moved, F.concat("visited", F.array("target"))).otherwise(F.col("visited")).alias("visited"),
             pick("p2", "is_platform"), pick("f2", "frame_url"), pick("l2", "link_url"),
         )
-    return state.select("seed_url", F.col("current_url").alias("resolved_url"))
+    return reduce(DataFrame.unionByName, resting).withColumnRenamed("current_url", "resolved_url")
 
 
 # --- links between the pages of one listing -----------------------------------
@@ -126,12 +134,12 @@ def pagination_links(seeds: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def crawl_reachable(
-    seeds: DataFrame, edges: DataFrame, known: DataFrame, max_pages: int = rules.MAX_PAGES
+    seeds: DataFrame, edges: DataFrame, known: DataFrame, max_pages: int | None = None
 ) -> DataFrame:
     """Breadth-first walk along pagination links, all seeds at once; a page list.
 
-    Visit order is (level, parent's place, page number, address); where a seed
-    has more pages than asked for, the first in that order are kept.  Each round
+    Visit order is (level, parent's place, page number, address); where
+    ``max_pages`` is asked for, the first in that order are kept.  Each round
     joins only the newest pages and is written down before the next one starts,
     so plans stay short and a lost executor costs one round.  Only pages that
     the snapshot holds (``known``: url) are visited.
@@ -155,13 +163,11 @@ def crawl_reachable(
         )
         sizes = visited.groupBy("seed_url").agg(F.count("*").alias("size"))
         window = Window.partitionBy("seed_url").orderBy("order")
-        ranked = firsts.withColumn("n", F.row_number().over(window)).filter(F.col("n") < max_pages)
-        frontier = cut_lineage(
-            ranked.join(sizes, "seed_url")
-            .withColumn("place", F.col("size") + F.col("n"))
-            .filter(F.col("place") <= max_pages)
-            .select("seed_url", "page_url", "series", "place")
-        )
+        ranked = firsts.withColumn("n", F.row_number().over(window)).join(sizes, "seed_url")
+        ranked = ranked.withColumn("place", F.col("size") + F.col("n"))
+        if max_pages is not None:
+            ranked = ranked.filter(F.col("place") <= max_pages)
+        frontier = cut_lineage(ranked.select("seed_url", "page_url", "series", "place"))
         visited = visited.unionByName(frontier)
     number = F.coalesce(U.page_number("page_url"), F.col("place"))
     return visited.select("seed_url", number.cast("bigint").alias("directory_page"), "page_url", "place")
@@ -247,6 +253,10 @@ def explicit_pages(
     ).select("probe", "profile_url")
     verdict = same_url_set(found, expected, key="probe").filter("n_a > 0 AND NOT same_set")
     best = verdict.groupBy(F.col("probe.seed_url").alias("seed_url")).agg(F.min("probe.priority").alias("priority"))
+    # pages behind the last one that the snapshot may hold are all empty
+    held = page_rows(stated, known.select("url")).groupBy("seed_url").agg(
+        F.greatest(F.coalesce(F.max(U.page_number("url")), F.lit(1)), F.count("*")).alias("last_page"))
+    stated = stated.join(held, "seed_url", "left").withColumn("total", F.least("total", F.coalesce("last_page", F.lit(1))))
     start, end = _range_end(F.col("total"))
     numbered = (
         stated.join(best, "seed_url")
@@ -273,7 +283,7 @@ def first_page_is_seed(page_list: DataFrame, known: DataFrame) -> DataFrame:
     )
 
 
-def query_probe_pages(seeds: DataFrame, params: DataFrame, known: DataFrame, max_pages: int = rules.MAX_PAGES) -> DataFrame:
+def query_probe_pages(seeds: DataFrame, params: DataFrame, known: DataFrame, max_pages: int | None = None) -> DataFrame:
     """Numbered pages of seeds with a page parameter, whether the snapshot holds them or not.
 
     Numbers behind the last page that the snapshot holds of a listing are left
@@ -283,7 +293,8 @@ def query_probe_pages(seeds: DataFrame, params: DataFrame, known: DataFrame, max
         F.coalesce(F.max(U.page_number("url")), F.lit(1)).alias("last_page")
     )
     start = F.greatest(F.coalesce("start_page", F.lit(1)), F.lit(1)).cast("bigint")
-    end = F.least(F.coalesce("end_page", F.lit(max_pages)).cast("bigint"), F.coalesce("last_page", F.lit(1)))
+    asked = F.coalesce("end_page", F.lit(max_pages)).cast("bigint")
+    end = F.least(asked, F.coalesce("last_page", F.lit(1)))  # least() skips NULL
     rows = (
         seeds.join(params, "seed_url")
         .join(last, "seed_url", "left")
@@ -302,12 +313,12 @@ def query_probe(page_list: DataFrame, entries: DataFrame) -> DataFrame:
     return stall_cut(every_page).filter("profile_url IS NOT NULL")
 
 
-def table_pages(seeds: DataFrame, links: DataFrame, params: DataFrame, edges: DataFrame, max_pages: int = rules.MAX_PAGES) -> DataFrame:
+def table_pages(seeds: DataFrame, links: DataFrame, params: DataFrame, edges: DataFrame, max_pages: int | None = None) -> DataFrame:
     """Pages of seeds in table mode: by page parameter, else by the numbered links of the seed page."""
     linked = max_linked_page(links).withColumnRenamed("url", "seed_url")
     start = F.greatest(F.coalesce("start_page", F.lit(1)), F.lit(1)).cast("bigint")
     last = F.coalesce("max_page", F.lit(1)).cast("bigint")
-    asked = F.least(F.coalesce(F.col("end_page").cast("bigint"), last), start + max_pages - 1)
+    asked = F.least(F.coalesce(F.col("end_page").cast("bigint"), last), start + F.lit(max_pages).cast("bigint") - 1)
     end = F.when(last > 1, F.least(asked, last)).otherwise(asked)
     rows = (
         seeds.join(linked, "seed_url", "left")
@@ -341,7 +352,7 @@ def until_empty(page_list: DataFrame, entries: DataFrame) -> DataFrame:
 
 def paginator_pages(
     seeds: DataFrame, configs: DataFrame, tokens: DataFrame, fragments: DataFrame, signals_of, strategies: DataFrame,
-    seed_entries: DataFrame, max_pages: int = rules.MAX_PAGES,
+    seed_entries: DataFrame, max_pages: int | None = None,
 ) -> DataFrame:
     """Entries of scripted paginators.
 
@@ -358,7 +369,7 @@ def paginator_pages(
         .join(seeds.select("seed_url", "start_page", "end_page"), "seed_url")
     )
     start = F.greatest(F.coalesce("start_page", F.lit(1)), F.lit(1))
-    end = F.least(F.coalesce("end_page", F.col("pages")), F.col("pages"), start + max_pages - 1)
+    end = F.least(F.coalesce("end_page", F.col("pages")), F.col("pages"), start + F.lit(max_pages).cast("bigint") - 1)
     usable = cut_lineage(usable.withColumns({"first": start, "last": end}).filter("first <= last"))
     wanted = usable.select(
         "seed_url", "page_id", "script_no", "call_no", "limit", "next_offset", "first", "last",

@@ -50,11 +50,12 @@ def table_entries(pages: DataFrame) -> DataFrame:
     )
 
 
-def top_images(images: DataFrame, seed: str = "url", count: int = rules.TOP_IMAGES) -> DataFrame:
-    """The few images of a page that most likely show a list of participants."""
+def top_images(images: DataFrame, seed: str = "url", count: int | None = None) -> DataFrame:
+    """Images of a page that may show a list of participants, ranked."""
     scored = images.withColumn("score", S.image_score(S.row, F.col(seed))).filter("score >= 30")
     window = Window.partitionBy(seed).orderBy(F.desc("score"), "ord")
-    return scored.withColumn("image_rank", F.row_number().over(window)).filter(F.col("image_rank") <= count)
+    ranked = scored.withColumn("image_rank", F.row_number().over(window))
+    return ranked if count is None else ranked.filter(F.col("image_rank") <= count)
 
 
 def ocr_worthy_images(images: DataFrame) -> DataFrame:

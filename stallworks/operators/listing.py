@@ -148,7 +148,7 @@ def text_container_candidates(rows: DataFrame) -> DataFrame:
     texts = F.filter(F.concat("heading_texts", F.array("text")), lambda t: t.isNotNull())
     named = F.filter(F.transform(texts, T.booth_and_name), lambda p: p["name"] != "")
     out = (
-        rows.filter("in_main AND text_length BETWEEN 1 AND 140 AND size(actions) BETWEEN 1 AND 4")
+        rows.filter(f"in_main AND text_length BETWEEN 1 AND {rules.SHORT_TEXT} AND size(actions) BETWEEN 1 AND 4")
         .filter(~F.exists("actions", lambda a: F.coalesce(a["score"] >= 35, F.lit(False))))
         .withColumn("pair", F.get(named, F.lit(0)))
         .filter("pair IS NOT NULL")
@@ -246,14 +246,15 @@ def fallback_strategies(candidates: DataFrame) -> DataFrame:
     )
 
 
-def rank_strategies(strategies: DataFrame, limit: int = rules.MAX_STRATEGIES) -> DataFrame:
-    """Best strategies per seed, by score then size; equals keep kind, then page order."""
+def rank_strategies(strategies: DataFrame, limit: int | None = None) -> DataFrame:
+    """Strategies per seed, by score then size; equals keep kind, then page order."""
     kind = F.array_position(F.lit(KINDS), F.col("source_kind"))
     window = Window.partitionBy("seed_url").orderBy(
         F.desc("base_score"), F.desc("unique_urls"), kind, "is_fallback", "first_ord",
         F.array_join("signature", " "), "url_group",
     )
-    return strategies.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= limit)
+    ranked = strategies.withColumn("rank", F.row_number().over(window))
+    return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
 
 
 def listing_strategies(candidates: DataFrame) -> DataFrame:
@@ -265,8 +266,7 @@ def matching_entries(candidates: DataFrame, strategies: DataFrame) -> DataFrame:
     """Entries that a strategy finds on each listed page, by relaxing the match where it finds fewer than two.
 
     The counting window is over one page and one strategy, hence bounded by a
-    document.  Strategies are at most twelve rows per seed; AQE picks the join
-    and splits a hot seed.
+    document.  AQE picks the join and splits a hot seed.
     """
     chosen = strategies.select(
         "seed_url", "source_kind", "rank",
@@ -294,21 +294,17 @@ def matching_entries(candidates: DataFrame, strategies: DataFrame) -> DataFrame:
 
 
 def strategy_support(
-    strategies: DataFrame, seed_entries: DataFrame, websites: DataFrame, samples: int = rules.SAMPLE_SIZE
+    strategies: DataFrame, seed_entries: DataFrame, websites: DataFrame, weight: int = rules.SUPPORT_WEIGHT
 ) -> DataFrame:
-    """Score of each strategy after looking at the profiles of its first entries.
+    """Score of each strategy after looking at the profiles of all its entries: their mean points times a weight.
 
     ``websites`` holds (profile_url, website_url) of profiles already read.
     """
     keys = ["seed_url", "source_kind", "rank"]
-    window = Window.partitionBy(*keys).orderBy(F.lower("name"), "first_ord", "url")
-    sampled = (
-        seed_entries.withColumn("place", F.row_number().over(window))
-        .filter(F.col("place") <= samples)
-        .join(websites.withColumnRenamed("profile_url", "url"), "url", "left")
-    )
+    found = websites.groupBy(F.col("profile_url").alias("url")).agg(F.max("website_url").alias("website_url"))
+    sampled = seed_entries.join(found, "url", "left")
     points = F.when(U.fragment("url") != "", 5.0).when(F.coalesce("website_url", F.lit("")) != "", 90.0).otherwise(5.0)
-    sampled = sampled.groupBy(*keys).agg(F.sum(points).alias("sample_points"))
+    sampled = sampled.groupBy(*keys).agg((F.avg(points) * weight).alias("sample_points"))
     counts = seed_entries.groupBy(*keys).agg(F.count("*").alias("entry_count"))
     return (
         strategies.join(counts, keys)

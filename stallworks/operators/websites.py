@@ -74,7 +74,7 @@ def profile_websites(profiles: DataFrame, scripted: DataFrame) -> DataFrame:
     best link; '' where none fits.  Page texts take no part in the joins.
     """
     joined = (
-        profiles.select("url")
+        profiles.select("url").distinct()
         .join(scripted, "url", "left")
         .join(json_ld_urls(profiles), "url", "left")
         .join(best_external_link(profiles), "url", "left")
@@ -97,9 +97,10 @@ def resolve_profiles(entries: DataFrame, websites: DataFrame) -> DataFrame:
     direct = hinted.filter(~F.col("needs_lookup")).select(
         *entries.columns, F.col("hint").alias("website_url"), F.lit(False).alias("looked_up"), F.lit(False).alias("failed")
     )
+    held = websites.groupBy("profile_url").agg(F.max("website_url").alias("found"))
     found = (
         hinted.filter("needs_lookup")
-        .join(websites.withColumnRenamed("website_url", "found"), "profile_url", "left")
+        .join(held, "profile_url", "left")
         .select(
             *entries.columns,
             F.when(F.coalesce("found", F.lit("")) != "", S.validated_website("company_name", "found"))
@@ -114,9 +115,10 @@ def resolve_profiles(entries: DataFrame, websites: DataFrame) -> DataFrame:
 def resolve_blank_from_rendered(records: DataFrame, rendered: DataFrame) -> DataFrame:
     """Second look for records still without website, in a table of rendered profiles."""
     blank = (F.col("website_url") == "") & (F.col("profile_url") != "")
+    held = rendered.filter("website_url <> ''").groupBy("profile_url").agg(F.min("website_url").alias("found"))
     found = (
         records.filter(blank)
-        .join(rendered.select("profile_url", F.col("website_url").alias("found")), "profile_url", "left")
+        .join(held, "profile_url", "left")
         .withColumn("website_url", S.validated_website("company_name", F.coalesce("found", F.lit(""))))
         .select(*records.columns)
     )

@@ -29,14 +29,14 @@ def profile_table(urls: DataFrame, pages: DataFrame, signals: DataFrame) -> Data
     return websites.profile_websites(profiles, websites.scripted_websites(pages))
 
 
-def seed_strategies(seeds: DataFrame, candidates: DataFrame, profiles: DataFrame, samples: int = rules.SAMPLE_SIZE):
+def seed_strategies(seeds: DataFrame, candidates: DataFrame, profiles: DataFrame):
     """(chosen strategy per seed, entries it finds on the seed page)."""
     on_seed = candidates.join(seeds.select("seed_url"), "seed_url", "left_semi").filter("page_url = seed_url").withColumn(
         "directory_page", F.lit(1).cast("bigint")
     )
     ranked = cut_lineage(listing.listing_strategies(on_seed))
     entries = cut_lineage(listing.matching_entries(on_seed, ranked))
-    supported = listing.strategy_support(ranked, entries, profiles, samples)
+    supported = listing.strategy_support(ranked, entries, profiles)
     chosen = cut_lineage(listing.choose_strategy(supported))
     own = entries.join(chosen.select("seed_url", "source_kind", "rank"), ["seed_url", "source_kind", "rank"], "left_semi")
     return chosen, own.withColumnRenamed("url", "profile_url")
@@ -44,7 +44,7 @@ def seed_strategies(seeds: DataFrame, candidates: DataFrame, profiles: DataFrame
 
 def listing_entries(
     seeds: DataFrame, pages: DataFrame, signals: DataFrame, candidates: DataFrame, profiles: DataFrame,
-    fragments: DataFrame | None = None, max_pages: int = rules.MAX_PAGES, samples: int = rules.SAMPLE_SIZE,
+    fragments: DataFrame | None = None, max_pages: int | None = None,
 ) -> DataFrame:
     """Entries found by the chosen listing strategy over all pages of each directory.
 
@@ -52,7 +52,7 @@ def listing_entries(
     ``profiles``: (profile_url, website_url).  Each seed goes one way: stated
     page total, scripted paginator, page parameter, or links between pages.
     """
-    chosen, seed_entries = seed_strategies(seeds, candidates, profiles, samples)
+    chosen, seed_entries = seed_strategies(seeds, candidates, profiles)
     seeds = seeds.join(chosen.select("seed_url"), "seed_url", "left_semi")
     known = signals.select("url")
     seed_pages = pages.join(seeds.select(F.col("seed_url").alias("url")), "url", "left_semi")
@@ -108,7 +108,7 @@ def _one_page(rows: DataFrame, kind: str) -> DataFrame:
     )
 
 
-def table_mode(seeds: DataFrame, pages: DataFrame, signals: DataFrame, max_pages: int = rules.MAX_PAGES) -> DataFrame:
+def table_mode(seeds: DataFrame, pages: DataFrame, signals: DataFrame, max_pages: int | None = None) -> DataFrame:
     """Entries of directories that list companies in tables, over all their pages."""
     seed_key = seeds.select(F.col("seed_url").alias("url"))
     seed_pages = pages.join(seed_key, "url", "left_semi")
@@ -137,7 +137,7 @@ def page_marks(seed_pages: DataFrame) -> dict[str, bool]:
 def directory_candidates(
     seeds: DataFrame, pages: DataFrame, signals: DataFrame, *, fragments: DataFrame | None = None,
     search_payloads: DataFrame | None = None, floorplan_payloads: DataFrame | None = None,
-    ocr_lines: DataFrame | None = None, max_pages: int = rules.MAX_PAGES,
+    ocr_lines: DataFrame | None = None, max_pages: int | None = None,
 ) -> DataFrame:
     """Candidates of the best source of each seed.
 

@@ -176,16 +176,12 @@ NAVIGABLE_ATTRS = ["data-option-url", "data-href", "data-url", "data-link", "dat
 
 # --- fixed values: limits ----------------------------------------------------
 
-MAX_PAGES = 250
-TOTAL_PAGES_LIMIT = 5000
-SAMPLE_SIZE = 3
-MAX_STRATEGIES = 12
-SEED_HOPS = 3
+SUPPORT_WEIGHT = 3
+SHORT_TEXT = 140
 GALLERY_PAGE_SIZE = 50
 MIN_EMBEDDED = 3
 MIN_TABLE = 3
 MIN_LINES = 10
-TOP_IMAGES = 4
 
 # --- fixed values: schedule and campaign state --------------------------------
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -39,10 +40,13 @@ def local_session(cores: str = "*", app: str = "stallworks", shuffle_partitions:
 def shared_folder(spark: SparkSession) -> str:
     """Folder that all executors see, named by ``spark.checkpoint.dir``.
 
-    Only a session that names none (tests, a laptop) gets a folder of its own.
+    Only a local session that names none (tests, a laptop) gets a folder of its
+    own; on a cluster executors would not see it, so it has to be named.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="stallworks-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named

@@ -25,7 +25,6 @@ RAW_END = {name: re.compile(f"</{name}", re.I) for name in ("script", "style")}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 CONTAINERS = frozenset(("article", "div", "li", "section", "tr"))
-SHORT_TEXT = 140
 
 
 class Element:
@@ -35,7 +34,7 @@ class Element:
                  "targets")
 
 
-def scan(html: str, navigable: list[str]) -> dict:
+def scan(html: str, navigable: list[str], short_text: int) -> dict:
     """All signals of a page as plain lists."""
     texts: list[str] = []
     lengths = [0]
@@ -86,7 +85,7 @@ def scan(html: str, navigable: list[str]) -> dict:
                 page["containers"].append(
                     {"ord": len(page["containers"]), "tag": tag, "signature": element.signature, **element.flags,
                      "text_length": length,
-                     "text": " ".join(texts[element.first_text:]) if length <= SHORT_TEXT else None,
+                     "text": " ".join(texts[element.first_text:]) if length <= short_text else None,
                      "first_heading": element.first_heading,
                      "heading_count": len(headings) - element.first_heading,
                      "first_action": element.first_action,

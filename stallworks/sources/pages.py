@@ -13,9 +13,15 @@ ATTRIBUTE = r"""(?is)([A-Za-z_:][A-Za-z0-9_.:-]*)\s*=\s*(?:"([^"]*)"|'([^']*)')"
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """A page snapshot, keyed by the address without fragment."""
+    """A page snapshot with one row per address without fragment.
+
+    Of repeated addresses the longest text counts, of equally long ones the last in order.
+    """
     pages = spark.read.parquet(path)
-    return pages.withColumn("url", F.coalesce(U.normalize_http_url("url"), F.col("url")))
+    pages = pages.withColumn("url", F.coalesce(U.normalize_http_url("url"), F.col("url")))
+    others = [c for c in pages.columns if c != "url"]
+    best = F.max_by(F.struct(*others), F.struct(F.length("html"), F.col("html")))
+    return pages.groupBy("url").agg(best.alias("page")).select("url", "page.*").select(*pages.columns)
 
 
 def all_matches(text: Column | str, pattern: str, group: int) -> Column:
@@ -77,7 +83,7 @@ def total_pages(html: Column | str) -> Column:
     """Largest page total that the page's scripts state, NULL without one."""
     found = F.concat(*[all_matches(html, pattern, 1) for pattern in rules.TOTAL_PAGE_PATTERNS])
     values = F.transform(found, lambda v: v.try_cast("bigint"))
-    return F.array_max(F.filter(values, lambda v: (v > 1) & (v <= rules.TOTAL_PAGES_LIMIT)))
+    return F.array_max(F.filter(values, lambda v: v > 1))
 
 
 def form_tokens(pages: DataFrame, *keep: str) -> DataFrame:

@@ -43,14 +43,14 @@ def page_signals(pages: DataFrame) -> DataFrame:
     """
     ddl = " ".join(SIGNALS.split())
     arrow = to_arrow_schema(StructType.fromDDL(ddl))
-    navigable = list(rules.NAVIGABLE_ATTRS)
+    navigable, short_text = list(rules.NAVIGABLE_ATTRS), rules.SHORT_TEXT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS_PER_BATCH):
                 rows = []
                 for record in batch.slice(start, ROWS_PER_BATCH).to_pylist():
-                    page = html_scan.scan(record["html"] or "", navigable)
+                    page = html_scan.scan(record["html"] or "", navigable, short_text)
                     walked = [json_walk.linked_data(block) for block in page["json_ld_blocks"]]
                     page["ld_texts"] = [leaf for texts, _ in walked for leaf in texts]
                     page["ld_names"] = [name for _, names in walked for name in names]

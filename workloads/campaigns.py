@@ -171,8 +171,8 @@ def dashboard_counts(spark, sf_dir):
 
 
 def section_positions(spark, sf_dir):
-    """First cards of the board in display order."""
-    return B.section_order(B.show_cards(shows(spark, sf_dir), NOW)).limit(50).select("id", "section")
+    """Cards of the board in display order."""
+    return B.section_order(B.show_cards(shows(spark, sf_dir), NOW)).select("id", "section")
 
 
 def runs_latest(spark, sf_dir):
@@ -426,7 +426,7 @@ ORACLES = {
         FROM b GROUP BY ROLLUP (board)""",
     "section_positions": f"""
         WITH {_SHOWS}, c AS (SELECT *, {_flow_case(1)} AS section FROM sh)
-        SELECT id, section FROM c ORDER BY section, CASE WHEN section = 'completed' THEN event_date END NULLS FIRST, run_at, event_date, id LIMIT 50""",
+        SELECT id, section FROM c ORDER BY section, CASE WHEN section = 'completed' THEN event_date END NULLS FIRST, run_at, event_date, id""",
     "runs_latest": f"""
         WITH {_RUNS}, r AS (SELECT *, row_number() OVER (PARTITION BY show_id ORDER BY created_at DESC, id DESC) AS n, count(*) OVER (PARTITION BY show_id) AS c FROM ru)
         SELECT show_id, c AS run_count, id AS run_id, status AS run_status, strftime(created_at, '%Y-%m-%d 00:00:00') AS run_created_at FROM r WHERE n = 1""",

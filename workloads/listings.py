@@ -226,7 +226,10 @@ QUERIES = {
 
 _PAGE_URL = Q.normalized("url")
 _ROOT = "concat(regexp_extract(url, '^[a-z]+://'), regexp_extract(url, '^[a-z]+://([^/?#]*)', 1))"
-_LINKS = f"""
+# one row per address, as the page reader keeps them
+_UNIQUE = f"""pages AS (
+        SELECT * FROM main.pages QUALIFY row_number() OVER (PARTITION BY coalesce({_PAGE_URL}, url) ORDER BY length(html) DESC, html DESC) = 1)"""
+_LINKS = f"""{_UNIQUE},
     x AS (SELECT {_PAGE_URL} AS url, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS hs,
                  regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS ts FROM pages),
     l AS (SELECT url, unnest(range(len(hs))) AS ord, concat({_ROOT}, unnest(hs)) AS absolute_url, unnest(ts) AS raw FROM x)"""
@@ -247,7 +250,7 @@ _SITE_PAGES = f"""
 
 ORACLES = {
     "page_links": f"""WITH {_LINKS} SELECT url, ord, absolute_url, {Q.norm("replace(raw, '&amp;', '&')")} AS text, 1 AS in_nav FROM l""",
-    "page_signal_counts": f"""
+    "page_signal_counts": f"""WITH {_UNIQUE}
         SELECT {_PAGE_URL} AS url, {Q.norm("replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&amp;', '&')")} AS title,
             {Q.norm("replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&lt;', '<'), '&amp;', '&')")} AS h1,
             len(regexp_extract_all(html, '<a href=')) AS anchors, len(regexp_extract_all(html, '<li><a href=')) AS items FROM pages""",
@@ -260,10 +263,10 @@ ORACLES = {
                 array_to_string(list_transform(list_sort(list(struct_pack(o := ord, u := u, n := name)))[1:3], lambda x: x.n), '|') AS names FROM k GROUP BY host HAVING count(DISTINCT u) >= 3),
         a AS (SELECT * FROM g UNION ALL SELECT * FROM f),
         r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY s DESC, n DESC, fb, o, url_group) AS rank FROM a)
-        SELECT host, url_group, n AS unique_urls, round(s, 6) AS base_score, rank, names AS sample_names FROM r WHERE rank <= 12""",
+        SELECT host, url_group, n AS unique_urls, round(s, 6) AS base_score, rank, names AS sample_names FROM r""",
     "best_links_per_url": f"""
         WITH {_SITE} SELECT host, u AS url, arg_max(name, struct_pack(d := dom, l := length(name), o := -ord)) AS name, min(ord) AS first_ord FROM k GROUP BY host, u""",
-    "page_param_links": f"""SELECT coalesce({Q.page_number('url')}, 1) AS page_number, 'generic' AS platform, count(*) AS n FROM pages GROUP BY ALL""",
+    "page_param_links": f"""WITH {_UNIQUE} SELECT coalesce({Q.page_number('url')}, 1) AS page_number, 'generic' AS platform, count(*) AS n FROM pages GROUP BY ALL""",
     "best_frames": """
         SELECT concat('https://land-', c_custkey, '.example.com/') AS url, CASE c_custkey % 5 WHEN 0 THEN concat('https://show', c_custkey, '.expofp.com/')
             ELSE concat('https://land-', c_custkey, '.example.com/vendor-frame') END AS frame_url FROM customer WHERE c_custkey % 5 IN (0, 1)""",

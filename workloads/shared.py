@@ -31,7 +31,7 @@ def spread(spark: SparkSession, df: DataFrame) -> DataFrame:
 
 
 def page_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.read_pages(spark, f"{sf_dir}/pages.parquet")
+    return written(spark, sf_dir, "pages", lambda: P.read_pages(spark, f"{sf_dir}/pages.parquet"))
 
 
 def page_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
