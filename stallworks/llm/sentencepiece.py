@@ -38,7 +38,7 @@ UNKNOWN_PENALTY = 10.0
 #: segments longer than this are solved one by one
 LONG = 48
 #: distinct segments that a task remembers before it starts anew
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 
 
 @lru_cache(maxsize=2)
@@ -257,35 +257,45 @@ def decode_ids(m: dict, ids: np.ndarray) -> bytes:
     return data[1:] if data[:1] == b" " else data
 
 
-def _chunks(texts: list[str], limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def _chunks(sizes: list[int], limit: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows with few characters each; every text stays whole."""
     start, held = 0, 0
-    for i, text in enumerate(texts):
-        held += len(text)
+    for i, size in enumerate(sizes):
+        held += size
         if held > limit:
             yield start, i + 1
             start, held = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
-def encode(docs: DataFrame, text: str = "text", model_path: str = MODEL, ids: str = "ids", score: str = "score") -> DataFrame:
-    """All columns of ``docs``, then ``ids`` (array<int>) and ``score`` (sum of log scores); names must be new."""
+def encode(
+    docs: DataFrame, text: str = "text", model_path: str = MODEL, ids: str = "ids", score: str = "score", decoded: str | None = None,
+) -> DataFrame:
+    """All columns of ``docs``, then ``ids`` (array<int>), ``score`` (sum of log scores) and, if named, the text decoded from the ids.
+
+    The new names must not clash with the old ones.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(build(model_path))
+    fields = [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(score, T.DoubleType())]
+    if decoded is not None:
+        fields.append(T.StructField(decoded, T.StringType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared)
         for batch in batches:
-            texts = pc.fill_null(batch.column(batch.schema.get_field_index(text)), "").to_pylist()
-            for low, high in _chunks(texts):
-                flat, sizes, scores = encoder.encode(texts[low:high])
-                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-                new = [pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.array(scores)]
+            column = pc.fill_null(batch.column(batch.schema.get_field_index(text)), "")
+            for low, high in _chunks(pc.utf8_length(column).to_pylist()):
+                flat, sizes, scores = encoder.encode(column.slice(low, high - low).to_pylist())
+                offsets = np.concatenate([[0], np.cumsum(sizes)])
+                new = [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat)), pa.array(scores)]
+                if decoded is not None:
+                    texts = [decode_ids(encoder.m, flat[a:b]).decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:])]
+                    new.append(pa.array(texts, pa.string()))
                 part = batch.slice(low, high - low)
-                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*batch.schema.names, ids, score])
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*batch.schema.names, *(f.name for f in fields)])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(score, T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
 
 
 def decode(rows: DataFrame, ids: str = "ids", model_path: str = MODEL, text: str = "decoded") -> DataFrame:
@@ -312,7 +322,7 @@ def byte_pieces(ids: Column, model_path: str = MODEL) -> Column:
 def encoding_digest(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
     """doc_id, n_pieces, n_bytes, ids_sha256 (ids joined by commas), score, round_trip for (doc_id, text)."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    done = decode(encode(rows, model_path=model_path), model_path=model_path)
+    done = encode(rows, model_path=model_path, decoded="decoded")
     return done.select(
         "doc_id", F.size("ids").cast("long").alias("n_pieces"), byte_pieces(F.col("ids"), model_path).alias("n_bytes"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.round("score", 4).alias("score"),
