@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -11,13 +12,11 @@ from pyspark.sql.types import StructType
 
 from stallworks import rules
 from stallworks.functions import text as T, url as U
+from stallworks.session import cut_lineage
 from stallworks.sources import json_walk
 from stallworks.sources.signals import ROWS_PER_BATCH
 
-STATE_ROWS = (
-    "url string, source int, seq int, kind string, node string, ref string, typename string, item_id string, "
-    "leaves array<struct<path array<string>, value string>>, event_slug string, titles array<string>"
-)
+STATE_NODES = "url string, source int, no int, parent int, key string, kind string, text string, size int"
 GALLERY_ROWS = (
     "url string, gallery_no int, item_count int, item_no int, title string, alt string, file_name string, "
     "name string, targets array<string>"
@@ -49,33 +48,104 @@ def _map(df: DataFrame, ddl: str, rows_of) -> DataFrame:
     return df.mapInArrow(run, ddl)
 
 
-def embedded_state(pages: DataFrame) -> DataFrame:
-    """Flat rows of the state objects that a page's scripts hold.
+def state_nodes(pages: DataFrame) -> DataFrame:
+    """All values of the state objects that a page's scripts hold, one row each.
 
     Pages without such scripts are dropped before any text goes to Python.
     """
-    words, variables = list(rules.LIST_KEY_WORDS), list(rules.STATE_VARIABLES)
-    slug_keys, title_keys = list(rules.EVENT_SLUG_KEYS), list(rules.TITLE_KEYS)
+    variables = list(rules.STATE_VARIABLES)
     markers = F.col("html").contains("__NEXT_DATA__")
     for variable in variables:
         markers = markers | F.col("html").contains(variable)
     found = pages.filter(markers).select("url", "html", F.regexp_extract("html", NEXT_DATA, 1).alias("next_data"))
 
-    def is_list_key(key: str) -> bool:
-        return any(word in key for word in words)
-
     def rows_of(record: dict) -> Iterator[dict]:
         states = [json_walk.parse(record["next_data"])] if record["next_data"] else []
         states += [json_walk.assigned(record["html"], name) for name in variables]
         for source, data in enumerate(s for s in states if s is not None):
-            slug, titles = json_walk.titles(data, slug_keys, title_keys)
-            cache = data.get("apolloState") if isinstance(data, dict) else None
-            items = list(json_walk.cache_rows(cache, is_list_key)) if isinstance(cache, dict) else []
-            items += json_walk.listed(data, is_list_key)
-            for seq, row in enumerate(items):
-                yield {**row, "url": record["url"], "source": source, "seq": seq, "event_slug": slug, "titles": titles}
+            if isinstance(data, dict):
+                for row in json_walk.nodes(data):
+                    yield {**row, "url": record["url"], "source": source}
+
+    return _map(found, STATE_NODES, rows_of)
+
 
-    return _map(found, STATE_ROWS, rows_of)
+def embedded_state(pages: DataFrame) -> DataFrame:
+    """Objects of the state that may be companies, with their fields, and references to such objects.
+
+    (url, source, seq, kind, node, ref, typename, item_id, leaves, event_slug, titles)
+    kind ``listed``: object of a list of at least three objects under a list-like
+    key, at any depth; ``node``: entry of the normalised cache, named by ``node``;
+    ``held`` and ``ref``: object in, and name of an entry in, a list-like
+    connection of such an entry.  Every step joins values with what holds them.
+    """
+    document = ["url", "source"]
+    values = cut_lineage(state_nodes(pages).withColumn("list_like", T.contains_any(T.canonical_label("key"), rules.LIST_KEY_WORDS)))
+
+    def inside(owners: DataFrame, *keep: str) -> DataFrame:
+        held = owners.select(*document, F.col("no").alias("parent"), *keep)
+        return values.drop(*keep).join(held, [*document, "parent"])
+
+    lists = values.filter("kind = 'list' AND list_like AND size >= 3")
+    members = inside(lists)
+    mixed = members.filter("kind <> 'object'").select(*document, "parent").distinct()
+    listed = members.join(mixed, [*document, "parent"], "left_anti").select(*document, "no", F.lit("listed").alias("what"))
+
+    root = values.filter("parent IS NULL")
+    outer = inside(root)
+    entries = inside(outer.filter("key = 'apolloState' AND kind = 'object'")).filter("kind = 'object'")
+    connections = inside(entries).filter("list_like")
+    parts = inside(connections.filter("kind = 'object'")).filter("kind = 'list' AND key IN ('nodes', 'edges')")
+    by_nodes = parts.filter("key = 'nodes'")
+    by_edges = parts.filter("key = 'edges'").join(by_nodes.select(*document, "parent"), [*document, "parent"], "left_anti")
+    edge = inside(inside(by_edges).filter("kind = 'object'")).filter("key = 'node'")
+    plain = inside(connections.filter("kind = 'list'").unionByName(by_nodes))
+    items = cut_lineage(plain.unionByName(edge))
+    objects = items.filter("kind = 'object' AND size > 0")
+    named = inside(objects).filter("key = '__ref' AND kind = 'text'")
+    refs = items.filter("kind = 'text'").select(*document, F.col("no").alias("seq"), F.col("text").alias("ref")).unionByName(
+        named.select(*document, F.col("parent").alias("seq"), F.col("text").alias("ref")))
+    held = objects.join(named.select(*document, F.col("parent").alias("no")), [*document, "no"], "left_anti").select(
+        *document, "no", F.lit("held").alias("what"))
+    found = cut_lineage(
+        listed.withColumn("node", F.lit("")).unionByName(held.withColumn("node", F.lit("")))
+        .unionByName(entries.select(*document, "no", F.lit("node").alias("what"), F.col("key").alias("node"))))
+
+    own = inside(found.select(*document, "no").distinct()).withColumn("owner", F.col("parent"))
+    deeper = inside(own.filter("kind = 'object'").withColumn("outer_key", F.col("key")), "owner", "outer_key")
+    field = lambda path: F.struct("no", path.alias("path"), F.col("text").alias("value"))
+    texts = own.filter("kind = 'text'").select(*document, "owner", field(F.array(T.canonical_key("key"))).alias("leaf")).unionByName(
+        deeper.filter("kind = 'text'").select(
+            *document, "owner", field(F.array(T.canonical_key("outer_key"), T.canonical_key("key"))).alias("leaf")))
+    leaves = texts.groupBy(*document, "owner").agg(F.transform(F.sort_array(F.collect_list("leaf")), lambda l: F.struct(
+        l["path"].alias("path"), l["value"].alias("value"))).alias("leaves"))
+    scalar = lambda key: F.coalesce(F.max(F.when((F.col("key") == key) & F.col("kind").isin("text", "other"), F.col("text"))), F.lit(""))
+    facts = own.groupBy(*document, "owner").agg(scalar("__typename").alias("typename"), scalar("id").alias("id"), scalar("_id").alias("_id"))
+    filled = found.withColumnRenamed("no", "owner").join(facts, [*document, "owner"], "left").join(leaves, [*document, "owner"], "left")
+    none = F.expr("cast(array() AS array<struct<path:array<string>,value:string>>)")
+    blank = lambda name: F.coalesce(F.col(name), F.lit(""))
+    rows = filled.select(
+        *document, F.col("owner").alias("seq"), F.col("what").alias("kind"), "node", F.lit("").alias("ref"), blank("typename").alias("typename"),
+        F.coalesce(F.nullif("id", F.lit("")), F.col("_id"), F.lit("")).alias("item_id"), F.coalesce("leaves", none).alias("leaves"),
+    ).unionByName(refs.select(
+        *document, "seq", F.lit("ref").alias("kind"), F.lit("").alias("node"), "ref", F.lit("").alias("typename"), F.lit("").alias("item_id"),
+        none.alias("leaves")))
+    return rows.join(_state_titles(outer, inside), document, "left").select(
+        *rows.columns, blank("event_slug").alias("event_slug"), F.coalesce("titles", F.expr("cast(array() AS array<string>)")).alias("titles"))
+
+
+def _state_titles(outer: DataFrame, inside) -> DataFrame:
+    """(url, source, event_slug, titles) from the outer objects of a state, nearest first, then in the order of the keys."""
+    props = inside(outer.filter("key = 'props' AND kind = 'object'"))
+    places = [outer, props, inside(props.filter("key = 'pageProps' AND kind = 'object'")), inside(outer.filter("key = 'query' AND kind = 'object'"))]
+    rows = reduce(DataFrame.unionByName, [p.withColumn("place", F.lit(k)) for k, p in enumerate(places)])
+    rows = rows.filter(F.col("kind").isin("text", "other")).withColumn("value", T.normalize_text("text")).filter("value <> ''")
+    rank = lambda keys: F.array_position(F.lit(keys), F.col("key"))
+    slug, title = rank(rules.EVENT_SLUG_KEYS), rank(rules.TITLE_KEYS)
+    ordered = F.sort_array(F.collect_list(F.when((title > 0) & (F.col("place") < 3), F.struct("place", title.alias("rank"), "value"))))
+    return rows.groupBy("url", "source").agg(
+        F.min_by(F.when(slug > 0, F.col("value")), F.when(slug > 0, F.struct("place", slug.alias("rank")))).alias("event_slug"),
+        F.transform(ordered, lambda t: t["value"]).alias("titles"))
 
 
 def gallery_items(pages: DataFrame) -> DataFrame:
@@ -144,10 +214,6 @@ def floorplan_payload_entries(payloads: DataFrame) -> DataFrame:
     )
 
 
-def event_slug_of(state: DataFrame) -> DataFrame:
-    return state.select("url", "source", "event_slug").distinct()
-
-
 def json_leaves(df: DataFrame, column: str, *keep: str) -> DataFrame:
     """(path, value) of the scalars in a JSON column down to depth two, without leaving the JVM.
 

@@ -1,8 +1,8 @@
-"""Walks over JSON documents: the helper that runs inside the page jobs' tasks.
+"""JSON of page scripts as flat rows: the helper that runs inside the page jobs' tasks.
 
-It only turns a document into flat rows (leaves with their key paths, items of
-lists, nodes of a normalised cache); which of them name a company is decided in
-the plan.
+Which rows are lists, references or fields of a company is decided in the plan.
+(Variants would keep the work in the JVM, but they sort the keys of objects, and
+the first of several names counts in document order.)
 """
 
 from __future__ import annotations
@@ -10,8 +10,6 @@ from __future__ import annotations
 import json
 import re
 
-KEY = re.compile(r"[^a-z0-9]+")
-
 
 def parse(text: str):
     try:
@@ -21,82 +19,35 @@ def parse(text: str):
 
 
 def assigned(text: str, name: str):
-    """JSON value assigned to a script variable."""
-    for pattern in (rf"window\.{re.escape(name)}\s*=\s*", rf"var\s+{re.escape(name)}\s*=\s*",
-                    rf"\b{re.escape(name)}\s*=\s*"):
-        for match in re.finditer(pattern, text):
-            if text[match.end():match.end() + 1] in ("{", "["):
-                try:
-                    return json.JSONDecoder().raw_decode(text, match.end())[0]
-                except ValueError:
-                    continue
+    """JSON value assigned to a script variable: on ``window``, by ``var``, or bare, in this order."""
+    pattern = re.compile(rf"(?:(window\.)|(var\s+)|\b){re.escape(name)}\s*=\s*(?=[{{\[])")
+    found = sorted(pattern.finditer(text), key=lambda m: (not m[1], not m[2], m.start()))
+    decoder = json.JSONDecoder()
+    for match in found:
+        try:
+            return decoder.raw_decode(text, match.end())[0]
+        except ValueError:
+            continue
     return None
 
 
-def label(key: str) -> str:
-    return KEY.sub(" ", " ".join(str(key).split()).lower()).strip()
-
-
-def leaves(value, limit: int = 2, path: tuple = (), depth: int = 0):
-    """(path of canonical keys, text) down to a depth; scalars inside lists do not count."""
-    if isinstance(value, dict):
-        if depth < limit:
-            for key, nested in value.items():
-                yield from leaves(nested, limit, path + (label(key).replace(" ", ""),), depth + 1)
-    elif isinstance(value, list):
-        if depth < limit:
-            for nested in value:
-                if isinstance(nested, (dict, list)):
-                    yield from leaves(nested, limit, path, depth + 1)
-    elif isinstance(value, str) and path:
-        yield {"path": list(path), "value": value}
-
-
-def connection(value) -> list:
-    """Items of ``nodes``, ``edges[].node`` or a plain list."""
-    if isinstance(value, dict):
-        if isinstance(value.get("nodes"), list):
-            return value["nodes"]
-        if isinstance(value.get("edges"), list):
-            return [edge["node"] for edge in value["edges"] if isinstance(edge, dict) and "node" in edge]
-    return value if isinstance(value, list) else []
-
-
-def item(kind: str, value, node: str = "", ref: str = "") -> dict:
-    mapping = value if isinstance(value, dict) else {}
-    return {"kind": kind, "node": node, "ref": ref, "typename": str(mapping.get("__typename") or ""),
-            "item_id": str(mapping.get("id") or mapping.get("_id") or ""), "leaves": list(leaves(mapping))}
-
-
-def listed(value, is_list_key, depth: int = 0, under_key: bool = False, limit: int = 6):
-    """Objects of every list of at least three objects under a list-like key."""
-    if depth > limit:
-        return
-    if isinstance(value, dict):
-        for key, nested in value.items():
-            if (isinstance(nested, list) and len(nested) >= 3 and all(isinstance(n, dict) for n in nested)
-                    and is_list_key(label(key))):
-                yield from (item("listed", n) for n in nested)
-            yield from listed(nested, is_list_key, depth + 1, True, limit)
-    elif isinstance(value, list) and under_key:
-        for nested in value:
-            yield from listed(nested, is_list_key, depth + 1, True, limit)
-
-
-def cache_rows(state: dict, is_list_key):
-    """Nodes of a normalised cache, and the references and objects its lists hold."""
-    for node, value in state.items():
-        if isinstance(value, dict):
-            yield item("node", value, node=str(node))
-            for key, nested in value.items():
-                if is_list_key(label(key)):
-                    for entry in connection(nested):
-                        if isinstance(entry, str):
-                            yield item("ref", None, ref=entry)
-                        elif isinstance(entry, dict) and isinstance(entry.get("__ref"), str):
-                            yield item("ref", None, ref=entry["__ref"])
-                        elif isinstance(entry, dict) and entry:
-                            yield item("held", entry)
+def nodes(document) -> list[dict]:
+    """Every value of a document as a row, in document order: what it is, its key, and the row number of what holds it."""
+    rows: list[dict] = []
+    waiting = [(None, None, document)]
+    while waiting:
+        parent, key, value = waiting.pop()
+        row = {"no": len(rows), "parent": parent, "key": key, "kind": "other", "text": "", "size": 0}
+        rows.append(row)
+        if isinstance(value, (dict, list)):
+            members = list(value.items()) if isinstance(value, dict) else [(None, v) for v in value]
+            row |= {"kind": "object" if isinstance(value, dict) else "list", "size": len(members)}
+            waiting += [(row["no"], k, v) for k, v in reversed(members)]
+        elif isinstance(value, str):
+            row |= {"kind": "text", "text": value}
+        elif value:
+            row["text"] = str(value)
+    return rows
 
 
 def linked_data(block: str) -> tuple[list, list]:
@@ -141,17 +92,3 @@ def _gallery_item(entry: dict) -> dict:
     out = {name: str(meta.get(key) or "") for name, key in
            (("title", "title"), ("alt", "alt"), ("file_name", "fileName"), ("name", "name"))}
     return {**out, "targets": targets + [str(link.get("text") or "")] if link else []}
-
-
-def titles(data, slug_keys: list, title_keys: list) -> tuple[str, list]:
-    """First event slug, and all title texts of the outer objects."""
-    data = data if isinstance(data, dict) else {}
-    props = data.get("props") if isinstance(data.get("props"), dict) else {}
-    inner = props.get("pageProps") if isinstance(props.get("pageProps"), dict) else {}
-    asked = data.get("query") if isinstance(data.get("query"), dict) else {}
-
-    def texts(parts, keys):
-        found = (" ".join(str(part.get(key) or "").split()) for part in parts for key in keys)
-        return [text for text in found if text]
-
-    return next(iter(texts((data, props, inner, asked), slug_keys)), ""), texts((data, props, inner), title_keys)

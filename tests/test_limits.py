@@ -68,3 +68,29 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError):
         session.shared_folder(Cluster)
+
+
+def test_state_objects_at_any_depth(spark):
+    import json
+
+    from stallworks.sources import embedded
+
+    people = [{"name": f"Maker {i}", "id": i, "about": {"website": f"https://m{i}.com"}, "tags": ["x"]} for i in range(3)]
+    deep: object = {"exhibitors": people}
+    for level in range(9):
+        deep = {f"k{level}": [deep]} if level % 2 else {f"k{level}": deep}
+    cache = {
+        "Root": {"exhibitors": {"nodes": ["E:1", {"__ref": "E:2"}, {"name": "Inline", "_id": "i"}]},
+                 "sponsors": {"edges": [{"node": {"__ref": "E:1"}}, {"cursor": 1}]}, "other": ["E:1"]},
+        "E:1": {"__typename": "Exhibitor", "id": "e1", "name": "One"}, "E:2": {"__typename": "Exhibitor", "id": 0, "name": "Two"},
+    }
+    state = {"apolloState": cache, "deep": deep, "props": {"pageProps": {"slug": " my-show ", "title": "Show"}}, "name": "Outer"}
+    pages = [("https://a.example.com/", f"<script>x = 1; window.__INITIAL_STATE__ = {json.dumps(state)};</script>"), ("https://b.example.com/", "none"),
+             ("https://c.example.com/", "<script>__data = {broken; var __data = [1]</script>")]
+    rows = embedded.embedded_state(spark.createDataFrame(pages, "url string, html string")).collect()
+    kinds = {k: sorted((r for r in rows if r.kind == k), key=lambda r: r.seq) for k in ("listed", "ref", "held", "node")}
+    assert [r.item_id for r in kinds["listed"]] == ["", "1", "2"]
+    assert [(l.path, l.value) for l in kinds["listed"][1].leaves] == [(["name"], "Maker 1"), (["about", "website"], "https://m1.com")]
+    assert [r.ref for r in kinds["ref"]] == ["E:1", "E:2", "E:1"] and [r.item_id for r in kinds["held"]] == ["i"]
+    assert [(r.node, r.item_id, r.typename) for r in kinds["node"]] == [("Root", "", ""), ("E:1", "e1", "Exhibitor"), ("E:2", "", "Exhibitor")]
+    assert {r.event_slug for r in rows} == {"my-show"} and {tuple(r.titles) for r in rows} == {("Outer", "Show")}

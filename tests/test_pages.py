@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stallworks.operators import crawl, embedded, lines, listing, websites
 from stallworks.sources import embedded as E, pages as P, signals as G
+from stallworks import rules
 from stallworks.sources.html_scan import scan
 
 ATTRS = ["data-href"]
@@ -16,7 +17,7 @@ def page_frame(spark, *pages):
 
 
 def test_void_elements_and_unclosed_tags():
-    page = scan('<main><p>one<p>two<a href=x><img src=i.png>T</a><br>three</main><a href="y">out</a>', ATTRS)
+    page = scan('<main><p>one<p>two<a href=x><img src=i.png>T</a><br>three</main><a href="y">out</a>', ATTRS, rules.SHORT_TEXT)
     assert [(a["text"], a["href"], a["in_main"]) for a in page["anchors"]] == [("T", "x", True), ("out", "y", False)]
     assert page["images"][0]["src"] == "i.png"
 
@@ -24,14 +25,14 @@ def test_void_elements_and_unclosed_tags():
 def test_regions_scripts_entities_and_headings():
     page = scan(
         "<title>A &amp; B</title><script>var t='</p><a href=bad>no</a>';</script><style>p{}</style><h1>One <b>two</b></h1>"
-        "<header><a href=/h>H</a></header><nav><a href=/n>N</a></nav><footer><a href=/f>F</a></footer><!-- <a href=/c>C</a> -->", ATTRS)
+        "<header><a href=/h>H</a></header><nav><a href=/n>N</a></nav><footer><a href=/f>F</a></footer><!-- <a href=/c>C</a> -->", ATTRS, rules.SHORT_TEXT)
     assert page["title"] == "A & B" and page["h1_texts"] == ["One two"]
     flags = {a["href"]: (a["in_header"], a["in_nav"], a["in_footer"]) for a in page["anchors"]}
     assert flags == {"/h": (True, False, False), "/n": (False, True, False), "/f": (False, False, True)}
 
 
 def test_container_ranges_hold_only_their_own_actions():
-    page = scan('<div><div id=A class="x y z"><h3>T</h3><a href=1>a</a></div><div><button data-href=2>b</button></div></div>', ATTRS)
+    page = scan('<div><div id=A class="x y z"><h3>T</h3><a href=1>a</a></div><div><button data-href=2>b</button></div></div>', ATTRS, rules.SHORT_TEXT)
     inner, second, outer = page["containers"]
     assert inner["signature"][-1] == "div#a.x.y" and (inner["first_action"], inner["action_count"], inner["heading_count"]) == (0, 1, 1)
     assert (second["first_action"], second["action_count"], second["heading_count"]) == (1, 1, 0)
@@ -40,7 +41,7 @@ def test_container_ranges_hold_only_their_own_actions():
 
 def test_broken_markup_ends():
     for html in ("", "<", "<a href='x", "<div <div>", "</p></p>", "<script>never closed", "<a href=\"x>y</a>" * 50, "<!-- open"):
-        scan(html, ATTRS)
+        scan(html, ATTRS, rules.SHORT_TEXT)
 
 
 LIST = """<html><body><nav><a href="/company/n1">Nav One</a><a href="/company/n2">Nav Two</a><a href="/company/n3">Nav Three</a></nav><main>
