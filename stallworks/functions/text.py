@@ -13,6 +13,8 @@ from stallworks.functions.binding import let
 from stallworks.functions.url import _col, any_of, split_borders
 
 # Names that stand without a semicolon, longest first; all names come from the standard library's HTML5 table.
+_ALL_NAMES = json.dumps(html5)
+_COMMON = ["amp;", "lt;", "gt;", "quot;", "apos;", "nbsp;", "ndash;", "mdash;", "rsquo;", "lsquo;", "hellip;", "reg;", "trade;", "copy;", "eacute;"]
 _BARE = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
 ENTITY = "&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;|(?:" + "|".join(_BARE) + "))"
 
@@ -41,11 +43,13 @@ def _entity(entity: Column) -> Column:
     body = F.regexp_replace(entity, "^&|;$", "")
     digits = F.when(F.length(body) <= 9, F.substring(body, 2, 9)).otherwise("9999999")
     hexed = F.when(F.length(body) <= 9, F.conv(F.substring(body, 3, 9), 16, 10)).otherwise("9999999")
-    names = F.from_json(F.lit(json.dumps({n: c for n, c in html5.items()})), "map<string,string>")
+    common = F.create_map(*(F.lit(x) for name in _COMMON for x in (name, html5[name])))
+    names = F.from_json(F.lit(_ALL_NAMES), "map<string,string>")  # searched one by one: only for what is not common
+    name = F.substr(entity, F.lit(2))
     return (
         F.when(body.rlike("^#[xX]"), _code_point(hexed.try_cast("bigint")))
         .when(body.startswith("#"), _code_point(digits.try_cast("bigint")))
-        .otherwise(F.coalesce(F.try_element_at(names, F.substr(entity, F.lit(2))), entity))
+        .otherwise(F.coalesce(F.try_element_at(common, name), F.try_element_at(names, name), entity))
     )
 
 
