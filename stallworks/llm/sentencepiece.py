@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import os
 import re
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -119,7 +118,7 @@ def build(path: str = MODEL) -> dict:
     for value, i in enumerate(model["byte_ids"]):
         spelled[i] = bytes([value])
     lengths = np.array([len(s) for s in spelled], dtype=np.int64)
-    return {"token": uuid.uuid4().hex, "base": base, "check": check, "ends": ends, "table": table, "scores": model["scores"], "byte_ids": model["byte_ids"],
+    return {"base": base, "check": check, "ends": ends, "table": table, "scores": model["scores"], "byte_ids": model["byte_ids"],
             "unknown": float(model["scores"][model["normal"]].min() - UNKNOWN_PENALTY),
             "spelled": np.frombuffer(b"".join(spelled), dtype=np.uint8), "lengths": lengths,
             "at": np.concatenate([[0], np.cumsum(lengths)[:-1]])}
@@ -237,18 +236,6 @@ def segment_keys(text: str) -> list[str]:
     return [s[1:] for s in SEGMENT.findall(MARK + text.replace(" ", MARK))]
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def _encoder(shared) -> Encoder:
-    """The worker's encoder: a reused worker knows the segments of its earlier tasks."""
-    model = shared.value
-    if model["token"] not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[model["token"]] = Encoder(model)
-    return _ENCODERS[model["token"]]
-
-
 def decode_ids(m: dict, ids: np.ndarray) -> bytes:
     """UTF-8 of a list of ids: pieces with spaces for markers, byte pieces as bytes, without the first space."""
     sizes = m["lengths"][ids]
@@ -282,7 +269,7 @@ def encode(
         fields.append(T.StructField(decoded, T.StringType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared)
+        encoder = Encoder(shared.value)  # goes with the task
         for batch in batches:
             column = pc.fill_null(batch.column(batch.schema.get_field_index(text)), "")
             for low, high in _chunks(pc.utf8_length(column).to_pylist()):
