@@ -59,18 +59,6 @@ def attribute(starts: np.ndarray, ends: np.ndarray, sections: np.ndarray, rule:
     return chosen, crossing
 
 
-_ENCODINGS: dict[str, tuple] = {}
-
-
-def _encoding(ranks: dict[bytes, int], name: str) -> tuple:
-    import tiktoken
-
-    if name not in _ENCODINGS:
-        encoding = tiktoken.Encoding(name, pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
-        _ENCODINGS[name] = encoding, token_lengths(ranks)
-    return _ENCODINGS[name]
-
-
 def section_counts(texts: pa.Array, encoding, lengths: np.ndarray, rule: str) -> tuple:
     """(sections per text, characters, tokens and crossing tokens per section) of a batch of non-null texts."""
     n_sections, chars, tokens, crossed = [], [], [], []
@@ -98,7 +86,10 @@ def token_counts(
     source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, lengths = _encoding(ranks.value, ranks_path)
+        import tiktoken
+
+        encoding = tiktoken.Encoding("ranks", pat_str=WORDS, mergeable_ranks=ranks.value, special_tokens={})
+        lengths = token_lengths(ranks.value)
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
                 part = batch.slice(low, 500)
