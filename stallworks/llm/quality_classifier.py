@@ -7,7 +7,7 @@ documents to the other as pseudo-labels.  Both are then calibrated on held-out
 labels (Platt) and combined by a last regression on the calibrated views.
 
 All documents are measured in one pass and all are scored.  Only the fitting uses
-bounded samples, drawn by hash of the id: ``LABELLED`` labelled rows, one in
+bounded samples, drawn by hash of the id: about ``LABELLED`` labelled rows, one in
 ``HELD_OUT`` of them for calibration, and a pool of ``POOL`` unlabelled rows.
 
 Defined cases: a null or empty text has zero measures, null metadata are ""; of
@@ -153,8 +153,11 @@ def _sigmoid(x: Column) -> Column:
 
 
 def _sample(df: DataFrame, size: int) -> list[np.ndarray]:
-    """The ``size`` rows of the lowest id hash: [content, meta, label]."""
-    rows = df.orderBy(F.xxhash64("doc_id"), F.col("doc_id")).limit(size).select("content", "meta", "label").toPandas()
+    """About ``size`` rows (all, where there are fewer), drawn by hash of the id: [content, meta, label]."""
+    total = df.count()
+    share = int(min(1.0, size / max(total, 1)) * 2**30)
+    drawn = df.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2**30)) < share).withColumn("place", F.xxhash64("doc_id"))
+    rows = drawn.select("place", "content", "meta", "label").toPandas().sort_values("place", kind="stable")
     if rows.empty:
         return [np.zeros((0, 0)), np.zeros((0, 0)), np.zeros(0)]
     return [np.stack(rows["content"]).astype(float), np.stack(rows["meta"]).astype(float), rows["label"].to_numpy(dtype=float, na_value=np.nan)]
@@ -170,7 +173,7 @@ def quality_scores(
     rows = scratch.write(source.mapInArrow(_measure, f"doc_id {id_type}, meta array<float>, content array<float>"))
     known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("double").alias("label"))
     with_label = rows.join(known, "doc_id")
-    without = rows.join(known, "doc_id", "left_anti").withColumn("label", F.lit(None).cast("double"))
+    without = rows.filter("doc_id is not null").join(known, "doc_id", "left_anti").withColumn("label", F.lit(None).cast("double"))
     content, meta, y = _sample(with_label, labelled)
     held_out = np.arange(len(y)) % HELD_OUT == 0
     if len({*y[held_out]}) < 2 or len({*y[~held_out]}) < 2:
