@@ -41,7 +41,7 @@ from stallworks.llm.words import Words, blocks, mix, sorted_groups, words_of
 
 WINDOW, RUN = 20, 6
 #: words in the index of a shard
-SHARD_WORDS = 400_000
+SHARD_WORDS = 200_000
 #: distinct pieces of one name beyond which its windows are grouped by hash
 CROWDED = 4096
 _STEP = 0x9E3779B97F4A7C15

@@ -60,7 +60,7 @@ def words_of(texts: pa.Array) -> Words:
     return Words(hashes, begins, ends, np.searchsorted(begins, offsets), data)
 
 
-def blocks(batch: pa.RecordBatch, text: str = "text", limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def blocks(batch: pa.RecordBatch, text: str = "text", limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with few bytes of text each; every text stays whole."""
     sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False)
     low, held = 0, 0
