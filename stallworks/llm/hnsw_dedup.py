@@ -34,12 +34,14 @@ from stallworks.llm.words import join_labels, sorted_groups
 
 COSINE = 0.98
 #: vectors of a shard, queries of a block
-SHARD, QUERIES = 20_000, 4096
+SHARD, QUERIES = 20_000, 2048
 #: links of a node on the upper levels (twice as many at the bottom), and first beam widths
-LINKS, BUILD_BEAM, QUERY_BEAM = 12, 48, 48
+LINKS, BUILD_BEAM, QUERY_BEAM = 12, 48, 64
 #: share of true links that every audit must find, and one in how many queries it samples
 AUDIT_RECALL, AUDIT_EVERY = 0.995, 20
 STEP = 256
+#: how far below the threshold a node may be and still be opened
+SLACK = 0.04
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -59,8 +61,6 @@ def beam(points: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.n
     def add(rows: np.ndarray, nodes: np.ndarray) -> None:
         fresh = nodes >= 0
         fresh &= ~seen[rows[:, None], np.where(fresh, nodes, 0)]
-        for k in range(1, nodes.shape[1]):  # a node may be named twice in a row
-            fresh[:, k] &= ~((nodes[:, :k] == nodes[:, k:k + 1]) & fresh[:, :k]).any(axis=1)
         at, column = np.nonzero(fresh)
         node = nodes[at, column]
         seen[rows[at], node] = True
@@ -178,8 +178,43 @@ class Graph:
                 if member.any():
                     levels[k].insert(points, batch[member], near[member], sims[member])
             at += len(batch)
+        graph.connect()
         return graph
 
+    def _add(self, source: int, target: int) -> None:
+        """One more link, in a free slot or a new one."""
+        slots = np.flatnonzero(self.links[0][source] < 0)
+        if not len(slots):
+            self.links[0] = np.concatenate([self.links[0], np.full((len(self.points), 1), -1)], axis=1)
+            slots = [self.links[0].shape[1] - 1]
+        self.links[0][source, slots[0]] = target
+
+    def connect(self) -> None:
+        """Mends what pruning took: nodes that no near node leads to any more, and parts that the entry does not reach."""
+        source, slot = np.nonzero(self.links[0] >= 0)
+        target = self.links[0][source, slot]
+        sims = np.concatenate([np.einsum("ij,ij->i", self.points[source[k:k + 65536]], self.points[target[k:k + 65536]])
+                               for k in range(0, len(source), 65536)] or [np.zeros(0)])
+        best_in, best_out, nearest = (np.full(len(self.points), -2.0), np.full(len(self.points), -2.0), np.full(len(self.points), -1))
+        np.maximum.at(best_in, target, sims)
+        order = np.argsort(sims, kind="stable")
+        best_out[source[order]], nearest[source[order]] = sims[order], target[order]
+        for node in np.flatnonzero((best_in < best_out - SLACK / 4) & (nearest >= 0)):
+            self._add(int(nearest[node]), int(node))
+        reached = np.zeros(len(self.points), dtype=bool)
+        frontier = np.array([self.entry])
+        while True:
+            while len(frontier):
+                reached[frontier] = True
+                ahead = np.unique(self.links[0][frontier])
+                frontier = ahead[(ahead >= 0) & ~reached[ahead]]
+            lost = np.flatnonzero(~reached)
+            if not len(lost):
+                return
+            near = int(np.argmax(np.where(reached, self.points @ self.points[lost[0]], -np.inf)))
+            self._add(near, int(lost[0]))
+            frontier = lost[:1]
+
     def search(self, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         entry = np.full((len(queries), 1), self.entry)
         for links in self.links[:0:-1]:
@@ -188,17 +223,38 @@ class Graph:
         return beam(self.points, self.links[0], queries, entry, min(width, len(self.points)))
 
     def within(self, queries: np.ndarray, cosine: float, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """All found (query, node) with at least this cosine; full beams are widened."""
-        a, b = [], []
+        """All found (query, node) with at least this cosine.
+
+        Queries whose beam is full of links are widened together, sorted by
+        their first link so that neighbours meet: one frontier for a block,
+        opened as long as it leads to nodes near any of its queries.
+        """
+        a, b, full, first, beams = [], [], [], [], []
         for at in range(0, len(queries), STEP):
-            rows, beam_width = np.arange(at, min(at + STEP, len(queries))), width
-            while len(rows):
-                ids, sims = self.search(queries[rows], beam_width)
-                full = (sims.min(axis=1) >= cosine) & (beam_width < len(self.points))
-                q, k = np.nonzero((sims >= cosine) & ~full[:, None])
+            rows = np.arange(at, min(at + STEP, len(queries)))
+            ids, sims = self.search(queries[rows], width)
+            crowded = (sims.min(axis=1) >= cosine) & (width < len(self.points))
+            q, k = np.nonzero((sims >= cosine) & ~crowded[:, None])
+            a.append(rows[q])
+            b.append(ids[q, k])
+            full.append(rows[crowded])
+            beams.append(ids[crowded])
+            first.append(ids[crowded].min(axis=1))
+        full, beams = np.concatenate(full), np.concatenate(beams)
+        order = np.argsort(np.concatenate(first), kind="stable")
+        for at in range(0, len(order), 2 * STEP):
+            part = order[at:at + 2 * STEP]
+            rows, known = full[part], np.zeros(len(self.points), dtype=bool)
+            frontier = np.unique(beams[part])
+            while len(frontier):
+                known[frontier] = True
+                sims = queries[rows] @ self.points[frontier].T
+                q, k = np.nonzero(sims >= cosine)
                 a.append(rows[q])
-                b.append(ids[q, k])
-                rows, beam_width = rows[full], beam_width * 4
+                b.append(frontier[k])
+                near = frontier[(sims >= cosine - SLACK).any(axis=0)]
+                ahead = np.unique(self.links[0][near])
+                frontier = ahead[(ahead >= 0) & ~known[ahead]]
         return np.concatenate(a), np.concatenate(b)
 
     def audited(self, queries: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
@@ -218,7 +274,7 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Vectors (space, shard, row, copies, embedding) -> one row per shard with its graph."""
     for table in sorted_groups(batches, ["space", "shard"]):
         space, shard, row, copies = (table.column(c).to_numpy() for c in ("space", "shard", "row", "copies"))
-        vectors = np.stack(table.column("embedding").to_numpy()).astype(np.float64)
+        vectors = np.stack(table.column("embedding").to_numpy())
         cuts = np.flatnonzero(np.concatenate([[True], (space[1:] != space[:-1]) | (shard[1:] != shard[:-1])]))
         for s, e in zip(cuts, [*cuts[1:], len(row)]):
             graph = Graph.build(unit(vectors[s:e]))
@@ -275,6 +331,8 @@ def embedding_components(
     parts = sizes.withColumn("part", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / block).cast("int") - 1)))
     indexes = graphs.join(parts.select("space", "part"), "space")
     keys = ["space", "shard", "part"]
+    # a number of partitions of its own: little data, but much work in each block
+    queries, indexes = queries.repartition(spread, *keys), indexes.repartition(spread, *keys)
     links = scratch.write(queries.groupBy(*keys).cogroup(indexes.groupBy(*keys)).applyInPandas(
         _searcher(cosine), "row long, label long, n long"))
     labels = components(scratch, links.select(F.col("row").alias("a"), F.col("label").alias("b")))
