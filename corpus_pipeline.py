@@ -24,8 +24,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that are boilerplate of their source go from the texts; every document stays."""
-    done = line_dedup.drop_boilerplate(docs, F.col("text"), F.col("source"), {c: F.col(c) for c in COLUMNS if c not in ("text", "n_chars")})
+    """Lines that are boilerplate of their source go from the texts; every document stays.
+
+    Copies are still there and count as one page: the next stage keeps one of them, with its text.
+    """
+    carry = {c: F.col(c) for c in COLUMNS if c not in ("text", "n_chars")}
+    done = line_dedup.drop_boilerplate(docs, F.col("text"), F.col("source"), carry, copies_once=True)
     return done.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 

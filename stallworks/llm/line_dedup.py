@@ -10,7 +10,9 @@ while Spark is free to broadcast it or, beyond its size limit, to join by host.
 
 Defined cases: a null host is a site of its own; a null or empty text has no
 lines; blank lines are never boilerplate and stay; repeated rows are pages of
-their own; an empty table gives an empty result.
+their own, or with ``copies_once`` all rows of a site with one text are one page,
+so that copies do not make their own lines boilerplate; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -25,24 +27,33 @@ def line_key(line: Column) -> Column:
 
 
 def boilerplate(sites: DataFrame, ratio: float, min_pages: int) -> DataFrame:
-    """(host, lines) -> (host, bad): keys of the lines on more than ``ratio`` of the host's pages."""
-    each = sites.select("host", F.explode(F.array_distinct(F.transform(
+    """(host, lines) -> (host, bad): keys of the lines on more than ``ratio`` of the host's pages.
+
+    With a column ``page``, rows of a host with the same value are one page.
+    """
+    page = ["page"] if "page" in sites.columns else []
+    each = sites.select("host", *page, F.explode(F.array_distinct(F.transform(
         F.filter("lines", lambda l: F.trim(l) != ""), line_key))).alias("line"))
+    whole = sites.select("host", *page)
+    if page:  # hashes only: no text is shuffled
+        each, whole = each.distinct(), whole.distinct()
     counts = each.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
-    pages = sites.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    pages = whole.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     common = counts.join(pages, "host").filter(F.col("n") > ratio * F.col("pages"))
     return common.groupBy("host").agg(F.collect_list("line").alias("bad"))
 
 
 def drop_boilerplate(
     df: DataFrame, text: Column, host: Column, carry: dict[str, Column], ratio: float = 0.1, min_pages: int = 5,
+    copies_once: bool = False,
 ) -> DataFrame:
     """The carried columns, ``host``, ``kept_text``, ``n_lines`` (lines with a word) and ``n_dropped`` of every row."""
     scratch = Scratch(df.sparkSession)
     names = {c: f"carried_{c}" for c in carry}
     lines = F.split(F.coalesce(text, F.lit("")), "\n").alias("lines")
     site = F.coalesce(host, F.lit("")).alias("host")
-    bad = scratch.write(boilerplate(df.select(site, lines), ratio, min_pages))
+    page = [F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("page")] if copies_once else []
+    bad = scratch.write(boilerplate(df.select(site, lines, *page), ratio, min_pages))
     rows = df.select(*(c.alias(names[k]) for k, c in carry.items()), site, lines)
     kept = F.filter("lines", lambda l: ~F.coalesce(F.array_contains("bad", line_key(l)), F.lit(False)))
     done = rows.join(bad, "host", "left").withColumn("kept", F.when(F.col("bad").isNull(), F.col("lines")).otherwise(kept))

@@ -104,6 +104,32 @@ def test_lines(spark):
     assert line_dedup.line_dedup_pages(df.limit(0)).collect() == []
 
 
+def plain_lines(rows, ratio=0.1, min_pages=5):
+    """id -> text without boilerplate, for (id, text, source); distinct texts of a source are its pages."""
+    pages = {s: {t or "" for _, t, k in rows if k == s} for _, _, s in rows}
+    lines = {s: [{line.strip(" ") for line in t.split("\n")} - {""} for t in texts] for s, texts in pages.items()}
+
+    def bad(line, s):
+        n = sum(line.strip(" ") in held for held in lines[s])
+        return n >= min_pages and n > ratio * len(pages[s])
+
+    return {k: "\n".join(line for line in (t or "").split("\n") if not bad(line, s)) for k, t, s in rows}
+
+
+def test_copies_keep_their_text_in_the_pipeline(spark):
+    own = "\n".join(f"{prose(300 + i, 12)}" for i in range(4))
+    rows = [(i, f"menu\n{prose(400 + i, 30)}\nfoot {i % 2}", "s") for i in range(24)]
+    rows += [(100 + i, f"menu\n{own}", "s") for i in range(40)] + [(200 + i, own, None) for i in range(12)]
+    rows += [(300 + i, None, "s") for i in range(30)] + [(400 + i, f"rare\n{prose(500 + i, 9)}", "t") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("lang", F.lit("en"))
+    df = df.withColumn("n_chars", F.length("text").cast("long"))
+    done = corpus_pipeline.line_stage(spark, df, "")
+    assert {r.doc_id: r.text for r in done.collect()} == plain_lines(rows)
+    assert {r.text for r in done.filter("doc_id between 100 and 199").collect()} == {own}
+    left = {r.doc_id for r in corpus_pipeline.join_stage(spark, done, "").collect()}
+    assert left & {i for i, *_ in rows if 100 <= i < 300} == {100}
+
+
 def test_raking_meets_the_targets(spark):
     rows = [(i, "w " * (i % 7 + 1), "ab"[i % 2 if i % 5 else 0], "xyz"[i % 3]) for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
