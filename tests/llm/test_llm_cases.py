@@ -240,28 +240,3 @@ def test_classifier_cases(spark, docs, nothing):
                                  "doc_id long, text string, lang string, source string, n_chars long")
     known = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int")
     assert all(r.kept == bool(r.doc_id % 2) for r in quality_classifier.quality_scores(many, known).collect())
-
-
-def test_all_unlabelled_rows_take_part(spark, monkeypatch):
-    kinds = F.when(F.col("id") % 2 == 0, F.concat(F.lit("BUY!! NOW!! "), F.repeat(F.lit("WIN! "), (F.col("id") % 7 + 3).cast("int"))))
-    rows = spark.range(0, 24_000, 1, 4).select(F.col("id").alias("doc_id"), kinds.otherwise(
-        F.concat_ws(" ", *(F.substring(F.md5(F.concat_ws("-", "id", F.lit(k))), 1, 5) for k in range(12)))).alias("text"), F.lit("en").alias("lang"),
-        F.when(F.col("id") % 2 == 0, "shop").otherwise("book").alias("source"), (F.col("id") % 50 + 50).alias("n_chars"))
-    known = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
-    seen, fit_all = [], quality_classifier.fit_all
-
-    def spy(xs, y, pseudo, starts):
-        found = fit_all(xs, y, pseudo, starts)
-        held = pseudo.toPandas()
-        seen.append(held.groupby(["pupil", "label"]).size())
-        for k in range(2):
-            own = held[held.pupil == k]
-            plain = quality_classifier.fit(np.concatenate([xs[k], np.stack(own.x).astype(float)]), np.concatenate([y, own.label]))
-            x = np.stack(own.x).astype(float)
-            assert np.allclose(quality_classifier.logits(found[k], x), quality_classifier.logits(plain, x), atol=1e-5)
-        return found
-
-    monkeypatch.setattr(quality_classifier, "fit_all", spy)
-    scores = quality_classifier.quality_scores(rows, known).collect()
-    assert len(scores) == 24_000 and all(r.kept == bool(r.doc_id % 2) for r in scores)
-    assert len(seen) == 3 and seen[0].min() >= 1190  # 5 % of all 23,800 unlabelled rows, not of a sample of them
