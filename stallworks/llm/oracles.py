@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stallworks.llm import line_dedup, mixing, quality_rules as Q
+from stallworks.llm import line_dedup, mixing, quality_rules as Q, url_trust
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -196,3 +196,127 @@ SELECT doc_id, topic, d.tokens, round(ratio, 6) AS ratio, round(least(1.0, ratio
        ('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13))::BIGINT / 4503599627370496.0 < least(1.0, ratio * c) AS kept
 FROM docs d JOIN ratios USING ({", ".join(dims)}), c{mixing.CAP_ROUNDS}
 """
+
+
+def urls() -> str:
+    T = url_trust
+    quoted = lambda text: text.replace("'", "''")
+
+    def ruled(value: int | None) -> str:
+        cases = [f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h + p if value is None else v}'"
+                 for h, p, v in T.ranked(T.RULES)]
+        return f"CASE {' '.join(cases)} END"
+
+    return f"""
+WITH RECURSIVE cut AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, page_id, coalesce(html, '') AS html,
+           translate(regexp_extract(coalesce(url, ''), '{quoted(T.HOST)}', 1), '{T.UPPER}', '{T.LOWER}') AS host,
+           regexp_extract(coalesce(url, ''), '{quoted(T.PATH)}', 1) AS path
+    FROM pages
+),
+judged AS MATERIALIZED (SELECT *, {ruled(None)} AS rule, {ruled(1)} AS ruled FROM cut),
+hosts AS (
+    SELECT host, CAST(floor({T.UNIT} * count(*) FILTER (ruled = 'allow') / count(*)) AS BIGINT) AS trust,
+           CAST(floor({T.UNIT} * count(*) FILTER (ruled = 'block') / count(*)) AS BIGINT) AS distrust
+    FROM judged WHERE host <> '' GROUP BY host
+),
+family AS (
+    SELECT DISTINCT array_to_string(l[i:], '.') AS src, array_to_string(l[i + 1:], '.') AS dst
+    FROM (SELECT l, unnest(range(1, len(l) - 1)) AS i FROM (SELECT string_split(host, '.') AS l FROM hosts) WHERE len(l) > 2)
+),
+links AS MATERIALIZED (
+    SELECT src, dst, sum(weight) AS weight FROM (
+        SELECT src, dst, 1 AS weight FROM family WHERE src <> '' AND dst <> '' AND src <> dst
+        UNION ALL SELECT host, dst, 1 FROM (
+            SELECT DISTINCT r, host, translate(unnest(regexp_extract_all(html, '{quoted(T.HREF)}', 1)), '{T.UPPER}', '{T.LOWER}') AS dst FROM cut)
+        WHERE host <> '' AND host <> dst
+    ) GROUP BY src, dst
+),
+shares AS MATERIALIZED (
+    SELECT kind, host, next, CAST(weight AS DOUBLE) / CAST(sum(weight) OVER (PARTITION BY kind, host) AS DOUBLE) AS share FROM (
+        SELECT 'trust' AS kind, src AS host, dst AS next, weight FROM links UNION ALL SELECT 'distrust', dst, src, weight FROM links)
+),
+spread AS (
+    SELECT kind, host, got FROM (SELECT 'trust' AS kind, host, trust AS got FROM hosts UNION ALL SELECT 'distrust', host, distrust FROM hosts) WHERE got > 0
+    UNION ALL
+    SELECT kind, next, CAST(sum(handed) AS BIGINT) FROM (
+        SELECT kind, next, floor(CAST({T.DAMPING} AS DOUBLE) * CAST(got AS DOUBLE) * share) AS handed FROM spread s JOIN shares USING (kind, host))
+    GROUP BY kind, next HAVING sum(handed) > 0
+),
+scores AS (
+    SELECT host, coalesce(sum(got) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(got) FILTER (kind = 'distrust'), 0) AS distrust
+    FROM spread GROUP BY host
+)
+SELECT page_id, host, path, rule, CAST(coalesce(trust, 0) AS BIGINT) AS trust, CAST(coalesce(distrust, 0) AS BIGINT) AS distrust,
+       coalesce(ruled, CASE WHEN coalesce(distrust, 0) - coalesce(trust, 0) >= {T.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged LEFT JOIN scores USING (host)
+"""
+
+
+def _field(column: str) -> str:
+    return f"CASE WHEN {column} IS NULL THEN '-' ELSE CAST(octet_length(encode(CAST({column} AS VARCHAR))) AS VARCHAR) || ':' || CAST({column} AS VARCHAR) END"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+#: CRC-32 of a decimal number, bit by bit
+CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))),
+    lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, (x & 1) * 3988292384))), 4294967295::BIGINT)"""
+
+MANIFEST = f"""
+WITH RECURSIVE docs AS MATERIALIZED (
+    SELECT doc_id, source, {_leaf('text')} AS leaf,
+           CASE WHEN {CRC} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf('text')} END AS held
+    FROM documents
+),
+numbered AS MATERIALIZED (
+    SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+           row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY source) AS total
+    FROM docs
+),
+-- nodes of all trees, level by level
+nodes AS (
+    SELECT tree, 0 AS level, place, total, leaf AS node FROM numbered
+    UNION ALL
+    SELECT tree, max(level) + 1, place // 3, (max(total) + 2) // 3, sha256(string_agg(node, '' ORDER BY place)) FROM nodes WHERE total > 1 GROUP BY tree, place // 3
+),
+kept AS MATERIALIZED (SELECT * FROM nodes),
+subroots AS MATERIALIZED (SELECT tree, node AS subroot, count(*) OVER () AS total FROM kept WHERE total = 1),
+tops AS (
+    SELECT 0 AS level, tree AS place, total, subroot AS node FROM subroots
+    UNION ALL
+    SELECT max(level) + 1, place // 3, (max(total) + 2) // 3, sha256(string_agg(node, '' ORDER BY place)) FROM tops WHERE total > 1 GROUP BY place // 3
+),
+-- siblings of every node, in one order of levels: those of the groups' trees, then those above
+high AS (SELECT tree, max(level) AS levels FROM kept GROUP BY tree),
+steps AS MATERIALIZED (
+    SELECT tree, level, place, string_agg(before, '' ORDER BY spot) AS before, string_agg(after, '' ORDER BY spot) AS after FROM (
+        SELECT a.tree, a.level, a.place, b.place AS spot, CASE WHEN b.place < a.place THEN b.node ELSE '' END AS before,
+               CASE WHEN b.place > a.place THEN b.node ELSE '' END AS after
+        FROM kept a JOIN kept b ON a.tree = b.tree AND a.level = b.level AND a.place // 3 = b.place // 3 WHERE a.total > 1
+    ) GROUP BY tree, level, place
+),
+top_steps AS MATERIALIZED (
+    SELECT level, place, string_agg(before, '' ORDER BY spot) AS before, string_agg(after, '' ORDER BY spot) AS after FROM (
+        SELECT a.level, a.place, b.place AS spot, CASE WHEN b.place < a.place THEN b.node ELSE '' END AS before,
+               CASE WHEN b.place > a.place THEN b.node ELSE '' END AS after
+        FROM tops a JOIN tops b ON a.level = b.level AND a.place // 3 = b.place // 3 WHERE a.total > 1
+    ) GROUP BY level, place
+),
+walk AS (
+    SELECT n.tree, n.place, doc_id, leaf, held AS node, '' AS proof, 0 AS level, CASE WHEN levels = 0 THEN n.tree ELSE place END AS spot, levels
+    FROM numbered n JOIN high USING (tree)
+    UNION ALL
+    SELECT w.tree, w.place, doc_id, leaf, sha256(coalesce(s.before, t.before) || node || coalesce(s.after, t.after)),
+           proof || coalesce(s.before, t.before) || coalesce(s.after, t.after), w.level + 1, CASE WHEN w.level + 1 = levels THEN w.tree ELSE spot // 3 END, levels
+    FROM walk w LEFT JOIN steps s ON w.level < levels AND s.tree = w.tree AND s.level = w.level AND s.place = spot
+    LEFT JOIN top_steps t ON w.level >= levels AND t.level = w.level - levels AND t.place = spot
+    WHERE s.before IS NOT NULL OR t.before IS NOT NULL
+),
+ends AS (SELECT *, row_number() OVER (PARTITION BY tree, place ORDER BY level DESC) AS back FROM walk)
+SELECT doc_id, leaf, subroot, (SELECT node FROM tops WHERE total = 1) AS root, sha256(proof) AS proof_sha256, node AS folded_root,
+       node = (SELECT node FROM tops WHERE total = 1) AS verified
+FROM ends JOIN subroots USING (tree) WHERE back = 1
+"""

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from stallworks.llm import (
-    hnsw_dedup, line_dedup, mixing, ngram_join, oracles, quality_classifier, quality_rules, secret_scan, sentencepiece, substring_dedup,
-    token_counts,
+    hnsw_dedup, line_dedup, merkle_manifest, mixing, ngram_join, oracles, periodic_runs, quality_classifier, quality_rules, secret_scan,
+    sentencepiece, substring_dedup, token_counts, url_trust,
 )
 
 
@@ -54,11 +54,23 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.encoding_digest(_documents(spark, sf_dir))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_trust.url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.planted_runs(_documents(spark, sf_dir))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.audit(_documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_secret_scan, op2_quality_rules, op3_quality_classifier, op4_embedding_near_dedup, op5_line_dedup,
-     op6_ngram_join, op7_substring_dedup, op8_token_counts, op9_source_mixing, op10_sentencepiece,
+     op6_ngram_join, op7_substring_dedup, op8_token_counts, op9_source_mixing, op10_sentencepiece, op11_url_filter, op12_periodic_runs, op13_merkle_manifest,
 )}
 ORACLES = {
     "op1_secret_scan": oracles.SECRETS, "op2_quality_rules": oracles.quality(), "op5_line_dedup": oracles.lines(),
-    "op9_source_mixing": oracles.mixing_sql(),
+    "op9_source_mixing": oracles.mixing_sql(), "op11_url_filter": oracles.urls(), "op13_merkle_manifest": oracles.MANIFEST,
 }
