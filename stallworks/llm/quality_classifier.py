@@ -2,13 +2,16 @@
 
 Two views of a document: what its text is made of, and its metadata (language,
 source, size).  A logistic regression per view starts from labelled rows; over
-some rounds each hands its most confident verdicts on a pool of unlabelled
-documents to the other as pseudo-labels.  Both are then calibrated on held-out
+some rounds each hands its most confident verdicts on all unlabelled documents
+to the other as pseudo-labels.  Both are then calibrated on held-out
 labels (Platt) and combined by a last regression on the calibrated views.
 
-All documents are measured in one pass and all are scored.  Only the fitting uses
-bounded samples, drawn by hash of the id: about ``LABELLED`` labelled rows, one in
-``HELD_OUT`` of them for calibration, and a pool of ``POOL`` unlabelled rows.
+All documents are measured in one pass and all are scored.  Every round scores all
+unlabelled rows; what it hands over is written, and Newton steps only bring sums of
+it to the driver.  Of labelled rows about ``LABELLED`` are drawn by hash of the id,
+one in ``HELD_OUT`` of them for calibration.  A class gets about ``PER_ROUND`` of the
+unlabelled rows a round, the surest first in steps of 1 / ``STEPS`` of a logit; of those in the last
+step a share is drawn by hash of the id.
 
 Defined cases: a null or empty text has zero measures, null metadata are ""; of
 several labels of a document the lowest counts and null labels none; without
@@ -18,7 +21,8 @@ table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +31,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from stallworks.llm.tables import Scratch
 from stallworks.llm.words import blocks, words_of
 
-LABELLED, POOL, HELD_OUT = 20_000, 20_000, 4
+LABELLED, HELD_OUT = 20_000, 4
 ROUNDS, PER_ROUND, CONFIDENT = 3, 0.05, 0.9
+STEPS = 256
 BAG = 32
 LANG_BUCKETS, SOURCE_BUCKETS = 8, 16
 # Character classes that are counted.
@@ -109,25 +114,154 @@ def logits(beta: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.clip(beta[0] + x @ beta[1:], -30, 30)
 
 
-def cotrain(views: list[np.ndarray], y: np.ndarray, pools: list[np.ndarray], held_out: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Coefficients of both calibrated views and of their combination."""
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+
+def totals(rows: DataFrame, measure: Callable[[pa.RecordBatch], np.ndarray], size: int) -> np.ndarray:
+    """Sum of a measure (a vector) over all batches; decimals, so that the order of partial sums does not matter."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            if batch.num_rows:
+                total += measure(batch)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["i", "v"])
+
+    sums = rows.mapInArrow(part, "i long, v double").groupBy("i").agg(F.sum(F.col("v").cast("decimal(38,12)")).cast("double").alias("v"))
+    out = np.zeros(size)
+    for i, v in sums.collect():
+        out[i] = v
+    return out
+
+
+def _of_pupils(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(x, y) of each pupil in a batch of (pupil, label, x)."""
+    pupil, label = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+    return [(_matrix(batch.column(2).filter(pa.array(pupil == k))), label[pupil == k]) if (pupil == k).any() else None for k in range(2)]
+
+
+def _newton(z: np.ndarray, y: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    p = 1.0 / (1.0 + np.exp(-np.clip(z @ beta, -30, 30)))
+    return np.concatenate([z.T @ (y - p), ((z * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ z).ravel()])
+
+
+def fit_all(xs: list[np.ndarray], y: np.ndarray, pseudo: DataFrame, weight: float = 1.0, rounds: int = 25) -> list[np.ndarray]:
+    """What ``fit`` gives for each pupil over labelled rows and all its rows in (pupil, label, x)."""
+    wide = [x.shape[1] for x in xs]
+
+    def both(parts: list[np.ndarray | None], sizes: list[int]) -> np.ndarray:
+        return np.concatenate([np.zeros(n) if v is None else v for v, n in zip(parts, sizes)])
+
+    def moments(x: np.ndarray) -> np.ndarray:
+        return np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)])
+
+    sizes = [2 * w + 1 for w in wide]
+    sums = totals(pseudo, lambda b: both([v and moments(v[0]) for v in _of_pupils(b)], sizes), sum(sizes)) + both([moments(x) for x in xs], sizes)
+    means, scales, betas = [], [], []
+    for w, m in zip(wide, np.split(sums, sizes[:1])):
+        mean = m[1:w + 1] / m[0]
+        var = m[w + 1:] / m[0] - mean**2
+        scale = np.where(var < 1e-12 * (1.0 + mean**2), 1.0, np.sqrt(np.maximum(var, 0.0)))
+        means.append(mean)
+        scales.append(scale)
+        betas.append(np.zeros(w + 1))  # as in fit: full Newton steps may run away from anywhere else
+
+    def design(k: int, x: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.ones((len(x), 1)), (x - means[k]) / scales[k]], axis=1)
+
+    sizes = [(w + 1) * (w + 2) for w in wide]
+    for _ in range(rounds):
+        now = list(betas)
+        sums = totals(pseudo, lambda b: both([v and _newton(design(k, v[0]), v[1], now[k]) for k, v in enumerate(_of_pupils(b))], sizes), sum(sizes))
+        sums += both([_newton(design(k, x), y, now[k]) for k, x in enumerate(xs)], sizes)
+        largest = 0.0
+        for k, s in enumerate(np.split(sums, sizes[:1])):
+            penalty = np.full(wide[k] + 1, weight)
+            penalty[0] = 1e-6
+            step = np.linalg.solve(s[wide[k] + 1:].reshape(wide[k] + 1, -1) + np.diag(penalty), s[:wide[k] + 1] - penalty * now[k])
+            betas[k] = now[k] + step
+            largest = max(largest, np.abs(step).max())
+        if largest < 1e-8:
+            break
+    raw = [b[1:] / s for b, s in zip(betas, scales)]
+    return [np.concatenate([[b[0] - r @ m], r]) for b, r, m in zip(betas, raw, means)]
+
+
+SURE = float(np.log(CONFIDENT / (1.0 - CONFIDENT)))
+BINS = 30 * STEPS + 1
+
+
+def _hits(score: np.ndarray, draw: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Rows that are sure enough: beyond the last step, or in it and drawn; ``cut``: step and share of both classes."""
+    hit = np.zeros(len(score), dtype=bool)
+    for side, s in enumerate((score, -score)):
+        step = np.floor(s * STEPS)
+        hit |= (s >= SURE) & ((step > cut[side, 0]) | ((step == cut[side, 0]) & (draw < cut[side, 1])))
+    return hit
+
+
+def _open_scores(batch: pa.RecordBatch, past: list, betas: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(pupil, its teacher's logits, draw) over (content, meta, draw); logits are 0 for rows that the pupil got in a past round."""
+    views = [_matrix(batch.column(k)) for k in range(2)]
+    draw = batch.column(2).to_numpy(zero_copy_only=False)
+    for pupil in range(2):
+        x = views[1 - pupil]
+        score = logits(betas[1 - pupil], x)
+        taken = np.zeros(len(x), dtype=bool)
+        for old, cuts in past:
+            taken |= _hits(np.where(taken, 0.0, logits(old[1 - pupil], x)), draw, cuts[pupil])
+        yield pupil, np.where(taken, 0.0, score), draw
+
+
+def last_step(counts: np.ndarray, quota: int) -> tuple[float, float]:
+    """The step that fills the quota, and the share of its rows that fits, from the number of rows of each step."""
+    above = np.concatenate([np.cumsum(counts[::-1])[::-1], [0.0]])
+    step = int(np.flatnonzero(above >= quota).max(initial=0))
+    return float(step), min(1.0, max(0.0, quota - above[step + 1]) / max(counts[step], 1.0))
+
+
+def _cuts(spare: DataFrame, past: list, betas: list[np.ndarray], quota: int) -> np.ndarray:
+    """Per pupil and class: last step and share."""
+
+    def counts(batch: pa.RecordBatch) -> np.ndarray:
+        found = np.zeros((2, 2, BINS))
+        for pupil, score, _ in _open_scores(batch, past, betas):
+            for side, s in enumerate((score, -score)):
+                found[pupil, side] = np.bincount((s[s >= SURE] * STEPS).astype(int), minlength=BINS)
+        return found.ravel()
+
+    found = totals(spare, counts, 4 * BINS).reshape(2, 2, BINS)
+    return np.array([[last_step(found[pupil, side], quota) for side in range(2)] for pupil in range(2)])
+
+
+def _handed_over(past: list, betas: list[np.ndarray], cuts: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            for pupil, score, draw in _open_scores(batch, past, betas):
+                hit = _hits(score, draw, cuts[pupil])
+                x = batch.column(pupil).filter(pa.array(hit))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(x), pupil, dtype=np.int32)), pa.array((score[hit] > 0).astype(float)), x], names=["pupil", "label", "x"])
+
+    return run
+
+
+def cotrain(scratch: Scratch, views: list[np.ndarray], y: np.ndarray, spare: DataFrame, held_out: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Coefficients of both calibrated views and of their combination; ``spare``: (content, meta, draw) of all unlabelled rows."""
     train = ~held_out
-    xs = [[v[train]] for v in views]
-    ys = [[y[train]] for _ in views]
-    taken = [np.zeros(len(pools[0]), dtype=bool) for _ in views]
-    betas = [fit(xs[k][0], ys[k][0]) for k in range(2)]
-    quota = max(1, int(PER_ROUND * len(pools[0]))) if len(pools[0]) else 0
-    for _ in range(ROUNDS if quota else 0):
-        for teacher, pupil in ((0, 1), (1, 0)):
-            p = 1.0 / (1.0 + np.exp(-logits(betas[teacher], pools[teacher])))
-            for label, score in ((1.0, p), (0.0, 1.0 - p)):
-                score = np.where(taken[pupil] | (score < CONFIDENT), -1.0, score)
-                best = np.argsort(-score, kind="stable")[:quota]
-                best = best[score[best] > 0]
-                taken[pupil][best] = True
-                xs[pupil].append(pools[pupil][best])
-                ys[pupil].append(np.full(len(best), label))
-        betas = [fit(np.concatenate(xs[k]), np.concatenate(ys[k])) for k in range(2)]
+    xs = [v[train] for v in views]
+    betas = [fit(x, y[train]) for x in xs]
+    n = spare.count()
+    past, pseudo = [], []
+    for _ in range(ROUNDS if n else 0):
+        cuts = _cuts(spare, past, betas, max(1, int(PER_ROUND * n)))
+        pseudo.append(scratch.write(spare.mapInArrow(_handed_over(past, betas, cuts), "pupil int, label double, x array<float>")))
+        past.append((betas, cuts))
+        betas = fit_all(xs, y[train], reduce(DataFrame.unionByName, pseudo))
     calibrated = []
     for k in range(2):
         platt = fit(logits(betas[k], views[k][held_out])[:, None], y[held_out])
@@ -163,26 +297,31 @@ def _sample(df: DataFrame, size: int) -> list[np.ndarray]:
     return [np.stack(rows["content"]).astype(float), np.stack(rows["meta"]).astype(float), rows["label"].to_numpy(dtype=float, na_value=np.nan)]
 
 
+def measured(docs: DataFrame) -> DataFrame:
+    """doc_id, meta, content: both views of every document."""
+    source = docs.select("doc_id", metadata_measures(F.col("lang"), F.col("source"), F.col("n_chars")).alias("meta"), "text")
+    id_type = source.schema["doc_id"].dataType.simpleString()
+    return source.mapInArrow(_measure, f"doc_id {id_type}, meta array<float>, content array<float>")
+
+
 def quality_scores(
-    docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, threshold: float = 0.5,
+    docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, threshold: float = 0.5,
 ) -> DataFrame:
     """doc_id, p_content, p_meta, p_good, kept for (doc_id, text, lang, source, n_chars) and (doc_id, quality)."""
     scratch = Scratch(docs.sparkSession)
-    source = docs.select("doc_id", metadata_measures(F.col("lang"), F.col("source"), F.col("n_chars")).alias("meta"), "text")
-    id_type = source.schema["doc_id"].dataType.simpleString()
-    rows = scratch.write(source.mapInArrow(_measure, f"doc_id {id_type}, meta array<float>, content array<float>"))
+    rows = scratch.write(measured(docs))
     known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("double").alias("label"))
     with_label = rows.join(known, "doc_id")
-    without = rows.filter("doc_id is not null").join(known, "doc_id", "left_anti").withColumn("label", F.lit(None).cast("double"))
     content, meta, y = _sample(with_label, labelled)
     held_out = np.arange(len(y)) % HELD_OUT == 0
     if len({*y[held_out]}) < 2 or len({*y[~held_out]}) < 2:
         half = F.lit(0.5)
         return rows.select("doc_id", half.alias("p_content"), half.alias("p_meta"), half.alias("p_good"), F.lit(0.5 >= threshold).alias("kept"))
-    spare = _sample(without, pool)
-    if not len(spare[2]):
-        spare = [content[:0], meta[:0], y[:0]]
-    views, last = cotrain([content, meta], y, spare[:2], held_out)
+    unnamed = rows.filter("doc_id is null")
+    without = rows.filter("doc_id is not null").join(known, "doc_id", "left_anti").unionByName(unnamed, allowMissingColumns=True)
+    draw = (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2**30)) / F.lit(2.0**30)).alias("draw")
+    spare = scratch.write(without.select("content", "meta", draw))
+    views, last = cotrain(scratch, [content, meta], y, spare, held_out)
     scored = rows.select("doc_id", _linear(views[0], F.col("content")).alias("a"), _linear(views[1], F.col("meta")).alias("b"))
     good = _sigmoid(F.lit(float(last[0])) + F.lit(float(last[1])) * F.col("a") + F.lit(float(last[2])) * F.col("b"))
     return scored.select(
