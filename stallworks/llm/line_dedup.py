@@ -1,7 +1,7 @@
 """Line dedup by site-relative frequency.
 
-A line is boilerplate of a site when more than a given share of the site's
-pages contain it.  Lines are counted once per page and site, compared trimmed
+A line is boilerplate of a site when it recurs, that is, stands on two of its pages or more, and more than a given share
+of the site's pages contain it.  Lines are counted once per page and site, compared trimmed
 of spaces, and told apart by their MD5.
 
 Native throughout.  What is kept per site is the list of its boilerplate
@@ -9,7 +9,8 @@ lines: at most (average lines per page) / ratio of them, so it stays small
 while Spark is free to broadcast it or, beyond its size limit, to join by host.
 
 Defined cases: a null host is a site of its own; a null or empty text has no
-lines; blank lines are never boilerplate and stay; repeated rows are pages of
+lines; blank lines are never boilerplate and stay; a line on exactly the given share of pages stays; a site of one page keeps all lines;
+long texts are cut into lines whole; further columns of any name are not read; repeated rows are pages of
 their own, or with ``copies_once`` all rows of a site with one text are one page,
 so that copies do not make their own lines boilerplate; an empty table gives an
 empty result.
@@ -26,7 +27,7 @@ def line_key(line: Column) -> Column:
     return F.unhex(F.md5(F.trim(line)))
 
 
-def boilerplate(sites: DataFrame, ratio: float, min_pages: int) -> DataFrame:
+def boilerplate(sites: DataFrame, ratio: float) -> DataFrame:
     """(host, lines) -> (host, bad): keys of the lines on more than ``ratio`` of the host's pages.
 
     With a column ``page``, rows of a host with the same value are one page.
@@ -37,14 +38,14 @@ def boilerplate(sites: DataFrame, ratio: float, min_pages: int) -> DataFrame:
     whole = sites.select("host", *page)
     if page:  # hashes only: no text is shuffled
         each, whole = each.distinct(), whole.distinct()
-    counts = each.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
+    counts = each.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
     pages = whole.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     common = counts.join(pages, "host").filter(F.col("n") > ratio * F.col("pages"))
     return common.groupBy("host").agg(F.collect_list("line").alias("bad"))
 
 
 def drop_boilerplate(
-    df: DataFrame, text: Column, host: Column, carry: dict[str, Column], ratio: float = 0.1, min_pages: int = 5,
+    df: DataFrame, text: Column, host: Column, carry: dict[str, Column], ratio: float = 0.1,
     copies_once: bool = False,
 ) -> DataFrame:
     """The carried columns, ``host``, ``kept_text``, ``n_lines`` (lines with a word) and ``n_dropped`` of every row."""
@@ -53,7 +54,7 @@ def drop_boilerplate(
     lines = F.split(F.coalesce(text, F.lit("")), "\n").alias("lines")
     site = F.coalesce(host, F.lit("")).alias("host")
     page = [F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("page")] if copies_once else []
-    bad = scratch.write(boilerplate(df.select(site, lines, *page), ratio, min_pages))
+    bad = scratch.write(boilerplate(df.select(site, lines, *page), ratio))
     rows = df.select(*(c.alias(names[k]) for k, c in carry.items()), site, lines)
     kept = F.filter("lines", lambda l: ~F.coalesce(F.array_contains("bad", line_key(l)), F.lit(False)))
     done = rows.join(bad, "host", "left").withColumn("kept", F.when(F.col("bad").isNull(), F.col("lines")).otherwise(kept))
@@ -79,7 +80,7 @@ def url_host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, "^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)", 1))
 
 
-def line_dedup_pages(pages: DataFrame, ratio: float = 0.1, min_pages: int = 5) -> DataFrame:
+def line_dedup_pages(pages: DataFrame, ratio: float = 0.1) -> DataFrame:
     """page_id, host, n_lines, n_dropped, kept_sha256 for (page_id, url, html)."""
-    done = drop_boilerplate(pages, page_text(F.col("html")), url_host(F.col("url")), {"page_id": F.col("page_id")}, ratio, min_pages)
+    done = drop_boilerplate(pages, page_text(F.col("html")), url_host(F.col("url")), {"page_id": F.col("page_id")}, ratio)
     return done.select("page_id", "host", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))

@@ -5,7 +5,9 @@ marginals are the target shares; every document is then kept with a
 probability in proportion to (raked weight / tokens) of its cell, scaled so that
 the expected sample has a given share of all tokens.
 
-Native throughout: raking works on the table of cells, never on documents.
+Native throughout: raking works on the table of cells, never on documents.  It goes on until the weights
+stand still; targets that the cells cannot meet together (a source with one language) leave a
+miss, which is reported as a warning.
 
 Defined cases: a null category is a category of its own (""); a null or empty
 text has no tokens and weighs nothing, its probability is that of its cell, 0 in
@@ -15,6 +17,9 @@ rows are documents of their own; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import warnings
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stallworks.llm.tables import Scratch
@@ -25,7 +30,8 @@ TOPICS = [("short", "length(text) < 400"), ("table", "contains(text, ' | ')"), (
 OTHER_TOPIC = "prose"
 #: shares of a dimension's categories go with (tokens ^ power): 1 keeps the corpus, 0 makes all equal
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
-ROUNDS, CAP_ROUNDS = 8, 5
+#: raking ends when a round moves no cell's weight by more than this share of all tokens; a miss of the marginals beyond MISS is reported
+TOLERANCE, MISS, MAX_ROUNDS = 1e-6, 1e-4, 500
 SHARE = 0.5
 SPACES = "[\\x20\\x09-\\x0D]+"
 
@@ -47,35 +53,46 @@ def tempered(cells: DataFrame, dimension: str, power: float) -> DataFrame:
     return flat.select("category", (F.col("flat") / F.lit(total)).alias("share"))
 
 
-def rake(scratch: Scratch, cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
-    """cells with ``weight``: sums to all tokens, its marginals are the target shares after enough rounds."""
+def rake(scratch: Scratch, cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE) -> tuple[DataFrame, float]:
+    """cells with ``weight``, which sums to all tokens and has the target shares as marginals; and the largest miss of a marginal, as a share."""
     total = float(cells.agg(F.sum("tokens").alias("t")).first()["t"] or 0)
     current = cells.withColumn("weight", F.col("tokens").cast("double"))
-    for _ in range(rounds):
-        for name, target in targets.items():
-            sums = current.groupBy(name).agg(F.sum("weight").alias("m"))
-            factor = sums.join(target.withColumnRenamed("category", name), name, "left").select(
+    shares = {name: scratch.write(target.withColumnRenamed("category", name)) for name, target in targets.items()}
+    if not total:
+        return current, 0.0
+    for _ in range(MAX_ROUNDS):
+        start = [c for c in current.columns if c != "weight"]
+        moved = current.withColumn("before", F.col("weight"))
+        for name, target in shares.items():
+            sums = moved.groupBy(name).agg(F.sum("weight").alias("m"))
+            factor = sums.join(target, name, "left").select(
                 name, F.when(F.col("m") > 0, F.coalesce("share", F.lit(0.0)) * total / F.col("m")).otherwise(F.lit(0.0)).alias("f"))
-            current = current.join(factor, name).withColumn("weight", F.col("weight") * F.col("f")).drop("f")
-        current = scratch.write(current)
-    return current
-
-
-def probabilities(cells: DataFrame, share: float, rounds: int = CAP_ROUNDS) -> DataFrame:
+            moved = moved.join(factor, name).withColumn("weight", F.col("weight") * F.col("f")).drop("f")
+        moved = scratch.write(moved)
+        change = moved.agg(F.max(F.abs(F.col("weight") - F.col("before"))).alias("d")).first()["d"] / total
+        current = moved.select(*start, "weight")
+        if change < tolerance:
+            misses = [current.groupBy(name).agg(F.sum("weight").alias("m")).join(target, name, "full").select(
+                F.abs(F.coalesce("m", F.lit(0.0)) / total - F.coalesce("share", F.lit(0.0))).alias("miss")) for name, target in shares.items()]
+            return current, reduce(DataFrame.unionByName, misses).agg(F.max("miss").alias("miss")).first()["miss"]
+    raise RuntimeError(f"weights of the cells still move after {MAX_ROUNDS} rounds")
+
+
+def probabilities(cells: DataFrame, share: float) -> DataFrame:
     """cells with ``ratio`` and ``p`` = min(1, c * ratio), c such that the expected tokens are ``share`` of all.
 
-    Cells that reach 1 leave the rest of the budget to the others; each round settles the newly full ones.
+    Cells that reach 1 leave the rest of the budget to the others, until no further cell gets full.
     """
     cells = cells.withColumn("ratio", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(F.lit(0.0)))
     budget = share * float(cells.agg(F.sum("tokens").alias("t")).first()["t"] or 0)
-    c = share
-    for _ in range(rounds):
+    c, settled = share, None
+    while True:
         full = F.col("ratio") * c >= 1.0
         s = cells.agg(F.sum(F.when(full, F.col("tokens")).otherwise(F.lit(0))).alias("full"),
                       F.sum(F.when(full, F.lit(0.0)).otherwise(F.col("weight"))).alias("rest")).first()
-        if not s["rest"]:
+        if not s["rest"] or s["full"] == settled:
             break
-        c = max(c, (budget - s["full"]) / s["rest"])
+        c, settled = max(c, (budget - s["full"]) / s["rest"]), s["full"]
     return cells.withColumn("p", F.least(F.lit(1.0), F.col("ratio") * c))
 
 
@@ -95,7 +112,9 @@ def mixed(
     dims = {d: F.coalesce(c.cast("string"), F.lit("")) for d, c in dimensions.items()}
     cells = scratch.write(docs.select(*(c.alias(d) for d, c in dims.items()), tokens.alias("n")).groupBy(*dims).agg(
         F.sum("n").alias("tokens")))
-    raked = rake(scratch, cells, {d: tempered(cells, d, powers[d]) for d in dims})
+    raked, miss = rake(scratch, cells, {d: tempered(cells, d, powers[d]) for d in dims})
+    if miss > MISS:
+        warnings.warn(f"target shares cannot all be met: one is missed by {miss:.6f}", stacklevel=2)
     table = scratch.write(probabilities(raked, share).select(*dims, "ratio", "p"))
     names = {c: f"carried_{c}" for c in carry}
     rows = docs.select(*(c.alias(names[k]) for k, c in carry.items()), *(c.alias(d) for d, c in dims.items()),

@@ -79,30 +79,33 @@ def _posterior(k: int, table: str) -> tuple[str, str]:
     return " * ".join(bad), " * ".join(good)
 
 
-def _em_round(k: int, before: str) -> str:
-    bad, good = _posterior(k, before)
+def _em_round(k: int) -> str:
+    bad, good = _posterior(k, "em")
     w = Q.PRIOR_WEIGHT
-    columns = [f"(sum(n * b) + {w} * sum(n) * {Q.PRIOR_BAD}) / (sum(n) + {w} * sum(n)) AS prior"]
+    names = ["prior", *(f"{c}{i}" for c in "pq" for i in range(k))]
+    new = {"prior": f"(sum(n * b) + {w} * sum(n) * {Q.PRIOR_BAD}) / (sum(n) + {w} * sum(n))"}
     for i, rule in enumerate(Q.RULES):
         vote = f"substr(pattern, {i + 1}, 1)"
         for name, side, first, share in (("p", "b", rule[3], Q.PRIOR_BAD), ("q", "(1.0 - b)", rule[4], 1.0 - Q.PRIOR_BAD)):
             pseudo = f"{w} * sum(n) * {share}"
-            columns.append(f"(coalesce(sum(n * {side}) FILTER ({vote} = 'b'), 0) + {pseudo} * {first}) / "
-                           f"(coalesce(sum(n * {side}) FILTER ({vote} <> '-'), 0) + {pseudo}) AS {name}{i}")
-    return (f"SELECT {', '.join(columns)} FROM (SELECT pattern, n, 1.0 - ({good}) / (({good}) + ({bad})) AS b "
-            f"FROM patterns, {before})")
+            new[f"{name}{i}"] = (f"(coalesce(sum(n * {side}) FILTER ({vote} = 'b'), 0) + {pseudo} * {first}) / "
+                                 f"(coalesce(sum(n * {side}) FILTER ({vote} <> '-'), 0) + {pseudo})")
+    old = ", ".join(f"em.{c} AS o{c}" for c in names)
+    return (f"SELECT step, {', '.join(f'n{c}' for c in names)}, greatest({', '.join(f'abs(n{c} - o{c})' for c in names)}) FROM ("
+            f"SELECT step + 1 AS step, {', '.join(f'o{c}' for c in names)}, {', '.join(f'{new[c]} AS n{c}' for c in names)} FROM ("
+            f"SELECT pattern, n, step, {old}, 1.0 - ({good}) / (({good}) + ({bad})) AS b FROM patterns, em WHERE change >= {Q.TOLERANCE}) "
+            f"GROUP BY step, {', '.join(f'o{c}' for c in names)})")
 
 
 def quality() -> str:
     k = len(Q.RULES)
     votes = " || ".join(f"CASE WHEN {bad} THEN 'b' WHEN {good} THEN 'g' ELSE '-' END" for _, good, bad, *_ in Q.RULES)
-    first = ", ".join([f"CAST({Q.PRIOR_BAD} AS DOUBLE) AS prior",
-                       *(f"CAST({r[3]} AS DOUBLE) AS p{i}, CAST({r[4]} AS DOUBLE) AS q{i}" for i, r in enumerate(Q.RULES))])
-    rounds = [f"em0 AS (SELECT {first})"]
-    rounds += [f"em{i + 1} AS MATERIALIZED ({_em_round(k, f'em{i}')})" for i in range(Q.ROUNDS)]
-    bad, good = _posterior(k, f"em{Q.ROUNDS}")
+    first = ", ".join([f"CAST({Q.PRIOR_BAD} AS DOUBLE) AS prior", *(f"CAST({r[3]} AS DOUBLE) AS p{i}" for i, r in enumerate(Q.RULES)),
+                       *(f"CAST({r[4]} AS DOUBLE) AS q{i}" for i, r in enumerate(Q.RULES)), "CAST(1 AS DOUBLE) AS change"])
+    rounds = [f"em AS (SELECT 0 AS step, {first} UNION ALL {_em_round(k)})", "settled AS MATERIALIZED (SELECT * FROM em ORDER BY step DESC LIMIT 1)"]
+    bad, good = _posterior(k, "settled")
     return f"""
-WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 split AS (
     SELECT r, doc_id, text, regexp_extract_all(text, '{WORD}') AS words,
            list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '{WORD}')) AS lines FROM docs
@@ -129,7 +132,7 @@ patterns AS MATERIALIZED (SELECT pattern, count(*) AS n FROM voted GROUP BY patt
 scored AS (
     SELECT *, n_words < {Q.MIN_WORDS} OR 100 * n_repeat_words > {Q.MAX_REPEAT_PERCENT} * n_words AS base_failed,
            ({good}) / (({good}) + ({bad})) AS p
-    FROM voted, em{Q.ROUNDS}
+    FROM voted, settled
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND p >= 0.5 AS kept,
        round(p, 6) AS p_good, pattern AS votes
@@ -137,7 +140,7 @@ FROM scored
 """
 
 
-def lines(ratio: float = 0.1, min_pages: int = 5) -> str:
+def lines(ratio: float = 0.1) -> str:
     blocks = line_dedup.BLOCKS.replace("(?i)", "")
     return f"""
 WITH pages_text AS MATERIALIZED (
@@ -150,7 +153,7 @@ WITH pages_text AS MATERIALIZED (
 each AS (SELECT r, host, unnest(range(1, len(lines) + 1)) AS i, unnest(lines) AS line FROM pages_text),
 counts AS (SELECT host, trim(line, ' ') AS line, count(DISTINCT r) AS n FROM each WHERE trim(line, ' ') <> '' GROUP BY ALL),
 sizes AS (SELECT host, count(*) AS n FROM pages_text GROUP BY host),
-bad AS (SELECT host, line FROM counts c JOIN sizes s USING (host) WHERE c.n >= {min_pages} AND c.n > {ratio} * s.n),
+bad AS (SELECT host, line FROM counts c JOIN sizes s USING (host) WHERE c.n >= 2 AND c.n > {ratio} * s.n),
 marked AS (SELECT e.r, e.i, e.line, b.line IS NOT NULL AS bad FROM each e LEFT JOIN bad b ON b.host = e.host AND b.line = trim(e.line, ' ')),
 done AS (
     SELECT r, count(*) FILTER (trim(line, ' ') <> '') AS n_lines, count(*) FILTER (bad) AS n_dropped,
@@ -168,33 +171,36 @@ def mixing_sql(share: float = mixing.SHARE) -> str:
     for d, power in mixing.POWERS.items():
         steps.append(f"""t_{d} AS MATERIALIZED (SELECT {d}, pow(t, {power}) / sum(pow(t, {power})) OVER () AS share
             FROM (SELECT {d}, CAST(sum(tokens) AS DOUBLE) AS t FROM cells GROUP BY {d}) WHERE t > 0)""")
-    before = "cells0"
-    for i in range(mixing.ROUNDS):
-        for d in dims:
-            now = f"rake_{i}_{d}"
-            steps.append(f"""{now} AS MATERIALIZED (SELECT c.* EXCLUDE (weight), CASE WHEN m > 0 THEN
-                weight * (coalesce(share, 0) * (SELECT CAST(sum(tokens) AS DOUBLE) FROM cells) / m) ELSE 0 END AS weight
-                FROM {before} c JOIN (SELECT {d}, sum(weight) AS m FROM {before} GROUP BY {d}) USING ({d}) LEFT JOIN t_{d} USING ({d}))""")
-            before = now
-    steps.append(f"ratios AS MATERIALIZED (SELECT *, CASE WHEN tokens > 0 THEN weight / tokens ELSE 0 END AS ratio FROM {before})")
-    steps.append(f"c0 AS (SELECT CAST({share} AS DOUBLE) AS c)")
-    for i in range(mixing.CAP_ROUNDS):
-        steps.append(f"""c{i + 1} AS MATERIALIZED (SELECT CASE WHEN rest > 0
-            THEN greatest(c, ({share} * total - filled) / rest) ELSE c END AS c FROM (
-            SELECT any_value(c) AS c, sum(tokens) AS total, sum(CASE WHEN ratio * c >= 1.0 THEN tokens ELSE 0 END) AS filled,
-            sum(CASE WHEN ratio * c >= 1.0 THEN 0 ELSE weight END) AS rest FROM ratios, c{i}))""")
+    moved = "SELECT * FROM rake WHERE change >= {}".format(mixing.TOLERANCE)
+    for d in dims:
+        moved = f"""SELECT r.* EXCLUDE (weight, m), CASE WHEN m > 0 THEN weight * (coalesce(share, 0) * (SELECT CAST(sum(tokens) AS DOUBLE) FROM cells) / m) ELSE 0 END AS weight
+            FROM (SELECT *, sum(weight) OVER (PARTITION BY {d}) AS m FROM ({moved})) r LEFT JOIN t_{d} USING ({d})"""
+    names = ", ".join(dims)
+    steps.append(f"""rake AS (
+        SELECT 0 AS step, {names}, tokens, CAST(tokens AS DOUBLE) AS weight, CAST(tokens AS DOUBLE) AS was, CAST(1 AS DOUBLE) AS change FROM cells
+        UNION ALL
+        SELECT step + 1, {names}, tokens, weight, weight, max(abs(weight - was)) OVER () / (SELECT CAST(sum(tokens) AS DOUBLE) FROM cells) FROM ({moved}))""")
+    steps.append("raked AS MATERIALIZED (SELECT * FROM rake WHERE step = (SELECT max(step) FROM rake))")
+    steps.append("ratios AS MATERIALIZED (SELECT *, CASE WHEN tokens > 0 THEN weight / tokens ELSE 0 END AS ratio FROM raked)")
+    steps.append(f"""caps AS (
+        SELECT 0 AS step, CAST({share} AS DOUBLE) AS c, CAST(-1 AS HUGEINT) AS filled, true AS going
+        UNION ALL
+        SELECT step + 1, CASE WHEN rest > 0 AND now <> before THEN greatest(c, ({share} * total - now) / rest) ELSE c END, now, rest > 0 AND now <> before FROM (
+            SELECT step, c, filled AS before, sum(tokens) AS total, CAST(sum(CASE WHEN ratio * c >= 1.0 THEN tokens ELSE 0 END) AS HUGEINT) AS now,
+                   sum(CASE WHEN ratio * c >= 1.0 THEN 0 ELSE weight END) AS rest
+            FROM (SELECT r.tokens, r.weight, r.ratio, k.step, k.c, k.filled FROM ratios r, caps k WHERE going) GROUP BY step, c, filled))""")
+    steps.append("cap AS (SELECT c FROM caps ORDER BY step DESC LIMIT 1)")
     return f"""
-WITH docs AS MATERIALIZED (
+WITH RECURSIVE docs AS MATERIALIZED (
     SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, {topic} AS topic,
            CAST(len(regexp_extract_all(text, '{WORD}')) AS BIGINT) AS tokens
     FROM (SELECT doc_id, source, lang, coalesce(text, '') AS text FROM documents)
 ),
 cells AS MATERIALIZED (SELECT {", ".join(dims)}, sum(tokens) AS tokens FROM docs GROUP BY ALL),
-cells0 AS MATERIALIZED (SELECT *, CAST(tokens AS DOUBLE) AS weight FROM cells),
 {", ".join(steps)}
 SELECT doc_id, topic, d.tokens, round(ratio, 6) AS ratio, round(least(1.0, ratio * c), 6) AS p,
        ('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13))::BIGINT / 4503599627370496.0 < least(1.0, ratio * c) AS kept
-FROM docs d JOIN ratios USING ({", ".join(dims)}), c{mixing.CAP_ROUNDS}
+FROM docs d JOIN ratios USING ({", ".join(dims)}), cap
 """
 
 

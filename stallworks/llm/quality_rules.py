@@ -38,7 +38,8 @@ RULES = [
 ]
 #: prior share of bad documents, and weight of all prior beliefs as a multiple of the corpus
 PRIOR_BAD, PRIOR_WEIGHT = 0.15, 0.5
-ROUNDS = 10
+#: rounds end when no rate moves by more; that many rounds are far beyond what it takes
+TOLERANCE, MAX_ROUNDS = 1e-6, 500
 
 
 def _count(text: Column, characters: str) -> Column:
@@ -109,11 +110,11 @@ def posterior(pattern: Column, prior: float, on_bad: list[float], on_good: list[
     return good / (good + bad)
 
 
-def estimate(patterns: DataFrame, rules: list[tuple], rounds: int = ROUNDS) -> tuple[float, list[float], list[float]]:
-    """EM over (pattern, n): share of bad documents, and each rule's bad-vote rate on bad and on good ones."""
+def estimate(patterns: DataFrame, rules: list[tuple], tolerance: float = TOLERANCE) -> tuple[float, list[float], list[float]]:
+    """EM over (pattern, n) until it stands still: share of bad documents, and each rule's bad-vote rate on bad and on good ones."""
     first_bad, first_good = [r[3] for r in rules], [r[4] for r in rules]
     prior, on_bad, on_good = PRIOR_BAD, first_bad, first_good
-    for _ in range(rounds):
+    for _ in range(MAX_ROUNDS):
         scored = patterns.withColumn("good", posterior(F.col("pattern"), prior, on_bad, on_good) * F.col("n"))
         votes_given = F.posexplode(F.split("pattern", "")).alias("rule", "vote")
         scored = scored.select("n", "good", (F.col("n") - F.col("good")).alias("bad"), votes_given)
@@ -123,14 +124,17 @@ def estimate(patterns: DataFrame, rules: list[tuple], rounds: int = ROUNDS) -> t
               for side in ("bad", "good") for name, test in (("b", F.col("vote") == "b"), ("v", F.col("vote") != "-"))),
         ).collect()}
         if not by_rule:
-            break
+            return prior, on_bad, on_good
+        last = [prior, *on_bad, *on_good]
         n, bad = by_rule[0]["n"], by_rule[0]["bad"]
         prior = (bad + PRIOR_WEIGHT * n * PRIOR_BAD) / (n + PRIOR_WEIGHT * n)
         on_bad, on_good = (
             [(by_rule[k][f"b_{side}"] + weight * first[k]) / (by_rule[k][f"v_{side}"] + weight) for k in range(len(rules))]
             for side, first, weight in (("bad", first_bad, PRIOR_WEIGHT * n * PRIOR_BAD),
                                         ("good", first_good, PRIOR_WEIGHT * n * (1.0 - PRIOR_BAD))))
-    return prior, on_bad, on_good
+        if max(abs(a - b) for a, b in zip(last, [prior, *on_bad, *on_good])) < tolerance:
+            return prior, on_bad, on_good
+    raise RuntimeError(f"rates of the rules still move after {MAX_ROUNDS} rounds")
 
 
 def judged(

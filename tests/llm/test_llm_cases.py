@@ -104,14 +104,14 @@ def test_lines(spark):
     assert line_dedup.line_dedup_pages(df.limit(0)).collect() == []
 
 
-def plain_lines(rows, ratio=0.1, min_pages=5):
+def plain_lines(rows, ratio=0.1):
     """id -> text without boilerplate, for (id, text, source); distinct texts of a source are its pages."""
     pages = {s: {t or "" for _, t, k in rows if k == s} for _, _, s in rows}
     lines = {s: [{line.strip(" ") for line in t.split("\n")} - {""} for t in texts] for s, texts in pages.items()}
 
     def bad(line, s):
         n = sum(line.strip(" ") in held for held in lines[s])
-        return n >= min_pages and n > ratio * len(pages[s])
+        return n >= 2 and n > ratio * len(pages[s])
 
     return {k: "\n".join(line for line in (t or "").split("\n") if not bad(line, s)) for k, t, s in rows}
 
