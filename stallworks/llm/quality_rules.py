@@ -39,7 +39,7 @@ RULES = [
 #: prior share of bad documents, and weight of all prior beliefs as a multiple of the corpus
 PRIOR_BAD, PRIOR_WEIGHT = 0.15, 0.5
 #: rounds end when no rate moves by more; that many rounds are far beyond what it takes
-TOLERANCE, MAX_ROUNDS = 1e-6, 500
+TOLERANCE, MAX_ROUNDS = 1e-4, 500
 
 
 def _count(text: Column, characters: str) -> Column:
