@@ -37,6 +37,23 @@ def write_export(rows: DataFrame, path: str, stem: str = "show") -> None:
     )
 
 
+def write_lead_export(leads: DataFrame, path: str) -> None:
+    """CSV folders of the shows that the leads name, replacing what these shows had; other shows' files are not touched."""
+    columns = [c for c in leads.columns if c != "show_id"]
+    (
+        leads.repartitionByRange(F.col("show_id"), F.lower(F.trim("email")))
+        .sortWithinPartitions("show_id", F.lower(F.trim("email")))
+        .select("show_id", *columns)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("show_id")
+        .option("header", True)
+        .option("emptyValue", "")
+        .option("escape", '"')
+        .csv(path)
+    )
+
+
 def read_export(spark: SparkSession, path: str) -> DataFrame:
     """An export read back; columns without a name are dropped, missing values are ''."""
     rows = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
