@@ -6,6 +6,7 @@ A page list is (seed_url, directory_page, page_url).
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -13,8 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from stallworks import rules
 from stallworks.functions import scores as S, text as T, url as U
 from stallworks.operators import listing
-from stallworks.operators.entries import same_url_set, stall_cut
-from stallworks.session import cut_lineage
+from stallworks.operators.entries import number_rows, same_url_set, stall_cut
+from stallworks.session import cut_lineage, shared_folder
 from stallworks.sources import pages as P, signals as G
 
 PAGE_LIST = ["seed_url", "directory_page", "page_url"]
@@ -71,12 +72,52 @@ def seed_hops(pages: DataFrame, signals: DataFrame) -> DataFrame:
     )
 
 
+def _ends(moves: DataFrame, most: int) -> DataFrame:
+    """(url, to) -> (url, to, moving): where each page's chain of moves leads, by doubling the length of its jumps.
+
+    After k rounds a jump spans 2^k moves.  ``moving`` marks chains that have not ended after ``most`` moves, hence never do.
+    """
+    jumps, span = moves.select("url", "to"), 1
+    while True:
+        ahead = jumps.select(F.col("url").alias("to"), F.col("to").alias("further"))
+        jumps = cut_lineage(jumps.join(ahead, "to", "left").select(
+            "url", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moving")))
+        span *= 2
+        if span > most or jumps.filter("moving").isEmpty():
+            return jumps
+        jumps = jumps.select("url", "to")
+
+
 def resolve_seeds(seeds: DataFrame, hops: DataFrame) -> DataFrame:
     """Follow frames and directory links until nothing new is found; (seed_url, resolved_url).
 
-    One equi join per hop for all seeds that still move; visited pages end every chain.
-    Targets that the snapshot lacks are not followed.
+    Every page has one move: to its frame, else along its directory link; platform pages and pages whose target the snapshot
+    lacks have none.  Jumps over moves are doubled for all pages at once, so a chain of n pages takes log2(n) rounds.
+    A chain that runs into a circle ends on the page from which it would come back to the circle's first page.
     """
+    known = hops.select("url", "is_platform", *(F.when(F.col(c) != F.col("url"), F.col(c)).alias(c) for c in ("frame_url", "link_url")))
+    target = F.when(~F.col("is_platform"), F.coalesce("frame_url", "link_url"))
+    second = F.when(F.col("link_url") != F.col("frame_url"), F.col("link_url"))
+    moves = known.select("url", target.alias("to"), second.alias("second")).filter("to IS NOT NULL")
+    moves = cut_lineage(moves.join(hops.select(F.col("url").alias("to")), "to", "left_semi"))
+    start = seeds.select("seed_url", U.normalize_http_url("seed_url").alias("url"))
+    ends = _ends(moves, moves.count())
+    circle = cut_lineage(ends.filter("moving").select(F.col("to").alias("url")).distinct())
+    if circle.isEmpty():
+        return start.join(ends, "url", "left").select("seed_url", F.coalesce("to", "url").alias("resolved_url"))
+    # pages of circles end the chains that lead to them; the page before the first one met is the last of the chain
+    outside = moves.join(circle, "url", "left_anti")
+    into = _ends(outside, outside.count()).select("url", F.col("to").alias("first")).unionByName(circle.withColumn("first", F.col("url")))
+    before = moves.join(circle, "url", "left_semi").select(F.col("to").alias("first"), F.col("url").alias("last"), "second")
+    found = cut_lineage(start.join(into, "url", "left").join(before, "first", "left").select(
+        "seed_url", F.coalesce("last", "first", "url").alias("resolved_url"), F.coalesce(F.col("second").isNotNull(), F.lit(False)).alias("open")))
+    left = found.filter("open").select("seed_url")
+    settled = found.filter("NOT open").select("seed_url", "resolved_url")
+    return settled if left.isEmpty() else settled.unionByName(_resolve_by_steps(left, hops))
+
+
+def _resolve_by_steps(seeds: DataFrame, hops: DataFrame) -> DataFrame:
+    """Hop by hop with the visited pages at hand, for chains that may leave a circle by their second choice."""
     known = hops.select(F.col("url").alias("current_url"), "is_platform", "frame_url", "link_url")
     state = seeds.select("seed_url", U.normalize_http_url("seed_url").alias("current_url")).withColumn(
         "visited", F.array("current_url")
@@ -133,44 +174,77 @@ def pagination_links(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     ).select("seed_url", "dst_url", "page_no")
 
 
+SLOTS, MERGE = 32, 8
+
+
+class _Visited:
+    """Pages seen so far, by slots of their seed: the newest rounds as tables of their own, older ones appended to one folder."""
+
+    def __init__(self, spark) -> None:
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+        self.recent: list[DataFrame] = []
+        self.schema = None
+
+    def add(self, rows: DataFrame) -> None:
+        self.recent.append(rows)
+        if len(self.recent) > MERGE:
+            older = reduce(DataFrame.unionByName, self.recent)
+            self.schema = older.schema
+            older.repartition("slot").write.mode("append").partitionBy("slot").parquet(self.folder)
+            self.recent = []
+
+    def of(self, slots: list[int] | None = None) -> DataFrame:
+        """Pages of the seeds of some slots; only their folders are read."""
+        parts = list(self.recent)
+        if self.schema is not None:
+            parts.append(self.spark.read.schema(self.schema).parquet(self.folder).select(*self.schema.names))
+        rows = reduce(DataFrame.unionByName, parts)
+        return rows if slots is None else rows.filter(F.col("slot").isin(slots))
+
+
 def crawl_reachable(
     seeds: DataFrame, edges: DataFrame, known: DataFrame, max_pages: int | None = None
 ) -> DataFrame:
     """Breadth-first walk along pagination links, all seeds at once; a page list.
 
     Visit order is (level, parent's place, page number, address); where
-    ``max_pages`` is asked for, the first in that order are kept.  Each round
-    joins only the newest pages and is written down before the next one starts,
-    so plans stay short and a lost executor costs one round.  Only pages that
+    ``max_pages`` is asked for, the first in that order are kept.  Each round joins the newest pages with their links, and what
+    is found with the visited pages of those seeds only that still move; it is written down before the next one
+    starts, so neither plans nor scans grow with the rounds of other seeds, and a lost executor costs one round.  Only pages that
     the snapshot holds (``known``: url) are visited.
     """
+    slot = F.pmod(F.xxhash64("seed_url"), F.lit(SLOTS)).cast("int").alias("slot")
     frontier = seeds.select(
         "seed_url", F.col("seed_url").alias("page_url"), F.to_json(U.page_series("seed_url")).alias("series"),
-        F.lit(1).cast("bigint").alias("place"),
+        F.lit(1).cast("bigint").alias("place"), slot,
     )
     frontier = cut_lineage(frontier.join(known.withColumnRenamed("url", "page_url"), "page_url", "left_semi"))
     usable = cut_lineage(
         edges.join(known.withColumnRenamed("url", "dst_url"), "dst_url", "left_semi")
         .withColumnRenamed("src_url", "page_url")
     )
-    visited = frontier
-    while not frontier.isEmpty():
+    visited = _Visited(seeds.sparkSession)
+    visited.add(frontier)
+    while True:
+        active = [r.slot for r in frontier.select("slot").distinct().collect()]  # at most SLOTS
+        if not active:
+            break
         found = frontier.join(usable, ["page_url", "series"])
-        order = F.struct("place", F.coalesce("page_no", F.lit(10**9)).alias("page_no"), F.col("dst_url"))
-        firsts = found.groupBy("seed_url", "series", F.col("dst_url").alias("new_url")).agg(F.min(order).alias("order"))
-        firsts = firsts.withColumnRenamed("new_url", "page_url").join(
-            visited.select("seed_url", "page_url"), ["seed_url", "page_url"], "left_anti"
+        order = F.struct(F.col("place").alias("parent"), F.coalesce("page_no", F.lit(10**9)).alias("page_no"))
+        firsts = found.groupBy("seed_url", "series", "slot", F.col("dst_url").alias("new_url")).agg(F.min(order).alias("order"))
+        firsts = firsts.select("seed_url", "series", "slot", F.col("new_url").alias("page_url"), "order.*").join(
+            visited.of(active).select("seed_url", "page_url"), ["seed_url", "page_url"], "left_anti"
         )
-        sizes = visited.groupBy("seed_url").agg(F.count("*").alias("size"))
-        window = Window.partitionBy("seed_url").orderBy("order")
-        ranked = firsts.withColumn("n", F.row_number().over(window)).join(sizes, "seed_url")
-        ranked = ranked.withColumn("place", F.col("size") + F.col("n"))
+        # places are dense, so the last of a seed's newest pages tells how many it has
+        sizes = frontier.groupBy("seed_url").agg(F.max("place").alias("size"))
+        ranked = number_rows(firsts, "seed_url", ["parent"], ["page_no", "page_url"], "n").join(sizes, "seed_url")
+        ranked = ranked.withColumn("place", (F.col("size") + F.col("n") + 1).cast("bigint"))
         if max_pages is not None:
             ranked = ranked.filter(F.col("place") <= max_pages)
-        frontier = cut_lineage(ranked.select("seed_url", "page_url", "series", "place"))
-        visited = visited.unionByName(frontier)
+        frontier = cut_lineage(ranked.select("seed_url", "page_url", "series", "place", "slot"))
+        visited.add(frontier)
     number = F.coalesce(U.page_number("page_url"), F.col("place"))
-    return visited.select("seed_url", number.cast("bigint").alias("directory_page"), "page_url", "place")
+    return visited.of().select("seed_url", number.cast("bigint").alias("directory_page"), "page_url", "place")
 
 
 # --- numbered pages -------------------------------------------------------------

@@ -21,6 +21,20 @@ def weighted_meta(pages: DataFrame) -> DataFrame:
     return P.meta_tags(pages, "url").withColumn("weight", weight_of(key, rules.META_WEIGHTS)).filter("weight > 0")
 
 
+def linked_names(sites: DataFrame) -> DataFrame:
+    """(url, pos, weight, text): names in linked data, weighed by the types of the objects that bear them.
+
+    An object's types are its ``@type`` values, or its ``type`` values where it has no others.
+    """
+    texts = sites.select("url", F.inline("linked"))
+    kinds = texts.filter(F.col("label").isin("@type", "type") & (F.col("text") != "")).groupBy("url", "owner").agg(*(
+        F.max(F.when(F.col("label") == label, weight_of(F.lower("text"), rules.JSON_LD_WEIGHTS))).alias(name)
+        for label, name in (("@type", "marked"), ("type", "plain"))))
+    named = texts.withColumn("field", F.array_position(F.lit(rules.JSON_LD_NAMES), F.col("key"))).filter("field > 0")
+    weighed = named.join(kinds, ["url", "owner"]).withColumn("weight", F.coalesce("marked", "plain"))
+    return weighed.filter("weight > 0").select("url", (F.col("owner") * 4 + F.col("field")).cast("int").alias("pos"), "weight", "text")
+
+
 def name_candidates(sites: DataFrame, meta: DataFrame) -> DataFrame:
     """All names a site gives itself: (url, src, pos, weight, name), source order kept for ties.
 
@@ -33,15 +47,12 @@ def name_candidates(sites: DataFrame, meta: DataFrame) -> DataFrame:
         return found.select("url", "src", "pos", "weight", F.posexplode("names").alias("sub", "name"))
 
     meta = meta.join(sites.select("url"), "url", "left_semi")
-    ld = sites.select("url", F.posexplode("ld_names").alias("pos", "item")).withColumn(
-        "weight",
-        F.array_max(F.concat(F.array(F.lit(0.0)), F.transform("item.types", lambda t: weight_of(t, rules.JSON_LD_WEIGHTS)))),
-    ).filter("weight > 0")
+    ld = linked_names(sites)
     parts = sites.select("url", F.posexplode(T.split_title("title")).alias("pos", "part"))
     heads = sites.select("url", F.posexplode("h1_texts").alias("pos", "part"))
     return (
         rows(meta, 0, F.col("weight"), F.col("content"), F.col("pos"))
-        .unionByName(rows(ld, 1, F.col("weight"), F.col("item.name"), F.col("pos")))
+        .unionByName(rows(ld, 1, F.col("weight"), F.col("text"), F.col("pos")))
         .unionByName(rows(parts, 2, F.lit(90.0), F.col("part"), F.col("pos")))
         .unionByName(rows(sites, 3, F.lit(55.0), F.col("title"), F.lit(0)))
         .unionByName(rows(heads, 4, F.lit(75.0), F.col("part"), F.col("pos")))

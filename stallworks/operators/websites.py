@@ -19,10 +19,10 @@ def page_brand_keys() -> Column:
 
 def json_ld_urls(profiles: DataFrame) -> DataFrame:
     """First plausible off-site address in a profile's linked data."""
-    leaves = profiles.select("url", F.posexplode("ld_texts").alias("pos", "leaf")).filter(
-        F.col("leaf.key").isin("url", "sameAs")
+    leaves = profiles.select("url", F.posexplode("linked").alias("pos", "leaf")).filter(
+        F.col("leaf.label").isin("url", "sameAs")
     )
-    leaves = leaves.withColumn("target", U.normalize_http_url("leaf.value")).filter("target IS NOT NULL")
+    leaves = leaves.withColumn("target", U.normalize_http_url("leaf.text")).filter("target IS NOT NULL")
     return (
         leaves.filter(S.plausible_website("target", F.col("url")))
         .groupBy("url")
@@ -129,11 +129,18 @@ def require_website(records: DataFrame) -> DataFrame:
     return records.filter("website_url <> ''")
 
 
-def run_metrics(records: DataFrame) -> DataFrame:
-    """Counts per seed: companies, with website, dropped when a website is required, failures."""
-    return records.groupBy("seed_url").agg(
+def run_metrics(records: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
+    """Counts per seed: companies, with website, dropped when a website is required, failures.
+
+    With ``seeds``, a seed without records has its row of zeros.
+    """
+    counts = records.groupBy("seed_url").agg(
         F.count("*").alias("record_count"),
         F.count_if(F.col("website_url") != "").alias("company_count"),
         F.count_if(F.col("website_url") == "").alias("dropped_count"),
         F.count_if("failed").alias("failures"),
     )
+    if seeds is None:
+        return counts
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in counts.columns if c != "seed_url"]
+    return seeds.select("seed_url").distinct().join(counts, "seed_url", "left").select("seed_url", *zero)

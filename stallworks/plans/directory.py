@@ -7,20 +7,21 @@ down once (``cut_lineage``): page signals, listing candidates, page lists.
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
 
 from stallworks import rules
 from stallworks.functions import text as T, url as U
 from stallworks.operators import crawl, embedded, lines, listing, websites
-from stallworks.operators.entries import at_least, best_source, dedupe_entries
+from stallworks.operators.entries import at_least, best_source, dedupe_entries, page_range
 from stallworks.session import cut_lineage
 from stallworks.sources import embedded as E, pages as P, signals as G
 
 # Order in which the kinds of source are asked; the first that has entries wins.
 SOURCES = ["platform", "gallery", "richtext", "ocr", "table", "listing", "embedded"]
 CANDIDATE = ["seed_url", "directory_page", "visit_no", "page_url", "company_name", "profile_url", "website_url_hint",
-             "name_key", "first_ord", "source_kind"]
+             "name_key", "first_ord", "source_kind", "data_title"]
 
 
 def profile_table(urls: DataFrame, pages: DataFrame, signals: DataFrame) -> DataFrame:
@@ -90,6 +91,7 @@ def listing_entries(
     return rows.select(
         "seed_url", "directory_page", "visit_no", "page_url", F.col("name").alias("company_name"), "profile_url",
         F.lit("").alias("website_url_hint"), F.lower("name").alias("name_key"), "first_ord", "source_kind",
+        F.lit("").alias("data_title"),
     )
 
 
@@ -105,6 +107,7 @@ def _one_page(rows: DataFrame, kind: str) -> DataFrame:
         (F.col("profile_url") if "profile_url" in have else F.lit("")).alias("profile_url"),
         (F.col("website_url_hint") if "website_url_hint" in have else F.lit("")).alias("website_url_hint"),
         F.lit("").alias("name_key"), F.col("ord").cast("int").alias("first_ord"), F.lit(kind).alias("source_kind"),
+        (F.col("data_title") if "data_title" in have else F.lit("")).alias("data_title"),
     )
 
 
@@ -150,7 +153,7 @@ def directory_candidates(
     if search_payloads is not None:
         found.append(("platform", E.search_payload_entries(search_payloads)))
     if floorplan_payloads is not None:
-        found.append(("platform", E.floorplan_payload_entries(floorplan_payloads).drop("plan_title")))
+        found.append(("platform", E.floorplan_payload_entries(floorplan_payloads).withColumnRenamed("plan_title", "data_title")))
     marks = page_marks(seed_pages)
     if marks["gallery"]:
         found.append(("gallery", as_seed(embedded.gallery_entries(E.gallery_items(seed_pages)))))
@@ -182,7 +185,51 @@ def directory_candidates(
 
 def directory_entries(candidates: DataFrame) -> DataFrame:
     """First entry per company in page order, numbered from 0 per seed."""
-    rows = dedupe_entries(candidates.select(*CANDIDATE), ["visit_no", "page_url"], ["name_key", "first_ord"])
+    kept = candidates.select(*(c for c in CANDIDATE if c != "data_title"))
+    rows = dedupe_entries(kept, ["visit_no", "page_url"], ["name_key", "first_ord"])
     return rows.select(
         "seed_url", "sort_index", "directory_page", "company_name", "profile_url", "website_url_hint", "source_kind"
     )
+
+
+def data_titles(candidates: DataFrame) -> DataFrame:
+    """(seed_url, data_title): the title that a seed's data gives its event, of several the first in page order."""
+    titled = candidates.filter("data_title <> ''")
+    return titled.groupBy("seed_url").agg(F.min_by("data_title", F.struct("visit_no", "page_url", "first_ord")).alias("data_title"))
+
+
+UNKNOWN, EMPTY_RANGE, NO_ENTRIES = "page is not in the snapshot", "start page is greater than end page", "no entries"
+
+
+class Run(NamedTuple):
+    entries: DataFrame  #: of every asked seed, numbered from 0
+    outcomes: DataFrame  #: (seed_url, resolved_url, entries, error): every asked seed once, with entries or one reason
+    titles: DataFrame  #: (seed_url, data_title)
+
+
+def directory_run(seeds: DataFrame, pages: DataFrame, signals: DataFrame, **options) -> Run:
+    """The whole way for every asked seed (seed_url, start_page, end_page): resolve it, read its directory, keep its pages.
+
+    Seeds that lead to the same directory share its analysis.  Page ranges hold for every kind of source.
+    ``options`` go to ``directory_candidates``.
+    """
+    hops = cut_lineage(crawl.seed_hops(pages, signals))
+    resolved = crawl.resolve_seeds(seeds.select("seed_url").distinct(), hops)
+    asked = seeds.select("seed_url", "start_page", "end_page").dropDuplicates(["seed_url"]).join(resolved, "seed_url", "left")
+    asked = asked.join(hops.select(F.col("url").alias("resolved_url"), F.lit(True).alias("held")), "resolved_url", "left")
+    empty = F.greatest(F.coalesce("start_page", F.lit(1)), F.lit(1)) > F.col("end_page")
+    refused = F.when(F.col("held").isNull(), UNKNOWN).when(empty, EMPTY_RANGE)
+    asked = cut_lineage(asked.withColumn("refused", refused))
+    good = asked.filter("refused IS NULL")
+    none = F.lit(None).cast("int")
+    places = cut_lineage(good.select(F.col("resolved_url").alias("seed_url")).distinct().withColumns({"start_page": none, "end_page": none}))
+    candidates = cut_lineage(directory_candidates(places, pages, signals, **options))
+    mine = good.select("seed_url", "resolved_url").join(candidates.withColumnRenamed("seed_url", "resolved_url"), "resolved_url").drop("resolved_url")
+    limits = good.select("seed_url", "start_page", "end_page", none.alias("max_pages"))
+    kept = cut_lineage(page_range(mine, limits)[0])
+    entries = cut_lineage(directory_entries(kept))
+    counts = entries.groupBy("seed_url").agg(F.count("*").alias("entries"))
+    outcomes = asked.join(counts, "seed_url", "left").select(
+        "seed_url", "resolved_url", F.coalesce("entries", F.lit(0)).alias("entries"),
+        F.coalesce("refused", F.when(F.col("entries").isNull(), NO_ENTRIES)).alias("error"))
+    return Run(entries, outcomes, data_titles(kept))

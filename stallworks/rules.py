@@ -139,6 +139,7 @@ META_WEIGHTS = {
     "og:site_name": 170.0, "application-name": 160.0, "apple-mobile-web-app-title": 155.0, "og:title": 95.0,
     "twitter:title": 85.0,
 }
+JSON_LD_NAMES = ["name", "alternateName", "legalName"]
 JSON_LD_WEIGHTS = {
     "brand": 180.0, "organization": 175.0, "corporation": 170.0, "localbusiness": 165.0, "store": 160.0,
     "website": 150.0, "webpage": 70.0,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stallworks.functions import dates as D
+from stallworks.operators.entries import number_rows
 
 PAYLOAD_FIELDS = ["show_id", "show_name", "show_date", "show_day", "show_year", "show_date_pretty", "show_place",
                   "scraped_at", "source_url"]
@@ -41,11 +42,12 @@ def delivery_payload(export: DataFrame, shows: DataFrame, scraped_at: str) -> Da
     return rows.select("show_id", F.to_json(F.struct(*[c for c in rows.columns])).alias("payload"))
 
 
-def delivery_batch(export: DataFrame, shows: DataFrame, scraped_at: str, key: str = "sort_index", size: int = 1000) -> DataFrame:
-    """Request bodies of up to ``size`` records: (show_id, batch_no, body).
+def delivery_body(export: DataFrame, shows: DataFrame, scraped_at: str, key: str = "sort_index", part_rows: int = 1000) -> DataFrame:
+    """The request body of every show, in parts: (show_id, part_no, text).
 
-    A show of any size is split into several bodies, so no group is collected
-    whole.  Record ids come from the row, hence reruns give the same ones.
+    The texts of a show's parts, one after another, are its one body; no part holds more than ``part_rows``
+    records, so a show of any size is never gathered.  Records are in the order of ``key``, then of their ids, which come from the row,
+    hence reruns give the same ones.
     """
     rows = delivery_rows(export, shows, scraped_at)
     digest = F.substring(F.sha2(F.to_json(F.struct("show_id", key, *[c for c in rows.columns if c not in ("show_id", key)])), 256), 1, 12)
@@ -53,11 +55,15 @@ def delivery_batch(export: DataFrame, shows: DataFrame, scraped_at: str, key: st
         F.concat(F.lit("show-"), F.col("show_id"), F.lit("-"), digest).alias("id"),
         F.struct(*[c for c in rows.columns if c != key]).alias("cells"),
     )
-    batches = rows.withColumn("batch_no", F.floor(F.col(key) / size)).groupBy("show_id", "batch_no").agg(
-        F.array_sort(F.collect_list(F.struct(key, record.alias("record")))).alias("records")
-    )
-    body = F.to_json(F.struct(F.transform("records", lambda r: r["record"]).alias("records")))
-    return batches.select("show_id", "batch_no", body.alias("body"))
+    placed = rows.select("show_id", key, digest.alias("digest"), F.to_json(record).alias("record"), F.floor(F.col(key) / part_rows).alias("chunk"))
+    placed = number_rows(placed, "show_id", ["chunk"], [key, "digest"], "n")
+    sizes = placed.groupBy("show_id").agg(F.max("n").alias("last"))
+    parts = placed.join(sizes, "show_id").groupBy("show_id", F.floor(F.col("n") / part_rows).alias("part_no"), "last").agg(
+        F.sort_array(F.collect_list(F.struct("n", "record"))).alias("records"))
+    joined = F.array_join(F.transform("records", lambda r: r["record"]), ",")
+    first, final = F.col("part_no") == 0, F.col("part_no") == F.floor(F.col("last") / part_rows)
+    text = F.concat(F.when(first, '{"records":[').otherwise(","), joined, F.when(final, "]}").otherwise(""))
+    return parts.select("show_id", "part_no", text.alias("text"))
 
 
 def notification_text(shows: DataFrame, app_name: str = "Shows") -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -17,10 +17,7 @@ from stallworks.sources import json_walk
 from stallworks.sources.signals import ROWS_PER_BATCH
 
 STATE_NODES = "url string, source int, no int, parent int, key string, kind string, text string, size int"
-GALLERY_ROWS = (
-    "url string, gallery_no int, item_count int, item_no int, title string, alt string, file_name string, "
-    "name string, targets array<string>"
-)
+LEAVES = "url string, no int, path array<string>, members int, text string"
 NEXT_DATA = r"""(?is)<script[^>]+\bid=["']__NEXT_DATA__["'][^>]*>(.*?)</script>"""
 WARMUP_DATA = r"""(?is)<script[^>]+\bid=["']wix-warmup-data["'][^>]*>(.*?)</script>"""
 SEARCH_PAYLOAD = (
@@ -155,11 +152,23 @@ def gallery_items(pages: DataFrame) -> DataFrame:
     )
 
     def rows_of(record: dict) -> Iterator[dict]:
-        for number, (_key, count, items) in enumerate(json_walk.gallery_items(json_walk.parse(record["data"]))):
-            for position, item in enumerate(items):
-                yield {**item, "url": record["url"], "gallery_no": number, "item_count": count, "item_no": position}
-
-    return _map(found, GALLERY_ROWS, rows_of)
+        for row in json_walk.leaves(json_walk.parse(record["data"])):
+            yield {**row, "url": record["url"]}
+
+    rows = _map(found, LEAVES, rows_of)
+    step = lambda k: F.get("path", F.lit(k))
+    rows = rows.filter((step(0) == "appsWarmupData") & step(2).endswith("_galleryData") & (step(3) == "items"))
+    rows = rows.select("url", "no", "members", "text", step(1).alias("app"), step(2).alias("gallery"), step(4).cast("int").alias("item_no"),
+                       F.array_join(F.slice("path", 6, 8), ".").alias("field"), F.size("path").alias("depth"))
+    # galleries of one page, which a document bounds
+    lists = rows.filter("depth = 4 AND members IS NOT NULL").select(
+        "url", "app", "gallery", F.col("members").alias("item_count"),
+        (F.row_number().over(Window.partitionBy("url").orderBy("no")) - 1).alias("gallery_no"))
+    field = lambda name: F.coalesce(F.max(F.when(F.col("field") == f"metaData.{name}", F.col("text"))), F.lit(""))
+    items = rows.filter("depth > 5").groupBy("url", "app", "gallery", "item_no").agg(
+        field("title").alias("title"), field("alt").alias("alt"), field("fileName").alias("file_name"), field("name").alias("name"),
+        F.array(*(field(f"link.{k}") for k in ("data.url", "data.href", "data.link", "text"))).alias("targets"))
+    return items.join(lists, ["url", "app", "gallery"]).drop("app", "gallery")
 
 
 def search_payload_entries(payloads: DataFrame) -> DataFrame:

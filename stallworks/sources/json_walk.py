@@ -12,9 +12,10 @@ import re
 
 
 def parse(text: str):
+    """The document, or None where it is broken or nested too deep to be read."""
     try:
         return json.loads(text)
-    except ValueError:
+    except (ValueError, RecursionError):
         return None
 
 
@@ -26,7 +27,7 @@ def assigned(text: str, name: str):
     for match in found:
         try:
             return decoder.raw_decode(text, match.end())[0]
-        except ValueError:
+        except (ValueError, RecursionError):
             continue
     return None
 
@@ -50,45 +51,33 @@ def nodes(document) -> list[dict]:
     return rows
 
 
-def linked_data(block: str) -> tuple[list, list]:
-    """(key, text) leaves and typed names of one linked-data block."""
-    texts: list[dict] = []
-    names: list[dict] = []
-
-    def visit(value, key: str = "") -> None:
+def texts(blocks: list[str]) -> list[dict]:
+    """Texts of all blocks in document order: number of the object around, own key, and the nearest key on the way up."""
+    out: list[dict] = []
+    before = 0
+    for block in blocks:
+        rows = nodes(parse(block))
+        for row in rows:
+            up = rows[row["parent"]] if row["parent"] is not None else None
+            row["label"] = row["key"] if row["key"] is not None else up["label"] if up else None
+            row["owner"] = None if up is None else up["no"] if up["kind"] == "object" else up["owner"]
+            if row["kind"] == "text" and row["owner"] is not None:
+                out.append({"owner": before + row["owner"], "key": row["key"], "label": row["label"], "text": row["text"]})
+        before += len(rows)
+    return out
+
+
+def leaves(document) -> list[dict]:
+    """Scalars and lists of a document in document order, each with its path (keys, and places in lists)."""
+    rows: list[dict] = []
+    waiting = [([], document)]
+    while waiting:
+        path, value = waiting.pop()
         if isinstance(value, dict):
-            kinds = value.get("@type") or value.get("type")
-            kinds = [kinds] if isinstance(kinds, str) else [k for k in kinds or [] if isinstance(k, str)]
-            for field in ("name", "alternateName", "legalName"):
-                if isinstance(value.get(field), str):
-                    names.append({"types": [k.lower() for k in kinds], "name": value[field]})
-            for name, nested in value.items():
-                visit(nested, name)
-        elif isinstance(value, list):
-            for nested in value:
-                visit(nested, key)
-        elif isinstance(value, str):
-            texts.append({"key": key, "value": value})
-
-    visit(parse(block))
-    return texts, names
-
-
-def gallery_items(data):
-    """Items of every media gallery: link targets, captions and file names."""
-    apps = data.get("appsWarmupData") if isinstance(data, dict) else None
-    for app in (apps.values() if isinstance(apps, dict) else ()):
-        for key, gallery in (app.items() if isinstance(app, dict) else ()):
-            entries = gallery.get("items") if isinstance(gallery, dict) and key.endswith("_galleryData") else None
-            if isinstance(entries, list):
-                yield key, len(entries), [_gallery_item(entry) for entry in entries if isinstance(entry, dict)]
-
-
-def _gallery_item(entry: dict) -> dict:
-    meta = entry.get("metaData") if isinstance(entry.get("metaData"), dict) else {}
-    link = meta.get("link") if isinstance(meta.get("link"), dict) else {}
-    data = link.get("data") if isinstance(link.get("data"), dict) else {}
-    targets = [str(data.get(key) or "") for key in ("url", "href", "link")] if data else []
-    out = {name: str(meta.get(key) or "") for name, key in
-           (("title", "title"), ("alt", "alt"), ("file_name", "fileName"), ("name", "name"))}
-    return {**out, "targets": targets + [str(link.get("text") or "")] if link else []}
+            waiting += [([*path, key], member) for key, member in reversed(value.items())]
+            continue
+        if isinstance(value, list):
+            waiting += [([*path, str(place)], value[place]) for place in range(len(value) - 1, -1, -1)]
+        text = value if isinstance(value, str) else "" if isinstance(value, list) or not value else str(value)
+        rows.append({"no": len(rows), "path": path, "members": len(value) if isinstance(value, list) else None, "text": text})
+    return rows

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from stallworks import rules
 from stallworks.functions import scores as S, text as T, url as U
 from stallworks.functions.binding import let
+from stallworks.session import cut_lineage
 
 META = r"(?i)<meta\b([^>]+)>"
 ATTRIBUTE = r"""(?is)([A-Za-z_:][A-Za-z0-9_.:-]*)\s*=\s*(?:"([^"]*)"|'([^']*)')"""
@@ -15,13 +16,25 @@ ATTRIBUTE = r"""(?is)([A-Za-z_:][A-Za-z0-9_.:-]*)\s*=\s*(?:"([^"]*)"|'([^']*)')"
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """A page snapshot with one row per address without fragment.
 
-    Of repeated addresses the longest text counts, of equally long ones the last in order.
+    Of repeated addresses the longest text counts, of equally long ones the row whose other columns are the greatest.
+    Texts take no part in that: addresses alone tell which repeat, their rows are compared
+    by place in the files and length, and the rows that lose are left out of one plain scan.
     """
     pages = spark.read.parquet(path)
-    pages = pages.withColumn("url", F.coalesce(U.normalize_http_url("url"), F.col("url")))
-    others = [c for c in pages.columns if c != "url"]
-    best = F.max_by(F.struct(*others), F.struct(F.length("html"), F.col("html")))
-    return pages.groupBy("url").agg(best.alias("page")).select("url", "page.*").select(*pages.columns)
+    address = F.coalesce(U.normalize_http_url("url"), F.col("url"))
+    read = pages.withColumn("url", address)
+    repeated = cut_lineage(pages.select(address.alias("url")).groupBy("url").agg(F.count("*").alias("n")).filter("n > 1").select("url"))
+    if repeated.isEmpty():
+        return read
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("place")
+    others = [c for c in pages.columns if c not in ("url", "html")]
+    rows = pages.select(address.alias("url"), F.length("html").alias("size"), *others, place).join(repeated, "url", "left_semi")
+    rows = cut_lineage(rows)
+    best = rows.groupBy("url").agg(F.max_by("place", F.struct("size", *others, "place")).alias("best"))
+    lost = cut_lineage(rows.join(best, F.equal_null(rows["url"], best["url"])).filter("place <> best").select("place.file", "place.row"))
+    marked = pages.select(address.alias("url"), *(c for c in pages.columns if c != "url"),
+                          F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return marked.join(lost, ["file", "row"], "left_anti").select(*pages.columns)
 
 
 def all_matches(text: Column | str, pattern: str, group: int) -> Column:

@@ -21,8 +21,7 @@ cloudpickle.register_pickle_by_value(json_walk)
 FLAGS = "in_header boolean, in_footer boolean, in_nav boolean, in_main boolean"
 SIGNALS = f"""
     url string, title string, h1_texts array<string>, json_ld_blocks array<string>, headings array<string>,
-    ld_texts array<struct<key string, value string>>,
-    ld_names array<struct<types array<string>, name string>>,
+    linked array<struct<owner int, key string, label string, text string>>,
     anchors array<struct<ord int, text string, href string, signature array<string>, {FLAGS},
         title_attr string, aria_label string>>,
     actions array<struct<ord int, text string, raw_url string, tag string, source_attr string,
@@ -51,9 +50,7 @@ def page_signals(pages: DataFrame) -> DataFrame:
                 rows = []
                 for record in batch.slice(start, ROWS_PER_BATCH).to_pylist():
                     page = html_scan.scan(record["html"] or "", navigable, short_text)
-                    walked = [json_walk.linked_data(block) for block in page["json_ld_blocks"]]
-                    page["ld_texts"] = [leaf for texts, _ in walked for leaf in texts]
-                    page["ld_names"] = [name for _, names in walked for name in names]
+                    page["linked"] = json_walk.texts(page["json_ld_blocks"])
                     page["url"] = record["url"]
                     rows.append(page)
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)

@@ -80,3 +80,46 @@ def test_source_precedence_and_gate(spark):
     best = N.best_source(spark.createDataFrame(rows, "seed_url string, priority int, n int"))
     assert sorted(r.n for r in best.collect()) == [2, 3, 4]
     assert sorted(r.n for r in N.at_least(best, ["seed_url"], 2).collect()) == [2, 3]
+
+
+def follow(hops, url):
+    """Frames first, then directory links, never back to a visited page."""
+    seen = [url]
+    while url in hops:
+        fixed, frame, link = hops[url]
+        target = None if fixed else next((t for t in (frame, link) if t and t not in seen), None)
+        if target not in hops:
+            break
+        url = target
+        seen.append(url)
+    return url
+
+
+def page(i):
+    return f"https://p{i}.org/"
+
+
+def test_seeds_follow_long_chains_and_circles(spark):
+    rng = random.Random(8)
+    some = lambda: page(rng.randrange(70)) if rng.random() < 0.6 else None
+    hops = {page(100 + i): (False, None, page(101 + i)) for i in range(40)} | {page(140): (False, None, None)}  # a chain of 40
+    hops |= {page(200 + i): (False, page(200 + (i + 1) % 7), None) for i in range(7)}  # a circle of 7, and a way into it
+    hops |= {page(300): (False, None, page(203)), page(301): (False, page(301), page(300)), page(302): (True, page(300), None), page(303): (False, page(999), page(300))}
+    hops |= {page(i): (rng.random() < 0.1, some(), some()) for i in range(70)}
+    frame = spark.createDataFrame([(u, *h) for u, h in hops.items()], "url string, is_platform boolean, frame_url string, link_url string")
+    seeds = [*hops, "https://nowhere.org/"]
+    got = crawl.resolve_seeds(spark.createDataFrame([(s,) for s in seeds], "seed_url string"), frame).collect()
+    assert sorted((r.seed_url, r.resolved_url) for r in got) == sorted((s, follow(hops, s)) for s in seeds)
+
+
+def test_walk_over_a_long_chain(spark):
+    """Pages that are linked only from the one before; rounds of visited pages are merged on the way."""
+    number = lambda s, i: f"https://s{s}.org/l/page/{i}"
+    sizes = {1: 60, 2: 3, 3: 1}
+    edges = [(number(s, i), number(s, i + 1)) for s, n in sizes.items() for i in range(1, n)] + [(number(1, 60), number(1, 1))]
+    frame = spark.createDataFrame(edges, "src_url string, dst_url string").select(
+        "src_url", "dst_url", F.to_json(U.page_series("dst_url")).alias("series"), U.page_number("dst_url").alias("page_no"))
+    known = spark.createDataFrame([(number(s, i),) for s, n in sizes.items() for i in range(1, n + 1)], "url string")
+    seeds = spark.createDataFrame([(number(s, 1),) for s in sizes], "seed_url string")
+    got = crawl.crawl_reachable(seeds, frame, known).collect()
+    assert sorted((r.seed_url, r.place, r.page_url) for r in got) == sorted((number(s, 1), i, number(s, i)) for s, n in sizes.items() for i in range(1, n + 1))

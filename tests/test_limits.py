@@ -1,6 +1,7 @@
 """Nothing is cut off by size, repeated addresses count once, and all entities are known."""
 
 import html
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,8 @@ from pyspark.sql import functions as F
 from stallworks import session
 from stallworks.functions import text as T
 from stallworks.operators import crawl, websites
-from stallworks.sources import pages as P
+from stallworks.sinks import payloads as L
+from stallworks.sources import pages as P, signals as G
 
 
 def test_stated_totals_have_no_limit(one):
@@ -41,6 +43,8 @@ def test_repeated_addresses_count_once(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/p")
     held = {r.url: r.html for r in P.read_pages(spark, f"{tmp_path}/p").collect()}
     assert held == {"https://a.example.com/co/1": "longer text", "https://a.example.com/co/2": None}
+    plan = P.read_pages(spark, f"{tmp_path}/p")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan or all("html" not in line for line in plan.splitlines() if "Exchange" in line)
     entries = spark.createDataFrame(
         [("s", "Acme", "https://a.example.com/co/1", "")], "seed_url string, company_name string, profile_url string, website_url_hint string")
     sites = spark.createDataFrame([("https://a.example.com/co/1", "https://acme.com/")] * 2, "profile_url string, website_url string")
@@ -94,3 +98,31 @@ def test_state_objects_at_any_depth(spark):
     assert [r.ref for r in kinds["ref"]] == ["E:1", "E:2", "E:1"] and [r.item_id for r in kinds["held"]] == ["i"]
     assert [(r.node, r.item_id, r.typename) for r in kinds["node"]] == [("Root", "", ""), ("E:1", "e1", "Exhibitor"), ("E:2", "", "Exhibitor")]
     assert {r.event_slug for r in rows} == {"my-show"} and {tuple(r.titles) for r in rows} == {("Outer", "Show")}
+
+
+def test_deep_and_broken_linked_data_does_not_end_a_job(spark):
+    deep = "[" * 200_000 + "]" * 200_000
+    block = '{"@type": ["Organization", "Thing"], "name": "Acme", "sameAs": ["https://acme.com/", ["https://second.com/"]], "founder": {"type": "Person", "name": "Jo"}}'
+    html = "".join(f'<script type="application/ld+json">{b}</script>' for b in (deep, "{broken", "null", "[]", block))
+    state = f"<script>window.__INITIAL_STATE__ = {deep};</script>"
+    rows = G.page_signals(spark.createDataFrame([("https://x.org/", html), ("https://y.org/", state)], "url string, html string")).collect()
+    texts = {r.url: [(t.key, t.label, t.text) for t in r.linked] for r in rows}
+    assert texts["https://y.org/"] == []
+    assert texts["https://x.org/"] == [
+        (None, "@type", "Organization"), (None, "@type", "Thing"), ("name", "name", "Acme"), (None, "sameAs", "https://acme.com/"),
+        (None, "sameAs", "https://second.com/"), ("type", "type", "Person"), ("name", "name", "Jo")]
+    owners = [t.owner for r in rows if r.url == "https://x.org/" for t in r.linked]
+    assert owners[0] == owners[1] == owners[2] == owners[3] and owners[5] == owners[6] != owners[0]
+
+
+def test_a_show_has_one_body_whatever_its_size(spark):
+    rows = [(1, i * 7 % 2503, f"Co {i}") for i in range(2503)] + [(2, 5, "same"), (2, 5, "other"), (2, 10**9, "far")]
+    export = spark.createDataFrame(rows, "show_id long, sort_index long, company_name string")
+    shows = spark.createDataFrame([(1, "A"), (2, "B")], "id long, name string").select("id", "name", F.lit("2026-01-01").cast("date").alias("event_date"), F.lit("P").alias("place"), F.lit("u").alias("source_url"))
+    parts = L.delivery_body(export, shows, "now").collect()
+    assert sorted((r.show_id, r.part_no) for r in parts) == [("1", 0), ("1", 1), ("1", 2), ("2", 0)]
+    for show, n in (("1", 2503), ("2", 3)):
+        body = json.loads("".join(r.text for r in sorted(parts, key=lambda r: r.part_no) if r.show_id == show))
+        assert len(body["records"]) == n and len({r["id"] for r in body["records"]}) == n
+    names = [r["cells"]["company_name"] for r in json.loads("".join(r.text for r in sorted(parts, key=lambda r: r.part_no) if r.show_id == "1"))["records"]]
+    assert names == [c for _, _, c in sorted((r for r in rows if r[0] == 1), key=lambda r: r[1])]

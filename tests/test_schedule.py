@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from stallworks.operators import campaign as C, dashboard as B
 from stallworks.sources import schedule as S
-from stallworks.streaming import jobs
 
 NOW = "2026-06-01 12:00:00"
 
@@ -65,51 +64,3 @@ def test_life_of_a_show(spark, tmp_path):
     assert shows.filter("status = 'live'").count() == queued
     left, left_runs = C.delete_shows(shows, runs, B.ids_in_section(shows, "completed", NOW))
     assert left.count() == 10 - queued and left_runs.count() == 0
-
-
-def ticks(spark, tmp_path, name, rows, schema):
-    """A folder of one file per batch, and the stream over it."""
-    folder = tmp_path / name
-    for i, row in enumerate(rows):
-        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(str(folder))
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
-
-
-def test_due_stream_equals_batch(spark, tmp_path):
-    shows, runs = some_shows(spark, tmp_path)
-    state = jobs.StateTables(spark, str(tmp_path / "state"))
-    state.write(0, shows, runs)
-    stream = ticks(spark, tmp_path, "ticks", [(f"2026-06-0{d} 12:00:00",) for d in (1, 1, 1)], "now string").withColumn("now", F.col("now").cast("timestamp"))
-    jobs.stream_due_runs(stream, state, str(tmp_path / "cp"), seconds=None).awaitTermination()
-    got_shows, got_runs = state.read(3)
-    want_shows, want_runs = C.queue_due(shows, runs, NOW)
-    key = lambda df: sorted((r.id, r.status) for r in df.collect())
-    assert key(got_shows) == key(want_shows) and key(got_runs) == key(want_runs)
-
-
-def test_results_and_sync_streams(spark, tmp_path):
-    shows, runs = C.queue_due(*some_shows(spark, tmp_path), NOW)
-    state = jobs.StateTables(spark, str(tmp_path / "state2"))
-    state.write(0, shows, runs)
-    run = runs.first()
-    schema = "run_id bigint, error string, output_path string, company_count int, failure_count int, clay_status string, clay_message string, notification_status string, now timestamp"
-    stream = ticks(spark, tmp_path, "results", [(run.id, None, "/x", 3, 1, "success", "", "success", None)], schema).withColumn("now", F.to_timestamp(F.lit(NOW)))
-    jobs.stream_process_runs(stream, state, str(tmp_path / "cp2"), seconds=None).awaitTermination()
-    show = state.read(1)[0].filter(F.col("id") == run.show_id).first()
-    assert (show.status, show.company_count) == ("ready_for_review", 3)
-    approved = C.approve(state.read(1)[0], state.read(1)[0].filter(F.col("id") == run.show_id).select("id"), NOW)
-    synced = jobs.StateTables(spark, str(tmp_path / "state3"))
-    synced.write(0, approved, state.read(1)[1])
-    deliveries = ticks(spark, tmp_path, "deliveries", [(run.show_id, "success", "success", "success", None)], "show_id bigint, clay string, heyreach string, smartlead string, now timestamp")
-    jobs.stream_sync(deliveries.withColumn("now", F.to_timestamp(F.lit(NOW))), synced, str(tmp_path / "cp3"), seconds=None).awaitTermination()
-    assert synced.read(1)[0].filter(F.col("id") == run.show_id).first().status == "live"
-
-
-def test_lead_stream_equals_batch(spark, tmp_path):
-    rows = [(1, "A@x.org", "2026-01-01 00:00:00", 1, "old"), (1, "a@x.org ", "2026-01-02 00:00:00", 2, "new"), (2, "a@x.org", "2026-01-01 00:00:00", 3, "other"), (1, "", "2026-01-03 00:00:00", 4, "none")]
-    schema = "show_id int, email string, arrived_at string, lead_id int, title string"
-    stream = ticks(spark, tmp_path, "leads", rows, schema).withColumn("arrived_at", F.to_timestamp("arrived_at"))
-    jobs.stream_leads(stream, str(tmp_path / "out"), str(tmp_path / "cp4")).awaitTermination()
-    got = jobs.current_leads(spark, str(tmp_path / "out")).collect()
-    batch = C.dedupe_leads(spark.createDataFrame(rows, schema)).collect()
-    assert sorted((r.show_id, r.lead_id) for r in got) == sorted((r.show_id, r.lead_id) for r in batch) == [(1, 2), (2, 3)]

@@ -69,14 +69,14 @@ def schedule(spark, sf_dir):
 
 
 def schedule_upsert(spark, sf_dir):
-    known = shows(spark, sf_dir).filter("id % 3 = 0")
+    known = shows(spark, sf_dir)
     parsed = S.parsed_schedule(schedule(spark, sf_dir), "1998-06-01")
     out = C.upsert_shows(known, parsed, NOW)
     return out.select("source_url", F.date_format("event_date", "yyyy-MM-dd").alias("event_date"), "name", "place", "status", stamp("run_at"), stamp("created_at"), stamp("updated_at"))
 
 
 def schedule_summary(spark, sf_dir):
-    known = shows(spark, sf_dir).filter("id % 3 = 0")
+    known = shows(spark, sf_dir)
     rows = schedule(spark, sf_dir)
     return C.import_summary(rows, S.parsed_schedule(rows, "1998-06-01"), known)
 
@@ -206,10 +206,13 @@ def delivery_payload(spark, sf_dir):
 
 
 def delivery_batches(spark, sf_dir):
-    rows = L.delivery_batch(export_table(spark, sf_dir), shows(spark, sf_dir), SCRAPED_AT, size=100000)
+    """The body of every show, put together from its parts of three records."""
+    parts = L.delivery_body(export_table(spark, sf_dir), shows(spark, sf_dir), SCRAPED_AT, part_rows=3)
+    whole = parts.groupBy("show_id").agg(F.count("*").alias("parts"), F.sort_array(F.collect_list(F.struct("part_no", "text"))).alias("all"))
+    rows = whole.withColumn("body", F.array_join(F.transform("all", lambda p: p["text"]), ""))
     records = F.from_json("body", "records array<struct<id string, cells map<string, string>>>")["records"]
     return rows.select(
-        "show_id", "batch_no", F.size(records).alias("records"),
+        "show_id", "parts", F.size(records).alias("records"),
         F.size(F.array_distinct(F.transform(records, lambda r: r["id"]))).alias("ids"),
         F.get(records, F.lit(0))["cells"]["company_name"].alias("first_company"),
     )
@@ -256,14 +259,14 @@ def entries_dedupe(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = docs.select(
         F.col("source").alias("seed_url"), F.floor(F.col("doc_id") / 50).alias("directory_page"), F.col("doc_id").alias("ord"),
-        F.concat(F.upper("lang"), F.lit(" "), (F.col("n_chars") % 60).cast("string")).alias("company_name"), F.lit("").alias("profile_url"), F.lit("").alias("website_url_hint"),
+        F.concat(F.upper("lang"), F.lit(" "), (F.length(F.coalesce("text", F.lit(""))) % 60).cast("string")).alias("company_name"), F.lit("").alias("profile_url"), F.lit("").alias("website_url_hint"),
     )
     return N.dedupe_entries(rows, ["directory_page"], ["ord"]).select("seed_url", "sort_index", "directory_page", "company_name")
 
 
 def source_precedence(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = docs.select(F.concat_ws("-", "source", F.col("doc_id") % 50).alias("seed_url"), (F.col("n_chars") % 7).alias("priority"), "doc_id")
+    rows = docs.select(F.concat_ws("-", "source", F.col("doc_id") % 3).alias("seed_url"), (F.length(F.coalesce("text", F.lit(""))) % 7).alias("priority"), "doc_id")
     gated = N.at_least(N.best_source(rows), ["seed_url"], rules.MIN_EMBEDDED)
     return gated.select("seed_url", "priority", "doc_id")
 
@@ -282,14 +285,16 @@ def page_ranges(spark, sf_dir):
 
 
 def url_set_equality(spark, sf_dir):
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").alias("seed_url"), (F.col("l_partkey") % 5).alias("profile_url"), "l_linenumber")
-    a, b = lines.filter("l_linenumber = 1"), lines.filter("l_linenumber = 2")
+    """Do the orders of a group and the order lines of a group name the same orders?"""
+    a = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_custkey") % 100).alias("seed_url"), (F.col("o_orderkey") % 400).alias("profile_url"))
+    b = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_suppkey") % 100).alias("seed_url"), (F.col("l_orderkey") % 400).alias("profile_url"))
     return N.same_url_set(a, b).select("seed_url", F.col("same_set").cast("int").alias("same_set"), "n_a", "n_b")
 
 
 def unseen_profiles(spark, sf_dir):
-    k = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("k"))
-    seen = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("k"))
+    """Order keys that no part bears."""
+    k = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"))
+    seen = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k"))
     return N.unseen(k, seen, ["k"])
 
 
@@ -352,7 +357,7 @@ _ALLOWED = ", ".join(f"('{a}', '{b}')" for a, b in rules.TRANSITIONS)
 
 ORACLES = {
     "schedule_upsert": f"""
-        WITH {_SHOWS}, {_SCHEDULE}, kn AS (SELECT * FROM sh WHERE id % 3 = 0)
+        WITH {_SHOWS}, {_SCHEDULE}, kn AS (SELECT * FROM sh)
         SELECT coalesce(source_url, link) AS source_url, strftime(coalesce(event_date, d), '%Y-%m-%d') AS event_date, coalesce(show_, name) AS name,
             CASE WHEN show_ IS NOT NULL THEN 'Berlin' ELSE place END AS place, coalesce(status, 'waiting') AS status,
             strftime(coalesce(event_date, d) - INTERVAL 14 DAY, '%Y-%m-%d 09:00:00') AS run_at,
@@ -360,7 +365,7 @@ ORACLES = {
             CASE WHEN show_ IS NOT NULL THEN '{NOW}' ELSE strftime(created_at, '%Y-%m-%d %H:%M:%S') END AS updated_at
         FROM kn FULL JOIN inc ON source_url = link AND event_date = d""",
     "schedule_summary": f"""
-        WITH {_SHOWS}, {_SCHEDULE}, kn AS (SELECT source_url, event_date FROM sh WHERE id % 3 = 0)
+        WITH {_SHOWS}, {_SCHEDULE}, kn AS (SELECT source_url, event_date FROM sh)
         SELECT (SELECT count(*) FROM inc LEFT JOIN kn ON source_url = link AND event_date = d WHERE source_url IS NULL) AS created,
                (SELECT count(*) FROM inc JOIN kn ON source_url = link AND event_date = d) AS updated,
                (SELECT count(*) FROM sc WHERE show_ = '') AS skipped, (SELECT count(*) FROM sc WHERE show_ <> '' AND d IS NULL) AS bad_dates""",
@@ -438,7 +443,7 @@ ORACLES = {
             concat(strftime(event_date, '%B '), {_ORD}, ', ', year(event_date)) AS show_date_pretty, place AS show_place, source_url, '{SCRAPED_AT}' AS scraped_at FROM lineitem JOIN sh ON l_orderkey = id""",
     "delivery_batches": f"""
         WITH e AS (SELECT l_orderkey AS id, l_partkey * 100 + l_suppkey AS s, concat('Company ', l_partkey) AS c FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
-        SELECT CAST(id AS VARCHAR) AS show_id, s // 100000 AS batch_no, count(*) AS records, count(DISTINCT s) AS ids, arg_min(c, s) AS first_company FROM e GROUP BY id, s // 100000""",
+        SELECT CAST(id AS VARCHAR) AS show_id, (count(*) + 2) // 3 AS parts, count(*) AS records, count(DISTINCT s) AS ids, arg_min(c, s) AS first_company FROM e GROUP BY id""",
     "notifications": f"""
         WITH {_SHOWS} SELECT id AS show_id, concat('[Board] ', name, ' is ready for review') AS subject,
             concat('Show: ', name, chr(10), 'Date: ', strftime(event_date, '%Y-%m-%d'), chr(10), 'Place: ', place, chr(10), 'Source URL: ', source_url, chr(10), 'Rows exported: ', company_count, chr(10),
@@ -460,10 +465,10 @@ ORACLES = {
         h AS (SELECT s, p, n = 0 AND lag(n) OVER (PARTITION BY s ORDER BY p) = 0 AS st FROM g), c AS (SELECT s, min(p) FILTER (st) AS cut FROM h GROUP BY s)
         SELECT s AS seed_url, max(p) AS last_page, count(*) AS rows_kept FROM r JOIN c USING (s) WHERE cut IS NULL OR p <= cut GROUP BY s""",
     "entries_dedupe": """
-        WITH d AS (SELECT source AS s, doc_id, concat(upper(lang), ' ', n_chars % 60) AS c, row_number() OVER (PARTITION BY source, lower(concat(lang, ' ', n_chars % 60)) ORDER BY doc_id) AS n FROM documents)
+        WITH d AS (SELECT source AS s, doc_id, concat(upper(lang), ' ', length(coalesce(text, '')) % 60) AS c, row_number() OVER (PARTITION BY source, lower(concat(lang, ' ', length(coalesce(text, '')) % 60)) ORDER BY doc_id) AS n FROM documents)
         SELECT s AS seed_url, row_number() OVER (PARTITION BY s ORDER BY doc_id) - 1 AS sort_index, doc_id // 50 AS directory_page, c AS company_name FROM d WHERE n = 1""",
     "source_precedence": """
-        WITH r AS (SELECT concat(source, '-', doc_id % 50) AS s, n_chars % 7 AS p, doc_id, min(n_chars % 7) OVER (PARTITION BY source, doc_id % 50) AS m FROM documents),
+        WITH r AS (SELECT concat(source, '-', doc_id % 3) AS s, length(coalesce(text, '')) % 7 AS p, doc_id, min(length(coalesce(text, '')) % 7) OVER (PARTITION BY source, doc_id % 3) AS m FROM documents),
         k AS (SELECT *, count(*) OVER (PARTITION BY s) AS c FROM r WHERE p = m) SELECT s AS seed_url, p AS priority, doc_id FROM k WHERE c >= 3""",
     "page_ranges": """
         WITH l AS (SELECT c_custkey AS s, greatest(coalesce(CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 10 END, 1), 1) AS a, CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 25 END AS e FROM customer),
@@ -471,9 +476,9 @@ ORACLES = {
         SELECT o_custkey AS seed_url, count(*) AS n, '' AS error FROM orders LEFT JOIN r ON s = o_custkey WHERE s IS NULL OR o_orderkey % 30 + 1 BETWEEN a AND b GROUP BY o_custkey
         UNION ALL SELECT s, 0, 'start page is greater than end page' FROM r WHERE a > b""",
     "url_set_equality": """
-        WITH v AS (SELECT l_suppkey AS s, l_partkey % 5 AS u, max(CAST(l_linenumber = 1 AS INT)) AS a, max(CAST(l_linenumber = 2 AS INT)) AS b FROM lineitem WHERE l_linenumber IN (1, 2) GROUP BY ALL)
-        SELECT s AS seed_url, CAST(count(*) FILTER (a <> b) = 0 AS INT) AS same_set, CAST(sum(a) AS BIGINT) AS n_a, CAST(sum(b) AS BIGINT) AS n_b FROM v GROUP BY s""",
-    "unseen_profiles": "SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 7 = 0)",
+        WITH o AS (SELECT DISTINCT o_custkey % 100 AS s, o_orderkey % 400 AS u FROM orders), l AS (SELECT DISTINCT l_suppkey % 100 AS s, l_orderkey % 400 AS u FROM lineitem)
+        SELECT s AS seed_url, CAST(count(*) FILTER (o.u IS NULL OR l.u IS NULL) = 0 AS INT) AS same_set, count(o.u) AS n_a, count(l.u) AS n_b FROM o FULL JOIN l USING (s, u) GROUP BY s""",
+    "unseen_profiles": "SELECT o_orderkey AS k FROM orders WHERE o_orderkey NOT IN (SELECT p_partkey FROM part)",
     "export_roundtrip": """
         SELECT concat('show-', c_nationkey) AS show, concat('Co "', c_name, '", Inc') AS company_name, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'https://x.example.com/' END AS website_url,
             'Berlin, DE' AS Location, c_mktsegment AS Conference FROM customer""",

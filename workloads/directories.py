@@ -186,7 +186,7 @@ def site_links(spark, sf_dir):
 
 def crawl_pages(spark, sf_dir):
     """Pages reached from each site's seed along links between pages."""
-    seeds = sites.seeds(spark, sf_dir).filter("seed_url LIKE '%/page/1'")
+    seeds = sites.seeds(spark, sf_dir)
     known = shared.site_signals(spark, sf_dir).select("url")
     return crawl.crawl_reachable(seeds, crawl.pagination_edges(site_links(spark, sf_dir)), known).select("seed_url", "directory_page", "page_url", "place")
 
@@ -200,7 +200,7 @@ def pagination_links(spark, sf_dir):
 
 
 def linked_pages(spark, sf_dir):
-    return crawl.max_linked_page(site_links(spark, sf_dir).filter("NOT in_footer")).filter("max_page > 1")
+    return crawl.max_linked_page(site_links(spark, sf_dir)).filter("max_page > 1")
 
 
 # --- the whole way ---------------------------------------------------------------------------
@@ -209,7 +209,7 @@ def linked_pages(spark, sf_dir):
 def entries_table(spark, sf_dir):
     def build():
         pages, signals = shared.site_pages(spark, sf_dir), shared.site_signals(spark, sf_dir)
-        return directory.directory_entries(directory.directory_candidates(sites.seeds(spark, sf_dir), pages, signals, max_pages=5000))
+        return directory.directory_entries(directory.directory_candidates(sites.seeds(spark, sf_dir), pages, signals))
 
     return shared.written(spark, sf_dir, "entries", build)
 
@@ -230,7 +230,7 @@ def company_records(spark, sf_dir):
 
 
 def run_metrics(spark, sf_dir):
-    return websites.run_metrics(records_table(spark, sf_dir))
+    return websites.run_metrics(records_table(spark, sf_dir), sites.seeds(spark, sf_dir))
 
 
 def conference_facts(spark, sf_dir):
@@ -264,7 +264,9 @@ QUERIES = {f.__name__: f for f in (
 
 _WORDS = f"""concat({sites.FIRST}[k % 16 + 1], ' ', {sites.SECOND}[k // 16 % 16 + 1], ' ', c_mktsegment[1], lower(c_mktsegment[2:]))"""
 _BASE = f"""
-    a AS (SELECT c_custkey AS k, c_nationkey, c_mktsegment, concat(c_nationkey, '-', c_custkey // {sites.BLOCK}) AS site, c_nationkey % 3 AS mode, c_custkey % {sites.BLOCK} // {sites.PAGE_KEYS} + 1 AS page FROM customer),
+    n AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE c_nationkey END AS c_nationkey, c_mktsegment, CASE WHEN c_custkey % 3 = 0 THEN 'hot' ELSE CAST(c_custkey // {sites.BLOCK} AS VARCHAR) END AS part,
+        CASE WHEN c_custkey % 3 = 0 THEN c_custkey ELSE c_custkey % {sites.BLOCK} END AS inside FROM customer),
+    a AS (SELECT k, c_nationkey, c_mktsegment, concat(c_nationkey, '-', part) AS site, c_nationkey % 3 AS mode, inside // {sites.PAGE_KEYS} + 1 AS page FROM n),
     b AS (SELECT *, {_WORDS} AS name, concat('https://expo-', site, '.example.com/exhibitors') AS base,
         CASE WHEN k % 5 = 0 THEN '' WHEN k % 7 = 0 THEN 'https://www.qzvx-hub.net/' ELSE concat('https://www.', lower({sites.FIRST}[k % 16 + 1]), lower({sites.SECOND}[k // 16 % 16 + 1]), '.com/') END AS website FROM a),
     c AS (SELECT *, CASE WHEN mode = 2 THEN concat(base, '/page/1') ELSE base END AS seed_url, concat(base, '/company/', k) AS profile_url,
@@ -315,14 +317,15 @@ ORACLES = {
             concat('p', k % 4) AS page_id, 'limit,method,module,offset' AS params, CASE WHEN t = 0 THEN 1 ELSE CAST(ceil(t / l) AS INT) END AS pages FROM r""",
     "form_tokens": "SELECT concat('https://pager-', c_custkey, '.example.com/list') AS url, concat('t', c_custkey) AS tk, '77' AS tm FROM customer WHERE c_custkey % 5 <> 0",
     "total_pages": "SELECT concat('https://pager-', c_custkey, '.example.com/list') AS url, greatest(3, c_custkey % 40) AS total FROM customer",
-    "crawl_pages": f"""WITH {_BASE}, {_PAGES} SELECT seed_url, page AS directory_page, url AS page_url, row_number() OVER (PARTITION BY site ORDER BY page) AS place FROM p WHERE mode = 2""",
+    "crawl_pages": f"""WITH {_BASE}, {_PAGES} SELECT seed_url, page AS directory_page, url AS page_url, row_number() OVER (PARTITION BY site ORDER BY page) AS place FROM p WHERE mode > 0 OR page = 1""",
     "page_params": f"""WITH {_BASE}, {_PAGES} SELECT DISTINCT seed_url, 'page' AS param FROM p WHERE mode = 1 AND total > 1""",
     "pagination_links": f"""WITH {_BASE}, {_PAGES} SELECT seed_url, concat(base, CASE WHEN mode = 1 THEN '?page=' ELSE '/page/' END, g.i) AS dst_url, g.i AS page_no
         FROM (SELECT DISTINCT seed_url, base, mode, total FROM p) q, range(2, 1000) g(i) WHERE mode > 0 AND g.i <= total""",
     "linked_pages": f"""WITH {_BASE}, {_PAGES} SELECT url, CASE WHEN page = total THEN total - 1 ELSE total END AS max_page FROM p WHERE mode > 0 AND CASE WHEN page = total THEN total - 1 ELSE total END > 1""",
     "directory_entries": f"WITH {_ENTRIES} SELECT seed_url, sort_index, page AS directory_page, name AS company_name, profile_url FROM e",
     "company_records": f"WITH {_ENTRIES} SELECT seed_url, sort_index, name AS company_name, profile_url, {_REC} AS website_url FROM e",
-    "run_metrics": f"""WITH {_ENTRIES} SELECT seed_url, count(*) AS record_count, count(*) FILTER ({_REC} <> '') AS company_count, count(*) FILTER ({_REC} = '') AS dropped_count, 0 AS failures FROM e GROUP BY seed_url""",
+    "run_metrics": f"""WITH {_ENTRIES}, m AS (SELECT seed_url, count(*) AS a, count(*) FILTER ({_REC} <> '') AS b FROM e GROUP BY seed_url)
+        SELECT seed_url, coalesce(a, 0) AS record_count, coalesce(b, 0) AS company_count, coalesce(a - b, 0) AS dropped_count, 0 AS failures FROM (SELECT DISTINCT seed_url FROM c) LEFT JOIN m USING (seed_url)""",
     "conference_facts": f"""WITH {_BASE} SELECT DISTINCT seed_url, concat('Harbor Expo ', c_nationkey) AS conference_name, {_CITY} AS conference_location FROM c""",
     "company_export": f"""WITH {_ENTRIES} SELECT name AS company_name, website AS website_url, {_CITY} AS Location, concat('Harbor Expo ', c_nationkey) AS Conference, sort_index, seed_url FROM e WHERE {_REC} <> ''""",
     "status_stream": "SELECT user_id AS show_id, arg_max(event_type, struct_pack(t := ts, i := event_id)) AS status, count(*) AS events FROM events GROUP BY user_id",

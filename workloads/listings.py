@@ -228,7 +228,7 @@ _PAGE_URL = Q.normalized("url")
 _ROOT = "concat(regexp_extract(url, '^[a-z]+://'), regexp_extract(url, '^[a-z]+://([^/?#]*)', 1))"
 # one row per address, as the page reader keeps them
 _UNIQUE = f"""pages AS (
-        SELECT * FROM main.pages QUALIFY row_number() OVER (PARTITION BY coalesce({_PAGE_URL}, url) ORDER BY length(html) DESC, html DESC) = 1)"""
+        SELECT * FROM main.pages QUALIFY row_number() OVER (PARTITION BY coalesce({_PAGE_URL}, url) ORDER BY length(html) DESC, page_id DESC) = 1)"""
 _LINKS = f"""{_UNIQUE},
     x AS (SELECT {_PAGE_URL} AS url, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS hs,
                  regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS ts FROM pages),

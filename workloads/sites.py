@@ -2,7 +2,7 @@
 
 One site per nation and block of 2500 customer keys, one directory page per 500
 keys, one profile page per customer; so sites, pages and companies grow with
-the table.  Sites take turns in how they paginate: a stated page total, a page
+the table.  Every third customer is on one site, which so holds a third of all.  Sites take turns in how they paginate: a stated page total, a page
 parameter, or numbered paths that link to each other.
 """
 
@@ -28,13 +28,15 @@ def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     first, second = _pick(FIRST, k), _pick(SECOND, F.floor(k / len(FIRST)))
     domain = F.concat(F.lit("https://www."), F.lower(first), F.lower(second), F.lit(".com/"))
-    site = F.concat(F.col("c_nationkey").cast("string"), F.lit("-"), F.floor(k / BLOCK).cast("string"))
-    mode = (F.col("c_nationkey") % 3).cast("int")
+    hot = k % 3 == 0
+    nation = F.when(hot, 0).otherwise(F.col("c_nationkey"))
+    site = F.concat(nation.cast("string"), F.lit("-"), F.when(hot, "hot").otherwise(F.floor(k / BLOCK).cast("string")))
+    mode = (nation % 3).cast("int")
     host = F.concat(F.lit("https://expo-"), F.col("site"), F.lit(".example.com"))
     base = F.concat(host, F.lit("/exhibitors"))
     rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
-        k.alias("key"), "c_nationkey", "c_mktsegment", site.alias("site"), mode.alias("mode"),
-        (F.floor((k % BLOCK) / PAGE_KEYS) + 1).alias("page_no"),
+        k.alias("key"), nation.alias("c_nationkey"), "c_mktsegment", site.alias("site"), mode.alias("mode"),
+        (F.floor(F.when(hot, k).otherwise(k % BLOCK) / PAGE_KEYS) + 1).alias("page_no"),
         F.concat_ws(" ", first, second, F.initcap("c_mktsegment")).alias("name"),
         F.when(k % 5 == 0, F.lit("")).when(k % 7 == 0, F.lit("https://www.qzvx-hub.net/")).otherwise(domain).alias("website"),
     )
