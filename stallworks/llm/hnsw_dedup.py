@@ -257,15 +257,26 @@ class Graph:
                 frontier = ahead[(ahead >= 0) & ~known[ahead]]
         return np.concatenate(a), np.concatenate(b)
 
-    def audited(self, queries: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-        """``within`` with beams widened until a sample agrees with brute force."""
+    def audited(self, queries: np.ndarray, own: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+        """``within`` with beams widened until the mean recall of a sample of queries agrees with brute force.
+
+        Every sampled query that links with another point counts once, however many it links with; its
+        link to itself (``own``: its place among the points, or -1) does not count.
+        """
         width = QUERY_BEAM
         sample = np.arange(0, len(queries), max(1, min(AUDIT_EVERY, len(queries) // 32)))
-        true = sum(int((queries[sample[k:k + STEP]] @ self.points.T >= cosine).sum()) for k in range(0, len(sample), STEP))
+        true = np.zeros(len(queries), dtype=np.int64)
+        for k in range(0, len(sample), STEP):
+            part = sample[k:k + STEP]
+            hits = queries[part] @ self.points.T >= cosine
+            held = np.flatnonzero(own[part] >= 0)
+            hits[held, own[part][held]] = False
+            true[part] = hits.sum(axis=1)
+        linked = np.flatnonzero(true > 0)
         while True:
             a, b = self.within(queries, cosine, width)
-            found = int(np.isin(a, sample).sum())
-            if found >= AUDIT_RECALL * true or width >= len(self.points):
+            found = np.bincount(a[own[a] != b], minlength=len(queries))
+            if not len(linked) or (found[linked] / true[linked]).mean() >= AUDIT_RECALL or width >= len(self.points):
                 return a, b
             width *= 2
 
@@ -294,7 +305,10 @@ def _searcher(cosine: float):
         levels = [held[f"level{k}"].astype(np.int64) for k in range(sum(name.startswith("level") for name in held.files))]
         graph = Graph(unit(held["vectors"]), levels, int(held["entry"]))
         rows, nodes = queries["row"].to_numpy(), held["row"]
-        a, b = graph.audited(unit(np.stack(queries["embedding"].to_numpy())), cosine)
+        order = np.argsort(nodes)
+        place = np.minimum(np.searchsorted(nodes[order], rows), len(nodes) - 1)
+        own = np.where(nodes[order][place] == rows, order[place], -1)
+        a, b = graph.audited(unit(np.stack(queries["embedding"].to_numpy())), own, cosine)
         other = rows[a] != nodes[b]
         a, b = a[other], b[other]
         counts = np.bincount(a, weights=held["copies"][b], minlength=len(rows)).astype(np.int64)
@@ -345,4 +359,4 @@ def embedding_components(
     done = source.select("id", "row").join(per_row, "row", "left").withColumn("top", F.coalesce("top", "row"))
     names = source.select(F.col("row").alias("top"), F.col("id").alias("component_id"))
     return done.join(names, "top").select(
-        F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id", (F.col("row") == F.col("top")).alias("kept"))
+        F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -7,7 +7,8 @@ from stallworks.llm import line_dedup, mixing, quality_rules as Q, url_trust
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 SECRETS = """
-WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS owner FROM documents),
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS owner,
+    coalesce(source, '') || '/' || coalesce(lang, '') AS repo FROM documents),
 -- a pattern cuts the text into pieces and matches in turn; lengths so far give the places
 cut AS (
     SELECT r, owner, kind, m, regexp_split_to_array(text, p) AS gaps, v FROM (
@@ -49,7 +50,7 @@ found AS (
     WHERE live AND length(w.v) >= 20
       AND NOT EXISTS (SELECT 1 FROM held h WHERE h.r = w.r AND h.s < w.s + length(w.v) AND h.e > w.s)
 ),
-owners AS (SELECT v, count(DISTINCT owner) >= 3 AS copied FROM found GROUP BY v),
+owners AS (SELECT v, count(DISTINCT owner) >= 3 AND count(DISTINCT owner || chr(0) || repo) >= 4 AS copied FROM found JOIN docs USING (r, owner) GROUP BY v),
 marked AS (
     SELECT f.*, live, copied, ['assign', 'access', 'hex', 'token'][kind + 1] || ':' || s || ':' || e AS span
     FROM found f JOIN live USING (v) JOIN owners USING (v)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stallworks.llm import (
     hnsw_dedup, line_dedup, merkle_manifest, mixing, ngram_join, oracles, periodic_runs, quality_classifier, quality_rules, secret_scan,
@@ -15,7 +15,9 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.secret_scan(_documents(spark, sf_dir))
+    """Each language of a source is a repository of its owner, the source."""
+    repository = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
+    return secret_scan.secret_scan(_documents(spark, sf_dir), repository=repository, min_repositories=4)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

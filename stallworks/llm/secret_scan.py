@@ -2,8 +2,8 @@
 
 One pass finds candidate secrets in every text.  Their hashes are then counted
 over the whole corpus by distinct repository and owner: a value that many
-owners hold is a widely copied example, a value that stays with few owners and
-looks random is a live credential of theirs.
+owners hold, in more repositories still, is a widely copied example; a value that stays with few owners, however
+many repositories of theirs hold it, and looks random is a live credential of theirs.
 
 Defined cases: a null text is empty; a null repository or owner is one of its
 own (""); repeated rows and repeated or null ids are documents of their own;
@@ -107,31 +107,31 @@ def secret_findings(scratch: Scratch, docs: DataFrame, doc_id: str, text: str, r
     return scratch.write(scanned.withColumn("row", F.monotonically_increasing_id()))
 
 
-def ownership(found: DataFrame, min_owners: int) -> DataFrame:
+def ownership(found: DataFrame, min_owners: int, min_repositories: int) -> DataFrame:
     """hash -> numbers of distinct owners and repositories, and whether it is a widely copied example."""
     places = found.select("owner", "repository", F.explode("found.hash").alias("hash")).distinct()
     by_owner = places.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repositories"))
     return by_owner.groupBy("hash").agg(
         F.count(F.lit(1)).alias("n_owners"), F.sum("repositories").alias("n_repositories"),
-    ).withColumn("widely_copied", F.col("n_owners") >= min_owners)
+    ).withColumn("widely_copied", (F.col("n_owners") >= min_owners) & (F.col("n_repositories") >= min_repositories))
 
 
 def secret_scan(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repository: Column | None = None,
-    owner: Column | None = None, min_owners: int = 3,
+    owner: Column | None = None, min_owners: int = 3, min_repositories: int = 3,
 ) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_token, n_live, n_copied; one row per document.
 
     ``spans`` holds every base span and, as ``token``, further random-looking
-    values that fewer than ``min_owners`` owners hold.  ``n_live`` counts
-    findings that look random and stay with few owners, ``n_copied`` findings
-    whose value ``min_owners`` or more owners hold.
+    values that are not widely copied.  ``n_live`` counts findings that look random and are not widely copied,
+    ``n_copied`` findings whose value at least ``min_owners`` owners hold in at least ``min_repositories`` repositories.
+    The source is the owner, and its only repository, where no others are given.
     """
     scratch = Scratch(docs.sparkSession)
     owner = F.col("source") if owner is None else owner
     repository = owner if repository is None else repository
     rows = secret_findings(scratch, docs, doc_id, text, repository, owner)
-    held = scratch.write(ownership(rows, min_owners).select("hash", "widely_copied"))
+    held = scratch.write(ownership(rows, min_owners, min_repositories).select("hash", "widely_copied"))
     each = rows.select("row", F.explode("found").alias("f")).select("row", "f.*").join(held, "hash")
     listed = (F.col("kind") < BASE_KINDS) | ~F.col("widely_copied")
     names = F.array(*(F.lit(k) for k in KINDS))
