@@ -115,8 +115,8 @@ def test_seeds_follow_long_chains_and_circles(spark):
 def test_walk_over_a_long_chain(spark):
     """Pages that are linked only from the one before; rounds of visited pages are merged on the way."""
     number = lambda s, i: f"https://s{s}.org/l/page/{i}"
-    sizes = {1: 60, 2: 3, 3: 1}
-    edges = [(number(s, i), number(s, i + 1)) for s, n in sizes.items() for i in range(1, n)] + [(number(1, 60), number(1, 1))]
+    sizes = {1: 20, 2: 3, 3: 1}
+    edges = [(number(s, i), number(s, i + 1)) for s, n in sizes.items() for i in range(1, n)] + [(number(1, 20), number(1, 1))]
     frame = spark.createDataFrame(edges, "src_url string, dst_url string").select(
         "src_url", "dst_url", F.to_json(U.page_series("dst_url")).alias("series"), U.page_number("dst_url").alias("page_no"))
     known = spark.createDataFrame([(number(s, i),) for s, n in sizes.items() for i in range(1, n + 1)], "url string")
