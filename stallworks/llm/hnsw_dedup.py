@@ -14,7 +14,8 @@ Equal vectors of one label are one node that knows its number of copies.
 Defined cases: a null label, a null or empty vector, null or non-finite components
 and the zero vector link with nothing; vectors of different length do not link; a
 vector without links is its own component; repeated rows and repeated ids are vectors
-of their own; an empty table gives an empty result.
+of their own, and all rows with the id of their component are kept; a cosine of exactly the limit links; vectors of any length are
+compared whole; only the named columns are read; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -3,9 +3,9 @@
 Every text has one label per tree: ``depth`` MinHash values, four bytes each.
 The sorted labels of a tree are its prefix trie; texts under one prefix are
 candidates.  The prefix is shortened from the full label until a pair of exactly
-the wanted similarity is found with the target recall, and again while the
-audit over the verified links (how likely each of them was to be missed) stays
-below the target.
+the wanted similarity is found with the target recall: at 0.8 that is four of six values, so
+in effect 20 bands of four.  The audit over the verified links (how likely each was to be missed)
+would shorten it further, but cannot ask for it while every link has the wanted similarity.
 
 Candidates whose 8-bit sketches disagree clearly drop out; the rest form groups,
 and within a group the shingle sets of all members are compared exactly.  Large
@@ -17,8 +17,9 @@ not expanded.
 
 Defined cases: shingles are runs of five words; a text of one to four words is
 one shingle; a null text or one without words links with nothing; repeated rows
-and null or repeated ids are documents of their own (copies of each other); an
-empty table gives an empty result.
+and null or repeated ids are documents of their own (copies of each other), of which the first in the order of ids is kept; a
+pair of exactly the wanted similarity is linked; very long texts are hashed whole, in slices of a task's memory; only the named columns
+are read; an empty table gives an empty result.
 """
 
 from __future__ import annotations

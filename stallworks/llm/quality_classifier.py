@@ -15,7 +15,8 @@ step a share is drawn by hash of the id.
 
 Defined cases: a null or empty text has zero measures, null metadata are ""; of
 several labels of a document the lowest counts and null labels none; without
-labels of both kinds every score is 0.5; repeated rows are scored each; an empty
+labels of both kinds every score is 0.5; repeated rows are scored each; a score of exactly the threshold is kept, and ties at
+a round's quota are drawn by hash of the id; very long texts are measured whole; only the named columns are read; an empty
 table gives an empty result.
 """
 

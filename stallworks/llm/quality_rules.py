@@ -9,7 +9,8 @@ Native throughout: text measures stay inside the document's row, and the EM
 runs on the table of vote patterns (at most 3 to the number of rules).
 
 Defined cases: a null or empty text has no words and fails the base rule;
-repeated rows are documents of their own; an empty table gives an empty result.
+repeated rows are documents of their own; a posterior of exactly the threshold is kept; very long texts are measured whole, inside their
+row; further columns of any name are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ owners hold, in more repositories still, is a widely copied example; a value tha
 many repositories of theirs hold it, and looks random is a live credential of theirs.
 
 Defined cases: a null text is empty; a null repository or owner is one of its
-own (""); repeated rows and repeated or null ids are documents of their own;
+own (""); repeated rows and repeated or null ids are documents of their own; texts of any length are scanned whole;
+of findings that start at one place the kind listed first comes first; further columns of any name are not read;
 an empty table gives an empty result.
 """
 

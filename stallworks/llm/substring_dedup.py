@@ -24,7 +24,8 @@ own hash instead, which is exact as well and spreads over all tasks.
 
 Defined cases: a null or empty text has no words; equal texts under one id count
 in the order of generated keys, and null ids come last; a document of fewer than
-20 words loses nothing; an empty table gives an empty result.
+20 words loses nothing; very long texts are cut into overlapping pieces and lose no window; only the named columns are
+read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
