@@ -11,7 +11,7 @@ while Spark is free to broadcast it or, beyond its size limit, to join by host.
 Defined cases: a null host is a site of its own; a null or empty text has no
 lines; blank lines are never boilerplate and stay; a line on exactly the given share of pages stays; a site of one page keeps all lines;
 long texts are cut into lines whole; further columns of any name are not read; repeated rows are pages of
-their own, or with ``copies_once`` all rows of a site with one text are one page,
+their own, or with ``copies_once`` (the query, the pipeline) all rows of a site with one text are one page,
 so that copies do not make their own lines boilerplate; an empty table gives an
 empty result.
 """
@@ -82,5 +82,5 @@ def url_host(url: Column) -> Column:
 
 def line_dedup_pages(pages: DataFrame, ratio: float = 0.1) -> DataFrame:
     """page_id, host, n_lines, n_dropped, kept_sha256 for (page_id, url, html)."""
-    done = drop_boilerplate(pages, page_text(F.col("html")), url_host(F.col("url")), {"page_id": F.col("page_id")}, ratio)
+    done = drop_boilerplate(pages, page_text(F.col("html")), url_host(F.col("url")), {"page_id": F.col("page_id")}, ratio, copies_once=True)
     return done.select("page_id", "host", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))

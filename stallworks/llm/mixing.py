@@ -53,29 +53,38 @@ def tempered(cells: DataFrame, dimension: str, power: float) -> DataFrame:
     return flat.select("category", (F.col("flat") / F.lit(total)).alias("share"))
 
 
-def rake(scratch: Scratch, cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE) -> tuple[DataFrame, float]:
-    """cells with ``weight``, which sums to all tokens and has the target shares as marginals; and the largest miss of a marginal, as a share."""
+def rake(
+    scratch: Scratch, cells: DataFrame, targets: dict[str, DataFrame], rounds: int = MAX_ROUNDS, tolerance: float = TOLERANCE,
+) -> DataFrame:
+    """cells with ``weight``: sums to all tokens, its marginals are the target shares, as far as the cells can meet them."""
     total = float(cells.agg(F.sum("tokens").alias("t")).first()["t"] or 0)
     current = cells.withColumn("weight", F.col("tokens").cast("double"))
-    shares = {name: scratch.write(target.withColumnRenamed("category", name)) for name, target in targets.items()}
     if not total:
-        return current, 0.0
-    for _ in range(MAX_ROUNDS):
-        start = [c for c in current.columns if c != "weight"]
+        return current
+    names = current.columns
+    for _ in range(rounds):
         moved = current.withColumn("before", F.col("weight"))
-        for name, target in shares.items():
+        for name, target in targets.items():
             sums = moved.groupBy(name).agg(F.sum("weight").alias("m"))
-            factor = sums.join(target, name, "left").select(
+            factor = sums.join(target.withColumnRenamed("category", name), name, "left").select(
                 name, F.when(F.col("m") > 0, F.coalesce("share", F.lit(0.0)) * total / F.col("m")).otherwise(F.lit(0.0)).alias("f"))
             moved = moved.join(factor, name).withColumn("weight", F.col("weight") * F.col("f")).drop("f")
         moved = scratch.write(moved)
         change = moved.agg(F.max(F.abs(F.col("weight") - F.col("before"))).alias("d")).first()["d"] / total
-        current = moved.select(*start, "weight")
+        current = moved.select(*names)
         if change < tolerance:
-            misses = [current.groupBy(name).agg(F.sum("weight").alias("m")).join(target, name, "full").select(
-                F.abs(F.coalesce("m", F.lit(0.0)) / total - F.coalesce("share", F.lit(0.0))).alias("miss")) for name, target in shares.items()]
-            return current, reduce(DataFrame.unionByName, misses).agg(F.max("miss").alias("miss")).first()["miss"]
-    raise RuntimeError(f"weights of the cells still move after {MAX_ROUNDS} rounds")
+            return current
+    raise RuntimeError(f"weights of the cells still move after {rounds} rounds")
+
+
+def largest_miss(raked: DataFrame, targets: dict[str, DataFrame]) -> float:
+    """The largest difference between a marginal of the weights and its target, as a share of all tokens."""
+    total = raked.agg(F.sum("weight").alias("t")).first()["t"]
+    if not total:
+        return 0.0
+    misses = [raked.groupBy(name).agg(F.sum("weight").alias("m")).join(target.withColumnRenamed("category", name), name, "full").select(
+        F.abs(F.coalesce("m", F.lit(0.0)) / total - F.coalesce("share", F.lit(0.0))).alias("miss")) for name, target in targets.items()]
+    return reduce(DataFrame.unionByName, misses).agg(F.max("miss").alias("miss")).first()["miss"]
 
 
 def probabilities(cells: DataFrame, share: float) -> DataFrame:
@@ -112,7 +121,9 @@ def mixed(
     dims = {d: F.coalesce(c.cast("string"), F.lit("")) for d, c in dimensions.items()}
     cells = scratch.write(docs.select(*(c.alias(d) for d, c in dims.items()), tokens.alias("n")).groupBy(*dims).agg(
         F.sum("n").alias("tokens")))
-    raked, miss = rake(scratch, cells, {d: tempered(cells, d, powers[d]) for d in dims})
+    targets = {d: scratch.write(tempered(cells, d, powers[d])) for d in dims}
+    raked = rake(scratch, cells, targets)
+    miss = largest_miss(raked, targets)
     if miss > MISS:
         warnings.warn(f"target shares cannot all be met: one is missed by {miss:.6f}", stacklevel=2)
     table = scratch.write(probabilities(raked, share).select(*dims, "ratio", "p"))

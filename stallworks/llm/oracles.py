@@ -152,8 +152,10 @@ WITH pages_text AS MATERIALIZED (
     FROM pages
 ),
 each AS (SELECT r, host, unnest(range(1, len(lines) + 1)) AS i, unnest(lines) AS line FROM pages_text),
-counts AS (SELECT host, trim(line, ' ') AS line, count(DISTINCT r) AS n FROM each WHERE trim(line, ' ') <> '' GROUP BY ALL),
-sizes AS (SELECT host, count(*) AS n FROM pages_text GROUP BY host),
+-- rows of a host with one text are one page
+page AS (SELECT r, min(r) OVER (PARTITION BY host, array_to_string(lines, chr(10))) AS p FROM pages_text),
+counts AS (SELECT host, trim(line, ' ') AS line, count(DISTINCT p) AS n FROM each JOIN page USING (r) WHERE trim(line, ' ') <> '' GROUP BY ALL),
+sizes AS (SELECT host, count(DISTINCT p) AS n FROM pages_text JOIN page USING (r) GROUP BY host),
 bad AS (SELECT host, line FROM counts c JOIN sizes s USING (host) WHERE c.n >= 2 AND c.n > {ratio} * s.n),
 marked AS (SELECT e.r, e.i, e.line, b.line IS NOT NULL AS bad FROM each e LEFT JOIN bad b ON b.host = e.host AND b.line = trim(e.line, ' ')),
 done AS (

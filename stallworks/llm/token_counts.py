@@ -12,8 +12,7 @@ crosses a boundary goes to one section by a stated rule:
 Sections are the text's lines, each with the newline that ends it.
 
 Defined cases: a null or empty text has one section without tokens; repeated
-rows are documents of their own; a token that crosses a border goes by the rule, and one that lies half and half goes to the
-first; very long texts are encoded whole; only the named columns are read; an empty table gives an empty result.
+rows are documents of their own; a token that crosses a border goes by the rule, and by ``most`` the earlier of equals gets it; very long texts are encoded whole; only the named columns are read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
