@@ -2,7 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last
 give the columns of documents.  Each stage works on all rows its predecessor
-kept.  SQL cannot express the near-duplicate join and the encoding, so there is
+kept.  Null and empty texts fail the first stage; of documents with one id each goes its own way; of near-duplicates the first by
+id stays, ties in mixing are drawn by id; texts of any length are read whole; columns other than those of documents are not passed on; an empty
+table gives an empty result.  SQL cannot express the near-duplicate join and the encoding, so there is
 no SQL twin; ``tests/llm`` compares the pipeline with a plain version.
 """
 
