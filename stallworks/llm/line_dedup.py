@@ -82,5 +82,8 @@ def url_host(url: Column) -> Column:
 
 def line_dedup_pages(pages: DataFrame, ratio: float = 0.1) -> DataFrame:
     """page_id, host, n_lines, n_dropped, kept_sha256 for (page_id, url, html)."""
-    done = drop_boilerplate(pages, page_text(F.col("html")), url_host(F.col("url")), {"page_id": F.col("page_id")}, ratio, copies_once=True)
+    # tags are cut out once; lines are counted and dropped over the written texts
+    texts = Scratch(pages.sparkSession).write(pages.select(
+        "page_id", url_host(F.col("url")).alias("host"), page_text(F.col("html")).alias("text")))
+    done = drop_boilerplate(texts, F.col("text"), F.col("host"), {"page_id": F.col("page_id")}, ratio, copies_once=True)
     return done.select("page_id", "host", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
