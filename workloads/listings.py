@@ -244,8 +244,9 @@ _BONUS = f"""CASE WHEN regexp_matches(url_group, '{"|".join(rules.LISTING_GROUP_
     - CASE WHEN url_group IN ('/{{slug}}', '/{{num}}') THEN 8 ELSE 0 END"""
 _CITY = "['Las Vegas, NV', 'Austin, TX', 'Orlando, FL', 'Chicago, IL', 'Atlanta, GA', 'Denver, CO', 'Toronto, ON'][c_nationkey % 7 + 1]"
 _SITE_PAGES = f"""
-    b AS (SELECT c_custkey AS k, c_nationkey, c_nationkey % 3 AS mode, concat('https://expo-', c_nationkey, '-', c_custkey // {sites.BLOCK}, '.example.com/exhibitors') AS base,
-                 c_custkey % {sites.BLOCK} // {sites.PAGE_KEYS} + 1 AS page FROM customer),
+    a AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE c_nationkey END AS c_nationkey, CASE WHEN c_custkey % 3 = 0 THEN 'hot' ELSE CAST(c_custkey // {sites.BLOCK} AS VARCHAR) END AS part,
+                 CASE WHEN c_custkey % 3 = 0 THEN c_custkey ELSE c_custkey % {sites.BLOCK} END AS inside FROM customer),
+    b AS (SELECT k, c_nationkey, c_nationkey % 3 AS mode, concat('https://expo-', c_nationkey, '-', part, '.example.com/exhibitors') AS base, inside // {sites.PAGE_KEYS} + 1 AS page FROM a),
     d AS (SELECT DISTINCT c_nationkey, CASE WHEN mode = 2 THEN concat(base, '/page/', page) WHEN page = 1 THEN base ELSE concat(base, '?page=', page) END AS url FROM b)"""
 
 ORACLES = {
