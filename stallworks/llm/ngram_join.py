@@ -2,10 +2,13 @@
 
 Every text has one label per tree: ``depth`` MinHash values, four bytes each.
 The sorted labels of a tree are its prefix trie; texts under one prefix are
-candidates.  The prefix is shortened from the full label until a pair of exactly
-the wanted similarity is found with the target recall: at 0.8 that is four of six values, so
-in effect 20 bands of four.  The audit over the verified links (how likely each was to be missed)
-would shorten it further, but cannot ask for it while every link has the wanted similarity.
+candidates.  The prefix is shortened from the full label on two figures.  The
+expected one: a pair of exactly the wanted similarity must be found with the
+target recall (at 0.8: four of six values).  The measured one: up to ``AUDITED``
+texts, drawn by hash, are compared with every text by their exact shingle sets,
+without labels, and the prefix is shortened on as long as the share of true
+partners that the forest reaches is below the target and a shorter one reaches
+more.  What is still below the target then is raised as a warning.
 
 Candidates whose 8-bit sketches disagree clearly drop out; the rest form groups,
 and within a group the shingle sets of all members are compared exactly.  Large
@@ -24,6 +27,9 @@ are read; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+import warnings
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,9 +47,20 @@ TARGET_RECALL = 0.9999
 SKETCH_FLOOR = 0.55
 #: members of a block; a pair of blocks is the largest unit of work
 BLOCK = 512
+#: texts whose partners are looked for by brute force, and the most shingles of such a text: 8 MB at most
+AUDITED, AUDITED_SHINGLES = 256, 4096
 _SEEDS = np.random.default_rng(11).integers(1, 2**63, (2, TREES * DEPTH), dtype=np.uint64)
 
 
+def _labels(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """TREES * DEPTH MinHash values of each text, whose shingles begin at ``starts``."""
+    labels = np.empty((len(starts), TREES * DEPTH), dtype=np.uint32)
+    for j in range(TREES * DEPTH):
+        values = (shingles ^ _SEEDS[0, j]) * (_SEEDS[1, j] | np.uint64(1))
+        labels[:, j] = np.minimum.reduceat(values, starts) >> np.uint64(32)
+    return labels
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """row, key (of the word sequence; null without words), shingles, labels (TREES * DEPTH big-endian uint32)."""
     for batch in batches:
@@ -56,9 +73,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             labels = np.zeros((n, TREES * DEPTH), dtype=np.uint32)
             sequence = np.zeros((n, 2), dtype=np.uint64)
             if len(full):
-                for j in range(TREES * DEPTH):
-                    values = (shingles ^ _SEEDS[0, j]) * (_SEEDS[1, j] | np.uint64(1))
-                    labels[full, j] = np.minimum.reduceat(values, starts) >> np.uint64(32)
+                labels[full] = _labels(shingles, starts)
                 place = (np.arange(len(words.hashes)) - np.repeat(words.bounds[:-1], np.diff(words.bounds))).astype(np.uint64)
                 firsts = words.bounds[:-1][full]
                 for k in range(2):
@@ -128,9 +143,9 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     return total.astype(np.int64)
 
 
-def _verifier(similarity: float, trees: int, depth: int):
+def _verifier(similarity: float):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Members (grp, low, high, block, row, copies, set) -> row, label, n (links), missed (expected share not found)."""
+        """Members (grp, low, high, block, row, copies, set) -> row, label, n (links)."""
         for table in sorted_groups(batches, ["grp", "low", "high"]):
             grp, low, high, block, row, copies = (
                 table.column(c).to_numpy() for c in ("grp", "low", "high", "block", "row", "copies"))
@@ -152,13 +167,10 @@ def _verifier(similarity: float, trees: int, depth: int):
                 if not len(a):
                     continue
                 label = join_labels(e - s, a, b)
-                chance = np.zeros(link.shape)
-                chance[link] = (1.0 - (both[link] / joint[link]) ** depth) ** trees
-                weight = copies[s:e]
-                out.append((row[s:e], row[s:e][label], link.astype(np.int64) @ weight, chance @ weight))
+                out.append((row[s:e], row[s:e][label], link.astype(np.int64) @ copies[s:e]))
             if out:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([o[k] for o in out])) for k in range(4)], names=["row", "label", "n", "missed"])
+                    [pa.array(np.concatenate([o[k] for o in out])) for k in range(3)], names=["row", "label", "n"])
 
     return verify
 
@@ -171,10 +183,90 @@ def _dealt(members: DataFrame, group: str, size: str, block: int) -> DataFrame:
     return df.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other")
 
 
-def recall_at(depth: int, similarity: float, trees: int = TREES) -> float:
+def recall_at(depth: int, similarity: float, trees: int) -> float:
     return 1.0 - (1.0 - similarity**depth) ** trees
 
 
+def _auditor(sets: list[np.ndarray], labels: np.ndarray, similarity: float):
+    """Compares every text with all audited ones, exactly.
+
+    A partner shares at least ``similarity`` of an audited set, so it holds one of any
+    ``1 - similarity`` of its shingles and one more: the rarest of them are looked up,
+    and whole sets are compared only where one of these occurs.
+    """
+    pool, counts = np.unique(np.concatenate(sets), return_counts=True)
+    rare = [s[np.argsort(counts[np.searchsorted(pool, s)], kind="stable")][:len(s) - math.ceil(similarity * len(s) - 1e-9) + 1] for s in sets]
+    owners = np.repeat(np.arange(len(sets)), [len(r) for r in rare])
+    order = np.argsort(np.concatenate(rare), kind="stable")
+    values, owners = np.concatenate(rare)[order], owners[order]
+
+    def audit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts -> query, reach (values of the longest shared prefix; 0 if sketches disagree), n (partners, copies left out)."""
+        for batch in batches:
+            for part in blocks(batch):
+                shingles, bounds = grams(words_of(part.column(0)), WORDS)
+                low, high = np.searchsorted(values, shingles, "left"), np.searchsorted(values, shingles, "right")
+                hit = np.flatnonzero(high > low)
+                n = (high - low)[hit]
+                place = np.repeat(low[hit] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                texts = np.repeat(np.searchsorted(bounds, hit, "right") - 1, n)
+                asked = defaultdict(list)
+                for pair in np.unique(texts * len(sets) + owners[place]).tolist():
+                    asked[pair // len(sets)].append(pair % len(sets))
+                seen: dict[tuple[int, int], int] = defaultdict(int)
+                for text, queries in asked.items():
+                    own = shingles[bounds[text]:bounds[text + 1]]
+                    distinct = np.unique(own)
+                    partners = []
+                    for q in queries:
+                        if min(len(distinct), len(sets[q])) < similarity * max(len(distinct), len(sets[q])) - 1e-9:
+                            continue
+                        at = np.minimum(np.searchsorted(distinct, sets[q]), len(distinct) - 1)
+                        both = int((distinct[at] == sets[q]).sum())
+                        joint = len(distinct) + len(sets[q]) - both
+                        if both < joint and both >= similarity * joint - 1e-9:
+                            partners.append(q)
+                    if partners:
+                        label = _labels(own, np.zeros(1, np.int64))[0]
+                        for q in partners:
+                            shared = np.logical_and.accumulate((labels[q] == label).reshape(TREES, DEPTH), axis=1)
+                            like = ((labels[q] ^ label) & np.uint32(255) == 0).mean() >= SKETCH_FLOOR
+                            seen[q, int(shared.sum(axis=1).max()) if like else 0] += 1
+                if seen:
+                    columns = zip(*((q, reach, k) for (q, reach), k in seen.items()))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query", "reach", "n"])
+
+    return audit
+
+
+def _measured(docs: DataFrame, classes: DataFrame, similarity: float) -> list[float]:
+    """Mean share of the true partners of audited texts that share a prefix of 1, 2 ... DEPTH values; 1.0 where there are none."""
+    drawn = classes.filter(F.col("shingles") <= AUDITED_SHINGLES).orderBy(F.xxhash64("row"), "row").limit(AUDITED)
+    drawn = drawn.select("row", "labels").join(docs.select("row", "text"), "row")
+    drawn = drawn.mapInArrow(_shingles, "row long, labels binary, set binary").collect()
+    if not drawn:
+        return [1.0] * DEPTH
+    labels = np.array([np.frombuffer(r["labels"], dtype=">u4") for r in drawn]).astype(np.uint32)
+    audit = _auditor([np.frombuffer(r["set"], dtype=np.uint64) for r in drawn], labels, similarity)
+    seen = docs.select("text").mapInArrow(audit, "query long, reach long, n long").groupBy("query", "reach").agg(F.sum("n").alias("n"))
+    partners = np.zeros((len(drawn), DEPTH + 1))
+    for r in seen.collect():
+        partners[r["query"], r["reach"]] = r["n"]
+    partners = partners[partners.sum(axis=1) > 0]
+    if not len(partners):
+        return [1.0] * DEPTH
+    shares = partners[:, ::-1].cumsum(axis=1)[:, ::-1] / partners.sum(axis=1, keepdims=True)
+    return shares[:, 1:].mean(axis=0).tolist()
+
+
+def prefix_length(measured: list[float], similarity: float, recall: float) -> int:
+    """The longest prefix with the target recall, as expected at the similarity and as measured for 1, 2 ... values."""
+    depth = next((d for d in range(DEPTH, 0, -1) if recall_at(d, similarity, TREES) >= recall), 1)
+    while depth > 1 and measured[depth - 1] < min(recall, measured[0]):
+        depth -= 1
+    return depth
+
+
 def _partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -193,7 +285,7 @@ def _candidates(scratch: Scratch, classes: DataFrame, depth: int) -> DataFrame:
 
 
 def _links(scratch: Scratch, docs: DataFrame, classes: DataFrame, depth: int, similarity: float) -> DataFrame:
-    """(row, label, n, missed) over the class representatives of all groups; label is final only within one block."""
+    """(row, label, n) over the class representatives of all groups; label is final only within one block."""
     groups = _candidates(scratch, classes, depth)
     tops = groups.select(F.col("label").alias("node")).distinct().withColumn("label", F.col("node"))
     members = groups.union(tops).select(F.col("node").alias("row"), F.col("label").alias("grp"))
@@ -203,7 +295,23 @@ def _links(scratch: Scratch, docs: DataFrame, classes: DataFrame, depth: int, si
     sets = texts.mapInArrow(_shingles, "grp long, size long, row long, copies long, set binary")
     dealt = _dealt(sets, "grp", "size", BLOCK).select("grp", "low", "high", "block", "row", "copies", "set")
     dealt = dealt.repartition(_partitions(dealt), "grp", "low", "high").sortWithinPartitions("grp", "low", "high", "row")
-    return scratch.write(dealt.mapInArrow(_verifier(similarity, TREES, depth), "row long, label long, n long, missed double"))
+    return scratch.write(dealt.mapInArrow(_verifier(similarity), "row long, label long, n long"))
+
+
+def _signed(scratch: Scratch, source: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Labels of all rows, classes of copies, labels of one row a class."""
+    signed = scratch.write(source.select("row", "text").mapInArrow(_sign, "row long, key binary, shingles long, labels binary"))
+    copies = signed.filter("key is not null").groupBy("key").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("copies"))
+    copies = scratch.write(copies)
+    first = signed.join(copies, signed["row"] == copies["first"])
+    return signed, copies, scratch.write(first.select("row", "shingles", "labels", "copies"))
+
+
+def measured_recall(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> list[float]:
+    """Recall of the forest with prefixes of 1, 2 ... values, measured by brute force over all documents."""
+    scratch = Scratch(docs.sparkSession)
+    source = keyed(scratch, docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")))
+    return _measured(source, _signed(scratch, source)[2], similarity)
 
 
 def ngram_classes(
@@ -214,17 +322,12 @@ def ngram_classes(
     scratch = scratch or Scratch(docs.sparkSession)
     carry = carry or []
     source = keyed(scratch, docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), *(F.col(c).alias(f"c_{c}") for c in carry)))
-    signed = scratch.write(source.select("row", "text").mapInArrow(_sign, "row long, key binary, shingles long, labels binary"))
-    copies = signed.filter("key is not null").groupBy("key").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("copies"))
-    copies = scratch.write(copies)
-    classes = scratch.write(signed.join(copies, signed["row"] == copies["first"]).select("row", "labels", "copies"))
-    depth = next((d for d in range(DEPTH, 0, -1) if recall_at(d, similarity) >= recall), 1)
-    while True:
-        links = _links(scratch, source, classes, depth, similarity)
-        audit = links.agg(F.sum("missed").alias("missed"), F.sum("n").alias("n")).first()
-        if depth == 1 or not audit["n"] or 1.0 - audit["missed"] / audit["n"] >= recall:
-            break
-        depth -= 1
+    signed, copies, classes = _signed(scratch, source)
+    measured = _measured(source, classes, similarity)
+    depth = prefix_length(measured, similarity, recall)
+    if measured[depth - 1] < recall:
+        warnings.warn(f"prefixes of {depth} values reach {measured[depth - 1]:.6f} of the true partners, target {recall}", stacklevel=2)
+    links = _links(scratch, source, classes, depth, similarity)
     labels = components(scratch, links.select(F.col("row").alias("a"), F.col("label").alias("b")))
     counts = links.groupBy("row").agg(F.sum("n").alias("n"))
     found = counts.join(labels.withColumnRenamed("node", "row"), "row", "left").select("row", "n", F.coalesce("label", "row").alias("label"))
