@@ -440,7 +440,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         calm.append(first.join(crowded, "name", "left_anti"))
         split = scratch.write(with_texts(listed.join(crowded, "name", "left_semi")).mapInArrow(
             _split(run), "row long, start int, windows int, name long, key long, n int"))
-        again = split.groupBy("name").agg(F.sum("n").alias("n")).filter("n > 1").select("name")
+        # a table of its own, so that Spark broadcasts it or splits a name that many pieces have
+        again = scratch.write(split.groupBy("name").agg(F.sum("n").alias("n")).filter("n > 1").select("name"))
         listed = scratch.write(split.drop("n").join(again, "name", "left_semi"))
         first = distinct(listed)
     listed, first = reduce(DataFrame.unionByName, every, listed), reduce(DataFrame.unionByName, calm, first)
