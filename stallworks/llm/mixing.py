@@ -20,7 +20,7 @@ from __future__ import annotations
 import warnings
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stallworks.llm.tables import Scratch
 
@@ -56,24 +56,30 @@ def tempered(cells: DataFrame, dimension: str, power: float) -> DataFrame:
 def rake(
     scratch: Scratch, cells: DataFrame, targets: dict[str, DataFrame], rounds: int = MAX_ROUNDS, tolerance: float = TOLERANCE,
 ) -> DataFrame:
-    """cells with ``weight``: sums to all tokens, its marginals are the target shares, as far as the cells can meet them."""
+    """cells with ``weight``: sums to all tokens, its marginals are the target shares, as far as the cells can meet them.
+
+    Shares are joined to the cells once; a round is then a chain of sums over windows, without joins, so its plan stays small.
+    """
     total = float(cells.agg(F.sum("tokens").alias("t")).first()["t"] or 0)
     current = cells.withColumn("weight", F.col("tokens").cast("double"))
     if not total:
         return current
     names = current.columns
+    shares = {name: f"share_{i}" for i, name in enumerate(targets)}
+    for name, target in targets.items():
+        current = current.join(target.select(F.col("category").alias(name), F.col("share").alias(shares[name])), name, "left")
+    current = scratch.write(current)
     for _ in range(rounds):
         moved = current.withColumn("before", F.col("weight"))
-        for name, target in targets.items():
-            sums = moved.groupBy(name).agg(F.sum("weight").alias("m"))
-            factor = sums.join(target.withColumnRenamed("category", name), name, "left").select(
-                name, F.when(F.col("m") > 0, F.coalesce("share", F.lit(0.0)) * total / F.col("m")).otherwise(F.lit(0.0)).alias("f"))
-            moved = moved.join(factor, name).withColumn("weight", F.col("weight") * F.col("f")).drop("f")
+        for name, share in shares.items():
+            moved = moved.withColumn("m", F.sum("weight").over(Window.partitionBy(name)))
+            factor = F.when(F.col("m") > 0, F.coalesce(share, F.lit(0.0)) * total / F.col("m")).otherwise(F.lit(0.0))
+            moved = moved.withColumn("weight", F.col("weight") * factor).drop("m")
         moved = scratch.write(moved)
         change = moved.agg(F.max(F.abs(F.col("weight") - F.col("before"))).alias("d")).first()["d"] / total
-        current = moved.select(*names)
+        current = moved.drop("before")
         if change < tolerance:
-            return current
+            return current.select(*names)
     raise RuntimeError(f"weights of the cells still move after {rounds} rounds")
 
 
