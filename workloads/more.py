@@ -62,9 +62,12 @@ def platform_tags(spark, sf_dir):
         WHEN 2 THEN 'https://app.swapcard.com/event/x' WHEN 3 THEN concat('https://s', c_custkey, '.mapyourshow.com/x') ELSE concat('https://h', c_custkey, '.example.com/') END""")
     html = F.expr("""CASE c_custkey % 5 WHEN 0 THEN 'remote-proxy.cfm?action=search getExhibitorURL searchtype:"exhibitorgallery"'
         WHEN 1 THEN '<div class="expofp-floorplan" data-data-url="data/"></div><script src="data/version.js">' ELSE '<html></html>' END""")
-    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("key"), url.alias("url"), html.alias("html"))
+    keys = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    # written, as filters would move in front of the exchange
+    rows = shared.written(spark, sf_dir, "platform_pages", lambda: shared.spread(spark, keys).select(F.col("c_custkey").alias("key"), url.alias("url"), html.alias("html")))
     data = E.floorplan_data_urls(rows)
-    return rows.join(data, "url", "left").select("key", P.platform("url", "html").alias("platform"), "data_url")
+    tagged = rows.select("key", "url", P.platform("url", "html").alias("platform"))  # before the join, which may end in few tasks
+    return tagged.join(data, "url", "left").select("key", "platform", "data_url")
 
 
 def media_names(spark, sf_dir):

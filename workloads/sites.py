@@ -8,6 +8,8 @@ parameter, or numbered paths that link to each other.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 FIRST = ["Amber", "Boreal", "Cedar", "Delta", "Ember", "Falcon", "Granite", "Harbor", "Indigo", "Juniper", "Keystone",
@@ -103,9 +105,9 @@ def profile_pages(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("profile_url").alias("url"), html.alias("html"))
 
 
-def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def site_pages(spark: SparkSession, sf_dir: str, spread: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     rows = companies(spark, sf_dir)
-    return directory_pages(rows).unionByName(profile_pages(rows))
+    return directory_pages(rows).unionByName(profile_pages(spread(rows)))
 
 
 def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
