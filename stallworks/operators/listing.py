@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from stallworks import rules
 from stallworks.functions import scores as S, text as T, url as U
 from stallworks.functions.binding import let
+from stallworks.session import cut_lineage
 from stallworks.sources import signals as G
 
 KEYS = ["seed_url", "source_kind", "signature", "url_group"]
@@ -166,7 +167,7 @@ def listing_candidates(pages: DataFrame, page: Column | None = None) -> DataFram
     ``page`` names the page where its address does not (answers of a paginator).
     """
     pages = pages.withColumn("page_url", F.col("url") if page is None else page)
-    rows = containers(pages)
+    rows = cut_lineage(containers(pages))  # read for cards and for texts
     return (
         link_candidates(pages)
         .unionByName(container_candidates(rows))
