@@ -40,8 +40,9 @@ def moves(events: DataFrame, initial: DataFrame, allowed: list[tuple[str, str]]
             self.held.update((initialState.status, 0, 0))
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-            status, events, refused = self.held.get() if self.held.exists() else (None, 0, 0)
-            for row in sorted(rows, key=lambda r: (r.ts, r.event_id)):
+            rows = sorted(rows, key=lambda r: (r.ts, r.event_id))
+            status, events, refused = self.held.get() if self.held.exists() else (getattr(rows[0], "stored", None), 0, 0)
+            for row in rows:
                 good = (status, row.new_status) in pairs
                 status, events, refused = (row.new_status if good else status), events + 1, refused + (not good)
                 yield Row(show_id=key[0], event_id=row.event_id, ts=row.ts, new_status=row.new_status, allowed=good, status=status,
@@ -51,8 +52,14 @@ def moves(events: DataFrame, initial: DataFrame, allowed: list[tuple[str, str]]
         def close(self) -> None:
             pass
 
+    if millis is None:  # the stored status comes with the events, so only shows that have some get a state
+        stored = initial.groupBy(F.col("show_id").alias("stored_id")).agg(F.max("status").alias("stored")).hint("merge")
+        known = events.join(stored, F.col("show_id").eqNullSafe(F.col("stored_id")), "left").drop("stored_id")
+        return known.groupBy("show_id").transformWithState(
+            statefulProcessor=Guard(), outputStructType=MOVES, outputMode="Update", timeMode="None")
+    # an expired state must not start from the stored status again, so here every show has its state from the beginning
     return events.groupBy("show_id").transformWithState(
-        statefulProcessor=Guard(), outputStructType=MOVES, outputMode="Update", timeMode="None" if millis is None else "ProcessingTime",
+        statefulProcessor=Guard(), outputStructType=MOVES, outputMode="Update", timeMode="ProcessingTime",
         initialState=initial.select("show_id", "status").groupBy("show_id"))
 
 
