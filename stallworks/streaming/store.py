@@ -181,8 +181,9 @@ class StateStore:
         if not touched:
             return folders
         old = self._registered(version, name, folders).filter(F.col("slot").isin(touched)).drop("slot")
-        kept = old.join(hit.select(layout.key), layout.key, "left_anti")
-        merged = kept if rows is None else kept.unionByName(rows)
+        kept = old.join(hit.select(layout.key).hint("merge"), layout.key, "left_anti")  # a broadcast would give up the buckets
+        # what stays lies in its buckets already: only changed rows are shuffled
+        merged = kept if rows is None else kept.unionByName(rows.repartition(self.buckets, layout.key))
         written = self._write(name, self._shaped(name, merged), folder)
         return {**{k: v for k, v in folders.items() if int(k) not in touched}, **written}
 

@@ -30,8 +30,13 @@ def _streamed(spark, rows, files):
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+#: rows of the larger table in a bucket: a task sorts one bucket at a time, so more rows need more buckets
+BUCKET_ROWS = 2_000_000
+
+
 def _store(spark, sf_dir):
-    store = StateStore(spark, _folder(spark, "state"))
+    buckets = max(8, -(-spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // BUCKET_ROWS))
+    store = StateStore(spark, _folder(spark, "state"), buckets=buckets)
     store.create(shows=shows(spark, sf_dir), runs=runs(spark, sf_dir))
     return store
 
