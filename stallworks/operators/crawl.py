@@ -67,8 +67,8 @@ def seed_hops(pages: DataFrame, signals: DataFrame) -> DataFrame:
     fixed = P.platform("url", "html").isin("mapyourshow", "expofp")
     return (
         pages.select("url", fixed.alias("is_platform"))
-        .join(best_iframe(pages), "url", "left")
-        .join(best_directory_link(G.anchors(signals)), "url", "left")
+        .join(best_iframe(pages).hint("merge"), "url", "left")
+        .join(best_directory_link(G.anchors(signals)).hint("merge"), "url", "left")
     )
 
 
@@ -76,11 +76,12 @@ def _ends(moves: DataFrame, most: int) -> DataFrame:
     """(url, to) -> (url, to, moving): where each page's chain of moves leads, by doubling the length of its jumps.
 
     After k rounds a jump spans 2^k moves.  ``moving`` marks chains that have not ended after ``most`` moves, hence never do.
+    Addresses compress so well that Spark would take tables of pages for small ones and send them through the driver: joins on them are merged.
     """
     jumps, span = moves.select("url", "to"), 1
     while True:
         ahead = jumps.select(F.col("url").alias("to"), F.col("to").alias("further"))
-        jumps = cut_lineage(jumps.join(ahead, "to", "left").select(
+        jumps = cut_lineage(jumps.join(ahead.hint("merge"), "to", "left").select(
             "url", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moving")))
         span *= 2
         if span > most or jumps.filter("moving").isEmpty():
@@ -99,17 +100,17 @@ def resolve_seeds(seeds: DataFrame, hops: DataFrame) -> DataFrame:
     target = F.when(~F.col("is_platform"), F.coalesce("frame_url", "link_url"))
     second = F.when(F.col("link_url") != F.col("frame_url"), F.col("link_url"))
     moves = known.select("url", target.alias("to"), second.alias("second")).filter("to IS NOT NULL")
-    moves = cut_lineage(moves.join(hops.select(F.col("url").alias("to")), "to", "left_semi"))
+    moves = cut_lineage(moves.join(hops.select(F.col("url").alias("to")).hint("merge"), "to", "left_semi"))
     start = seeds.select("seed_url", U.normalize_http_url("seed_url").alias("url"))
     ends = _ends(moves, moves.count())
     circle = cut_lineage(ends.filter("moving").select(F.col("to").alias("url")).distinct())
     if circle.isEmpty():
-        return start.join(ends, "url", "left").select("seed_url", F.coalesce("to", "url").alias("resolved_url"))
+        return start.join(ends.hint("merge"), "url", "left").select("seed_url", F.coalesce("to", "url").alias("resolved_url"))
     # pages of circles end the chains that lead to them; the page before the first one met is the last of the chain
-    outside = moves.join(circle, "url", "left_anti")
+    outside = moves.join(circle.hint("merge"), "url", "left_anti")
     into = _ends(outside, outside.count()).select("url", F.col("to").alias("first")).unionByName(circle.withColumn("first", F.col("url")))
-    before = moves.join(circle, "url", "left_semi").select(F.col("to").alias("first"), F.col("url").alias("last"), "second")
-    found = cut_lineage(start.join(into, "url", "left").join(before, "first", "left").select(
+    before = moves.join(circle.hint("merge"), "url", "left_semi").select(F.col("to").alias("first"), F.col("url").alias("last"), "second")
+    found = cut_lineage(start.join(into.hint("merge"), "url", "left").join(before.hint("merge"), "first", "left").select(
         "seed_url", F.coalesce("last", "first", "url").alias("resolved_url"), F.coalesce(F.col("second").isNotNull(), F.lit(False)).alias("open")))
     left = found.filter("open").select("seed_url")
     settled = found.filter("NOT open").select("seed_url", "resolved_url")

@@ -26,7 +26,7 @@ CANDIDATE = ["seed_url", "directory_page", "visit_no", "page_url", "company_name
 
 def profile_table(urls: DataFrame, pages: DataFrame, signals: DataFrame) -> DataFrame:
     """(profile_url, website_url) of the pages with these addresses (column ``url``), each read once."""
-    profiles = signals.join(urls.select("url").distinct(), "url", "left_semi")
+    profiles = signals.join(urls.select("url").distinct().hint("merge"), "url", "left_semi")
     return websites.profile_websites(profiles, websites.scripted_websites(pages))
 
 
@@ -215,8 +215,8 @@ def directory_run(seeds: DataFrame, pages: DataFrame, signals: DataFrame, **opti
     """
     hops = cut_lineage(crawl.seed_hops(pages, signals))
     resolved = crawl.resolve_seeds(seeds.select("seed_url").distinct(), hops)
-    asked = seeds.select("seed_url", "start_page", "end_page").dropDuplicates(["seed_url"]).join(resolved, "seed_url", "left")
-    asked = asked.join(hops.select(F.col("url").alias("resolved_url"), F.lit(True).alias("held")), "resolved_url", "left")
+    asked = seeds.select("seed_url", "start_page", "end_page").dropDuplicates(["seed_url"]).join(resolved.hint("merge"), "seed_url", "left")
+    asked = asked.join(hops.select(F.col("url").alias("resolved_url"), F.lit(True).alias("held")).hint("merge"), "resolved_url", "left")
     empty = F.greatest(F.coalesce("start_page", F.lit(1)), F.lit(1)) > F.col("end_page")
     refused = F.when(F.col("held").isNull(), UNKNOWN).when(empty, EMPTY_RANGE)
     asked = cut_lineage(asked.withColumn("refused", refused))
@@ -224,12 +224,12 @@ def directory_run(seeds: DataFrame, pages: DataFrame, signals: DataFrame, **opti
     none = F.lit(None).cast("int")
     places = cut_lineage(good.select(F.col("resolved_url").alias("seed_url")).distinct().withColumns({"start_page": none, "end_page": none}))
     candidates = cut_lineage(directory_candidates(places, pages, signals, **options))
-    mine = good.select("seed_url", "resolved_url").join(candidates.withColumnRenamed("seed_url", "resolved_url"), "resolved_url").drop("resolved_url")
+    mine = good.select("seed_url", "resolved_url").hint("merge").join(candidates.withColumnRenamed("seed_url", "resolved_url"), "resolved_url").drop("resolved_url")
     limits = good.select("seed_url", "start_page", "end_page", none.alias("max_pages"))
-    kept = cut_lineage(page_range(mine, limits)[0])
+    kept = cut_lineage(page_range(mine, limits.hint("merge"))[0])
     entries = cut_lineage(directory_entries(kept))
     counts = entries.groupBy("seed_url").agg(F.count("*").alias("entries"))
-    outcomes = asked.join(counts, "seed_url", "left").select(
+    outcomes = asked.join(counts.hint("merge"), "seed_url", "left").select(
         "seed_url", "resolved_url", F.coalesce("entries", F.lit(0)).alias("entries"),
         F.coalesce("refused", F.when(F.col("entries").isNull(), NO_ENTRIES)).alias("error"))
     return Run(entries, outcomes, data_titles(kept))
