@@ -19,15 +19,25 @@ def first_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFra
     return rows.groupBy(*keys).agg(F.min_by(F.struct(*others), F.struct(*order)).alias("first")).select(*keys, "first.*")
 
 
-def number_rows(rows: DataFrame, group: str, chunk: list[str], order: list[str], out: str) -> DataFrame:
+def number_rows(rows: DataFrame, group: str, chunk: list[str], order: list[str], out: str, last: str | None = None, tasks: int | None = None) -> DataFrame:
     """Dense 0-based numbers per group in (chunk, order), without one task per group.
 
     Rows are numbered inside their chunk (one page of a directory: bounded by a
     document); only one count per chunk is put in order over the whole group.
+    ``last`` names a column for the greatest number of the group; ``tasks`` deals rows
+    and counts to that many tasks, however many partitions the session sets.
     """
+    if tasks is not None:
+        rows = rows.repartition(tasks, group, *chunk)
     sizes = rows.groupBy(group, *chunk).agg(F.count("*").alias("chunk_size"))
-    before = Window.partitionBy(group).orderBy(*chunk).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(group, *chunk, F.coalesce(F.sum("chunk_size").over(before), F.lit(0)).alias("offset"))
+    if tasks is not None:
+        sizes = sizes.repartition(tasks, group)
+    whole = Window.partitionBy(group)
+    before = whole.orderBy(*chunk).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(
+        group, *chunk, F.coalesce(F.sum("chunk_size").over(before), F.lit(0)).alias("offset"),
+        *([] if last is None else [(F.sum("chunk_size").over(whole) - 1).alias(last)]),
+    )
     inside = Window.partitionBy(group, *chunk).orderBy(*order)
     numbered = rows.withColumn("place", F.row_number().over(inside))
     return numbered.join(offsets, [group, *chunk]).withColumn(out, F.col("offset") + F.col("place") - 1).drop(

@@ -10,6 +10,15 @@ from stallworks.operators.entries import number_rows
 PAYLOAD_FIELDS = ["show_id", "show_name", "show_date", "show_day", "show_year", "show_date_pretty", "show_place",
                   "scraped_at", "source_url"]
 
+#: rows of export and shows in a task: more rows make more tasks, not larger ones
+TASK_ROWS = 200_000
+
+
+def row_tasks(*tables: DataFrame) -> int:
+    """Tasks that share the rows of the tables."""
+    cores = tables[0].sparkSession.sparkContext.defaultParallelism
+    return max(cores, -(-sum(t.count() for t in tables) // TASK_ROWS))
+
 
 def show_fields(shows: DataFrame, scraped_at: str) -> DataFrame:
     """The nine fields that each delivered row carries about its show, all text."""
@@ -28,12 +37,19 @@ def show_fields(shows: DataFrame, scraped_at: str) -> DataFrame:
     )
 
 
-def delivery_rows(export: DataFrame, shows: DataFrame, scraped_at: str) -> DataFrame:
-    """Export rows with the fields of their show; on a name clash the show's field stays."""
+def delivery_rows(export: DataFrame, shows: DataFrame, scraped_at: str, tasks: int | None = None) -> DataFrame:
+    """Export rows with the fields of their show; on a name clash the show's field stays.
+
+    ``tasks`` sets how many tasks a join by shuffle takes.  Then only shows that one task could hold may be broadcast: Spark
+    judges by the size of compressed files.
+    """
     own = [c for c in export.columns if c == "show_id" or c not in PAYLOAD_FIELDS]
-    return export.select(*own).withColumn("show_id", F.col("show_id").cast("string")).join(
-        show_fields(shows, scraped_at), "show_id"
-    )
+    fields = show_fields(shows, scraped_at)
+    if tasks is not None:
+        fields = fields.repartition(tasks, "show_id")
+        if shows.count() > TASK_ROWS:
+            fields = fields.hint("merge")
+    return export.select(*own).withColumn("show_id", F.col("show_id").cast("string")).join(fields, "show_id")
 
 
 def delivery_payload(export: DataFrame, shows: DataFrame, scraped_at: str) -> DataFrame:
@@ -47,18 +63,22 @@ def delivery_body(export: DataFrame, shows: DataFrame, scraped_at: str, key: str
 
     The texts of a show's parts, one after another, are its one body; no part holds more than ``part_rows``
     records, so a show of any size is never gathered.  Records are in the order of ``key``, then of their ids, which come from the row,
-    hence reruns give the same ones.
+    hence reruns give the same ones.  The tasks of every step grow with the rows.
     """
-    rows = delivery_rows(export, shows, scraped_at)
+    tasks = row_tasks(export, shows)
+    rows = delivery_rows(export, shows, scraped_at, tasks)
     digest = F.substring(F.sha2(F.to_json(F.struct("show_id", key, *[c for c in rows.columns if c not in ("show_id", key)])), 256), 1, 12)
     record = F.struct(
         F.concat(F.lit("show-"), F.col("show_id"), F.lit("-"), digest).alias("id"),
         F.struct(*[c for c in rows.columns if c != key]).alias("cells"),
     )
-    placed = rows.select("show_id", key, digest.alias("digest"), F.to_json(record).alias("record"), F.floor(F.col(key) / part_rows).alias("chunk"))
-    placed = number_rows(placed, "show_id", ["chunk"], [key, "digest"], "n")
-    sizes = placed.groupBy("show_id").agg(F.max("n").alias("last"))
-    parts = placed.join(sizes, "show_id").groupBy("show_id", F.floor(F.col("n") / part_rows).alias("part_no"), "last").agg(
+    placed = rows.select("show_id", key, F.to_json(record).alias("record"), F.floor(F.col(key) / part_rows).alias("chunk"))
+    # records of one show differ first in their ids, so their texts sort as the ids do
+    placed = number_rows(placed, "show_id", ["chunk"], [key, "record"], "n", last="last", tasks=tasks)
+    placed = placed.select("show_id", F.floor(F.col("n") / part_rows).alias("part_no"), "last", "n", "record")
+    # neighbouring parts of a show go together as far as one task may hold them
+    block = F.floor(F.col("part_no") / max(1, TASK_ROWS // part_rows)).alias("block")
+    parts = placed.select("*", block).repartition(tasks, "show_id", "block").groupBy("show_id", "block", "part_no", "last").agg(
         F.sort_array(F.collect_list(F.struct("n", "record"))).alias("records"))
     joined = F.array_join(F.transform("records", lambda r: r["record"]), ",")
     first, final = F.col("part_no") == 0, F.col("part_no") == F.floor(F.col("last") / part_rows)

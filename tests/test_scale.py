@@ -1,11 +1,14 @@
 """Work is dealt out by rows, and a commit shuffles only what it changes."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from stallworks.operators import listing
+from stallworks.sinks import payloads
 from stallworks.streaming import status
 from stallworks.streaming.store import Change, Layout, StateStore
-from workloads import shared
+from workloads import campaigns, shared
 
 
 def test_spread_parts_grow_with_rows(spark, monkeypatch):
@@ -59,3 +62,27 @@ def test_containers_are_cut_once(spark, monkeypatch):
     pages = spark.createDataFrame([("https://a.example.com/x", "<p>x</p>")], "url string, html string")
     listing.listing_candidates(G.page_signals(pages).withColumn("seed_url", F.col("url")))
     assert len(calls) == 1 and "actions" in calls[0]
+
+
+def test_body_tasks_grow_with_rows(spark, tmp_path, monkeypatch):
+    orders = spark.range(40).select(F.col("id").alias("o_orderkey"), F.lit(7).alias("o_custkey"), F.lit("2026-01-01").cast("date").alias("o_orderdate"))
+    lines = spark.range(260).select(F.greatest(F.col("id") - 220, F.lit(0)).alias("l_orderkey"), F.col("id").alias("l_partkey"), F.lit(1).alias("l_suppkey"))
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(payloads, "TASK_ROWS", 10, raising=False)
+    bodies = campaigns.delivery_batches(spark, str(tmp_path))
+    plan = bodies._jdf.queryExecution().executedPlan().toString()
+    assert set(re.findall(r"hashpartitioning\(.*?, (\d+)\)", plan)) == {"30"}  # 300 rows, ten in a task, whatever the session sets
+    assert "BroadcastExchange" not in plan  # more shows than one task takes
+    got = {r.show_id: (r.parts, r.records, r.ids, r.first_company) for r in bodies.collect()}
+    assert got == {str(k): (74, 221, 221, "Company 0") if k == 0 else (1, 1, 1, f"Company {k + 220}") for k in range(40)}
+
+
+def test_a_crowded_body_lies_in_several_tasks(spark, monkeypatch):
+    export = spark.createDataFrame([(1, i, "Co") for i in range(200)], "show_id long, sort_index long, company_name string")
+    shows = spark.createDataFrame([(1, "A")], "id long, name string").select("id", "name", F.lit("2026-01-01").cast("date").alias("event_date"), F.lit("P").alias("place"), F.lit("u").alias("source_url"))
+    whole = {(r.part_no, r.text) for r in payloads.delivery_body(export, shows, "now", part_rows=4).collect()}
+    monkeypatch.setattr(payloads, "TASK_ROWS", 20, raising=False)
+    parts = payloads.delivery_body(export, shows, "now", part_rows=4).select("*", F.spark_partition_id().alias("task")).collect()
+    assert len({r.task for r in parts}) > 1
+    assert len(whole) == 50 and {(r.part_no, r.text) for r in parts} == whole

@@ -207,7 +207,8 @@ def delivery_payload(spark, sf_dir):
 
 def delivery_batches(spark, sf_dir):
     """The body of every show, put together from its parts of three records."""
-    parts = L.delivery_body(export_table(spark, sf_dir), shows(spark, sf_dir), SCRAPED_AT, part_rows=3)
+    export, all_shows = export_table(spark, sf_dir), shows(spark, sf_dir)
+    parts = L.delivery_body(export, all_shows, SCRAPED_AT, part_rows=3).repartition(L.row_tasks(export, all_shows), "show_id")
     whole = parts.groupBy("show_id").agg(F.count("*").alias("parts"), F.sort_array(F.collect_list(F.struct("part_no", "text"))).alias("all"))
     rows = whole.withColumn("body", F.array_join(F.transform("all", lambda p: p["text"]), ""))
     records = F.from_json("body", "records array<struct<id string, cells map<string, string>>>")["records"]
