@@ -11,7 +11,7 @@ PAYLOAD_FIELDS = ["show_id", "show_name", "show_date", "show_day", "show_year",
                   "scraped_at", "source_url"]
 
 #: rows of export and shows in a task: more rows make more tasks, not larger ones
-TASK_ROWS = 200_000
+TASK_ROWS = 250_000
 
 
 def row_tasks(*tables: DataFrame) -> int:
