@@ -33,10 +33,11 @@ def page_rows(seeds: DataFrame, signals: DataFrame) -> DataFrame:
     """Signals of all pages that may belong to the listing of a seed: one equi join.
 
     Every way of numbering pages stays inside this table, so each page is
-    analysed once, whatever steps ask for it later.
+    analysed once, whatever steps ask for it later.  ``signals`` may bring the column ``listing``.
     """
     keyed = seeds.select("seed_url", listing_key("seed_url").alias("listing"))
-    return keyed.join(signals.withColumn("listing", listing_key("url")), "listing").drop("listing")
+    known = signals if "listing" in signals.columns else signals.withColumn("listing", listing_key("url"))
+    return keyed.join(known, "listing").drop("listing")
 
 
 # --- from the asked address to the directory itself --------------------------
@@ -48,18 +49,31 @@ def best_iframe(pages: DataFrame) -> DataFrame:
     return scored.groupBy("url").agg(F.max_by("src", F.struct("score", -F.col("pos"))).alias("frame_url"))
 
 
+LEAST_PROMISE, SAME_SITE = 60, 20.0
+
+
+def may_promise(anchor: Column) -> Column:
+    """Could this bare anchor be a page's best directory link?  Labels tell more than they cost, addresses do not."""
+    title, label = anchor["title_attr"], anchor["aria_label"]
+    # no label without one of these words has points enough
+    worded = F.lower(F.concat_ws(" ", anchor["text"], title, label)).rlike(U.any_of(["participating", *rules.DISCOVERY_WORDS]))
+    scores = [S.discovery_label_score(c) for c in (T.display_text(anchor["text"], title, label), title, label)]
+    return worded & (F.greatest(*scores) >= LEAST_PROMISE - SAME_SITE)
+
+
 def best_directory_link(links: DataFrame) -> DataFrame:
     """Link whose label best promises the directory of participants, per page."""
     labels = [S.discovery_label_score(c) for c in ("display_text", "title_attr", "aria_label")]
     current = U.normalize_http_url("url")
     score = F.greatest(*labels) + F.when(F.col("absolute_url") == current, -10.0).when(
-        U.same_site("absolute_url", "url"), 20.0
+        U.same_site("absolute_url", "url"), SAME_SITE
     ).otherwise(0.0)
-    scored = links.filter(~U.looks_like_asset("absolute_url")).withColumn("score", score).filter("score IS NOT NULL")
+    # links without a score come last; a filter on the score would work it out twice
+    scored = links.filter(~U.looks_like_asset("absolute_url")).withColumn("score", score)
     best = scored.groupBy("url").agg(
         F.max(F.struct("score", (-F.col("ord")).alias("place"), "absolute_url")).alias("best")
     )
-    return best.filter("best.score >= 60").select("url", F.col("best.absolute_url").alias("link_url"))
+    return best.filter(F.col("best.score") >= LEAST_PROMISE).select("url", F.col("best.absolute_url").alias("link_url"))
 
 
 def seed_hops(pages: DataFrame, signals: DataFrame) -> DataFrame:
@@ -68,25 +82,27 @@ def seed_hops(pages: DataFrame, signals: DataFrame) -> DataFrame:
     return (
         pages.select("url", fixed.alias("is_platform"))
         .join(best_iframe(pages).hint("merge"), "url", "left")
-        .join(best_directory_link(G.anchors(signals)).hint("merge"), "url", "left")
+        .join(best_directory_link(G.anchors(signals, worth=may_promise)).hint("merge"), "url", "left")
     )
 
 
-def _ends(moves: DataFrame, most: int) -> DataFrame:
+def _ends(moves: DataFrame) -> DataFrame:
     """(url, to) -> (url, to, moving): where each page's chain of moves leads, by doubling the length of its jumps.
 
-    After k rounds a jump spans 2^k moves.  ``moving`` marks chains that have not ended after ``most`` moves, hence never do.
+    After k rounds a jump spans 2^k moves, and chains that have ended take no part any more.  Where a round leads the others to
+    as many pages as the round before, these pages are their own targets, hence circles: ``moving`` marks the chains that run into them.
+    So the longest way to an end or into a circle and once around it sets the number of rounds, not the number of pages.
     Addresses compress so well that Spark would take tables of pages for small ones and send them through the driver: joins on them are merged.
     """
-    jumps, span = moves.select("url", "to"), 1
+    jumps, reached = moves.select("url", "to", F.lit(True).alias("moving")), None
     while True:
-        ahead = jumps.select(F.col("url").alias("to"), F.col("to").alias("further"))
-        jumps = cut_lineage(jumps.join(ahead.hint("merge"), "to", "left").select(
-            "url", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moving")))
-        span *= 2
-        if span > most or jumps.filter("moving").isEmpty():
+        ahead = jumps.select(F.col("url").alias("to"), F.col("to").alias("further"), F.col("moving").alias("on"))
+        farther = jumps.filter("moving").join(ahead.hint("merge"), "to", "left").select(
+            "url", F.coalesce("further", "to").alias("to"), F.coalesce("on", F.lit(False)).alias("moving"))
+        jumps = cut_lineage(farther.unionByName(jumps.filter("NOT moving")))
+        before, reached = reached, jumps.filter("moving").select("to").distinct().count()
+        if reached in (0, before):
             return jumps
-        jumps = jumps.select("url", "to")
 
 
 def resolve_seeds(seeds: DataFrame, hops: DataFrame) -> DataFrame:
@@ -102,13 +118,14 @@ def resolve_seeds(seeds: DataFrame, hops: DataFrame) -> DataFrame:
     moves = known.select("url", target.alias("to"), second.alias("second")).filter("to IS NOT NULL")
     moves = cut_lineage(moves.join(hops.select(F.col("url").alias("to")).hint("merge"), "to", "left_semi"))
     start = seeds.select("seed_url", U.normalize_http_url("seed_url").alias("url"))
-    ends = _ends(moves, moves.count())
+    ends = _ends(moves)
     circle = cut_lineage(ends.filter("moving").select(F.col("to").alias("url")).distinct())
     if circle.isEmpty():
         return start.join(ends.hint("merge"), "url", "left").select("seed_url", F.coalesce("to", "url").alias("resolved_url"))
     # pages of circles end the chains that lead to them; the page before the first one met is the last of the chain
-    outside = moves.join(circle.hint("merge"), "url", "left_anti")
-    into = _ends(outside, outside.count()).select("url", F.col("to").alias("first")).unionByName(circle.withColumn("first", F.col("url")))
+    ended, caught = ends.filter("NOT moving"), ends.filter("moving").select("url").distinct().join(circle.hint("merge"), "url", "left_anti")
+    outside = moves.join(caught.hint("merge"), "url", "left_semi")
+    into = ended.unionByName(_ends(outside)).select("url", F.col("to").alias("first")).unionByName(circle.withColumn("first", F.col("url")))
     before = moves.join(circle.hint("merge"), "url", "left_semi").select(F.col("to").alias("first"), F.col("url").alias("last"), "second")
     found = cut_lineage(start.join(into.hint("merge"), "url", "left").join(before.hint("merge"), "first", "left").select(
         "seed_url", F.coalesce("last", "first", "url").alias("resolved_url"), F.coalesce(F.col("second").isNotNull(), F.lit(False)).alias("open")))
@@ -315,7 +332,7 @@ def explicit_pages(
     ``seeds`` has start_page and end_page (NULL where not asked).
     """
     totals = pages.select(F.col("url").alias("seed_url"), P.total_pages("html").alias("total")).filter("total > 1")
-    stated = seeds.join(totals, "seed_url")
+    stated = cut_lineage(seeds.join(totals, "seed_url"))
     patterns = page_url_patterns(stated).withColumn("page_url", page_url(F.col("param"), F.lit(2)))
     # every pattern is probed as a seed of its own, so that one pass serves all
     probes = patterns.select("seed_url", F.col("priority").alias("directory_page"), "page_url")
@@ -329,7 +346,7 @@ def explicit_pages(
     verdict = same_url_set(found, expected, key="probe").filter("n_a > 0 AND NOT same_set")
     best = verdict.groupBy(F.col("probe.seed_url").alias("seed_url")).agg(F.min("probe.priority").alias("priority"))
     # pages behind the last one that the snapshot may hold are all empty
-    held = page_rows(stated, known.select("url")).groupBy("seed_url").agg(
+    held = page_rows(stated, known).groupBy("seed_url").agg(
         F.greatest(F.coalesce(F.max(U.page_number("url")), F.lit(1)), F.count("*")).alias("last_page"))
     stated = stated.join(held, "seed_url", "left").withColumn("total", F.least("total", F.coalesce("last_page", F.lit(1))))
     start, end = _range_end(F.col("total"))
@@ -364,7 +381,7 @@ def query_probe_pages(seeds: DataFrame, params: DataFrame, known: DataFrame, max
     Numbers behind the last page that the snapshot holds of a listing are left
     out: those pages are all empty.
     """
-    last = page_rows(seeds.join(params, "seed_url", "left_semi"), known.select("url")).groupBy("seed_url").agg(
+    last = page_rows(seeds.join(params, "seed_url", "left_semi"), known).groupBy("seed_url").agg(
         F.coalesce(F.max(U.page_number("url")), F.lit(1)).alias("last_page")
     )
     start = F.greatest(F.coalesce("start_page", F.lit(1)), F.lit(1)).cast("bigint")

@@ -50,7 +50,8 @@ def company_links(links: DataFrame, seed: str = "seed_url") -> DataFrame:
 def link_candidates(pages: DataFrame) -> DataFrame:
     """Candidates from anchors and from other navigable actions (page rows with ``page_url``)."""
     keep = ("seed_url", "page_url")
-    links = G.anchors(pages, *keep).unionByName(G.non_anchor_actions(G.actions(pages, *keep)))
+    outside = lambda a: ~(a["in_header"] | a["in_footer"] | a["in_nav"])
+    links = G.anchors(pages, *keep, worth=outside).unionByName(G.non_anchor_actions(G.actions(pages, *keep, worth=outside)))
     return company_links(links).select(
         *PAGE, "source_kind", "signature",
         U.url_group("absolute_url").alias("url_group"),

@@ -45,19 +45,20 @@ def seed_strategies(seeds: DataFrame, candidates: DataFrame, profiles: DataFrame
 
 def listing_entries(
     seeds: DataFrame, pages: DataFrame, signals: DataFrame, candidates: DataFrame, profiles: DataFrame,
-    fragments: DataFrame | None = None, max_pages: int | None = None,
+    fragments: DataFrame | None = None, max_pages: int | None = None, own: DataFrame | None = None,
 ) -> DataFrame:
     """Entries found by the chosen listing strategy over all pages of each directory.
 
-    ``candidates``: listing candidates of all pages that may belong to a seed;
+    ``candidates``: listing candidates of all pages that may belong to a seed; ``own``: signals of these pages;
     ``profiles``: (profile_url, website_url).  Each seed goes one way: stated
     page total, scripted paginator, page parameter, or links between pages.
     """
     chosen, seed_entries = seed_strategies(seeds, candidates, profiles)
     seeds = seeds.join(chosen.select("seed_url"), "seed_url", "left_semi")
-    known = signals.select("url")
+    known = cut_lineage(signals.select("url", crawl.listing_key("url").alias("listing")))
     seed_pages = pages.join(seeds.select(F.col("seed_url").alias("url")), "url", "left_semi")
-    links = cut_lineage(G.anchors(crawl.page_rows(seeds, signals), "seed_url"))
+    own = crawl.page_rows(seeds, signals) if own is None else own.join(seeds.select("seed_url"), "seed_url", "left_semi")
+    links = cut_lineage(G.anchors(own, "seed_url"))
 
     explicit = cut_lineage(crawl.explicit_pages(seeds, seed_pages, known, candidates, chosen, seed_entries))
     rest = seeds.join(explicit.select("seed_url"), "seed_url", "left_anti")
@@ -147,7 +148,8 @@ def directory_candidates(
     Sources that need no other page are read first; only seeds that none of them
     serves go on to the costlier ones.
     """
-    seed_pages = pages.join(seeds.select(F.col("seed_url").alias("url")), "url", "left_semi")
+    # written down: a filter on what is read from a text goes below the join, to the texts of all pages
+    seed_pages = cut_lineage(pages.join(seeds.select(F.col("seed_url").alias("url")), "url", "left_semi"))
     as_seed = lambda df: df.withColumnRenamed("url", "seed_url")
     found = []
     if search_payloads is not None:
@@ -170,10 +172,11 @@ def directory_candidates(
         direct = cut_lineage(best_source(reduce(DataFrame.unionByName, parts)).drop("priority"))
         rest = cut_lineage(seeds.join(direct.select("seed_url"), "seed_url", "left_anti"))
         out.append(direct)
-    candidates = cut_lineage(listing.listing_candidates(crawl.page_rows(rest, signals)))
+    own = cut_lineage(crawl.page_rows(rest, signals))
+    candidates = cut_lineage(listing.listing_candidates(own))
     profiles = cut_lineage(profile_table(candidates.filter("page_url = seed_url"), pages, signals))
     listed = cut_lineage(
-        listing_entries(rest, pages, signals, candidates, profiles, fragments, max_pages)
+        listing_entries(rest, seed_pages, signals, candidates, profiles, fragments, max_pages, own)
     )
     out.append(listed)
     if marks["state"]:
@@ -210,7 +213,8 @@ class Run(NamedTuple):
 def directory_run(seeds: DataFrame, pages: DataFrame, signals: DataFrame, **options) -> Run:
     """The whole way for every asked seed (seed_url, start_page, end_page): resolve it, read its directory, keep its pages.
 
-    Seeds that lead to the same directory share its analysis.  Page ranges hold for every kind of source.
+    Seeds that lead to the same directory share its analysis, those that ask for the same of its pages also their entries.  Page
+    ranges hold for every kind of source.
     ``options`` go to ``directory_candidates``.
     """
     hops = cut_lineage(crawl.seed_hops(pages, signals))
@@ -219,17 +223,26 @@ def directory_run(seeds: DataFrame, pages: DataFrame, signals: DataFrame, **opti
     asked = asked.join(hops.select(F.col("url").alias("resolved_url"), F.lit(True).alias("held")).hint("merge"), "resolved_url", "left")
     empty = F.greatest(F.coalesce("start_page", F.lit(1)), F.lit(1)) > F.col("end_page")
     refused = F.when(F.col("held").isNull(), UNKNOWN).when(empty, EMPTY_RANGE)
-    asked = cut_lineage(asked.withColumn("refused", refused))
+    first = F.greatest(F.coalesce("start_page", F.lit(1)), F.lit(1)).alias("start_page")
+    asked = asked.withColumn("refused", refused)
+    asked = cut_lineage(asked.withColumn("share", F.when(F.col("refused").isNull(), F.to_json(F.struct("resolved_url", first, "end_page")))))
     good = asked.filter("refused IS NULL")
     none = F.lit(None).cast("int")
     places = cut_lineage(good.select(F.col("resolved_url").alias("seed_url")).distinct().withColumns({"start_page": none, "end_page": none}))
     candidates = cut_lineage(directory_candidates(places, pages, signals, **options))
-    mine = good.select("seed_url", "resolved_url").hint("merge").join(candidates.withColumnRenamed("seed_url", "resolved_url"), "resolved_url").drop("resolved_url")
-    limits = good.select("seed_url", "start_page", "end_page", none.alias("max_pages"))
+    shares = cut_lineage(good.select(F.col("share").alias("seed_url"), "resolved_url", first, "end_page").distinct())
+    mine = shares.select("seed_url", "resolved_url").hint("merge").join(candidates.withColumnRenamed("seed_url", "resolved_url"), "resolved_url").drop("resolved_url")
+    limits = shares.select("seed_url", "start_page", "end_page", none.alias("max_pages"))
     kept = cut_lineage(page_range(mine, limits.hint("merge"))[0])
     entries = cut_lineage(directory_entries(kept))
-    counts = entries.groupBy("seed_url").agg(F.count("*").alias("entries"))
-    outcomes = asked.join(counts.hint("merge"), "seed_url", "left").select(
+    counts = entries.groupBy(F.col("seed_url").alias("share")).agg(F.count("*").alias("entries"))
+    outcomes = asked.join(counts.hint("merge"), "share", "left").select(
         "seed_url", "resolved_url", F.coalesce("entries", F.lit(0)).alias("entries"),
         F.coalesce("refused", F.when(F.col("entries").isNull(), NO_ENTRIES)).alias("error"))
-    return Run(entries, outcomes, data_titles(kept))
+
+    def of_seeds(rows: DataFrame) -> DataFrame:
+        """Rows of a share for each of its seeds."""
+        found = good.select("seed_url", "share").hint("merge").join(rows.withColumnRenamed("seed_url", "share"), "share")
+        return found.select("seed_url", *(c for c in rows.columns if c != "seed_url"))
+
+    return Run(of_seeds(entries), outcomes, of_seeds(data_titles(kept)))

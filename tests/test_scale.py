@@ -4,8 +4,11 @@ import re
 
 from pyspark.sql import functions as F
 
-from stallworks.operators import listing
+from stallworks import session
+from stallworks.operators import crawl, listing
+from stallworks.plans import directory
 from stallworks.sinks import payloads
+from stallworks.sources import signals as G
 from stallworks.streaming import status
 from stallworks.streaming.store import Change, Layout, StateStore
 from workloads import campaigns, shared
@@ -86,3 +89,37 @@ def test_a_crowded_body_lies_in_several_tasks(spark, monkeypatch):
     parts = payloads.delivery_body(export, shows, "now", part_rows=4).select("*", F.spark_partition_id().alias("task")).collect()
     assert len({r.task for r in parts}) > 1
     assert len(whole) == 50 and {(r.part_no, r.text) for r in parts} == whole
+
+
+def test_circles_do_not_wait_for_all_pages(spark, monkeypatch):
+    chains = spark.range(2000).select(F.concat(F.lit("https://p"), F.col("id").cast("string"), F.lit(".org/")).alias("url"), F.lit(False).alias("is_platform"),
+                                      F.lit(None).cast("string").alias("frame_url"), F.concat(F.lit("https://p"), (F.col("id") + F.when(F.col("id") < 3, F.when(F.col("id") == 2, -2).otherwise(1)).when(F.col("id") % 2 == 0, 1)).cast("string"), F.lit(".org/")).alias("link_url"))
+    hops = session.cut_lineage(chains)
+    calls = []
+    monkeypatch.setattr(crawl, "cut_lineage", lambda rows: calls.append(1) or session.cut_lineage(rows))
+    got = {r.seed_url: r.resolved_url for r in crawl.resolve_seeds(hops.select(F.col("url").alias("seed_url")), hops).collect()}
+    page = "https://p{}.org/".format
+    assert got == {page(i): page((i + 2) % 3 if i < 3 else i + 1 if i % 2 == 0 else i) for i in range(2000)}
+    assert len(calls) <= 8  # not one for every doubling up to the number of pages
+
+
+def test_seeds_of_one_directory_share_its_entries(spark, monkeypatch):
+    cards = "".join(f'<li class="card"><a class="name" href="/list/company/{i}">{name} Works</a></li>' for i, name in enumerate(("Amber", "Cedar", "Delta", "Ember")))
+    gates = [(f"https://gate{i}.org/", '<main><a href="https://expo.org/list">Exhibitors</a></main>') for i in range(12)]
+    pages = session.cut_lineage(spark.createDataFrame([("https://expo.org/list", f"<main><ul>{cards}</ul></main>"), *gates], "url string, html string"))
+    seeds = spark.createDataFrame([(url, None if i % 3 else 1, 0 if i == 11 else None) for i, (url, _) in enumerate(gates)], "seed_url string, start_page int, end_page int")
+    ranged, page_range = [], directory.page_range
+    monkeypatch.setattr(directory, "page_range", lambda entries, limits: ranged.append(entries.count()) or page_range(entries, limits))
+    run = directory.directory_run(seeds, pages, session.cut_lineage(G.page_signals(pages)))
+    assert ranged == [4]
+    assert {r.seed_url: (r.entries, r.error) for r in run.outcomes.collect()} == {url: (4, None) if i < 11 else (0, directory.EMPTY_RANGE) for i, (url, _) in enumerate(gates)}
+    found = sorted((r.seed_url, r.sort_index, r.company_name) for r in run.entries.collect())
+    assert found == sorted((url, n, f"{name} Works") for url, _ in gates[:11] for n, name in enumerate(("Amber", "Cedar", "Delta", "Ember")))
+
+
+def test_addresses_are_resolved_once(spark):
+    pages = spark.createDataFrame([("https://a.org/", '<a href="/x">X</a>')], "url string, html string")
+    links = G.anchors(session.cut_lineage(G.page_signals(pages)))
+    resolved = lambda rows: rows._jdf.queryExecution().optimizedPlan().toString().count(".href")
+    assert links.collect()[0].absolute_url == "https://a.org/x"
+    assert resolved(links) == resolved(links.filter("absolute_url <> url").filter("length(absolute_url) > 3")) > 0
