@@ -123,3 +123,25 @@ def test_addresses_are_resolved_once(spark):
     resolved = lambda rows: rows._jdf.queryExecution().optimizedPlan().toString().count(".href")
     assert links.collect()[0].absolute_url == "https://a.org/x"
     assert resolved(links) == resolved(links.filter("absolute_url <> url").filter("length(absolute_url) > 3")) > 0
+
+
+def _export(spark):
+    export = spark.createDataFrame([(1, i, "Co") for i in range(200)] + [(2, i, "Co") for i in (7, 3, None, 3)] + [(3, 5, "A"), (3, 5, "B"), (4, 1, "No show"), (None, 1, "None")], "show_id long, sort_index long, company_name string")
+    shows = spark.createDataFrame([(1, "A"), (2, "B"), (3, "C"), (3, "D"), (5, "E")], "id long, name string")
+    return export, shows.select("id", "name", F.lit("2026-01-01").cast("date").alias("event_date"), F.lit("P").alias("place"), F.lit("u").alias("source_url"))
+
+
+def test_bodies_are_dealt_out_once(spark):
+    parts = payloads.delivery_body(*_export(spark), "now", part_rows=4)
+    plan = parts.groupBy("show_id").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2  # the export and, at most, the shows
+
+
+def test_crowded_and_other_shows_have_the_same_parts(spark, monkeypatch):
+    export, shows = _export(spark)
+    whole = sorted((r.show_id, r.part_no, r.text) for r in payloads.delivery_body(export, shows, "now", part_rows=4).collect())
+    monkeypatch.setattr(payloads, "TASK_ROWS", 20)
+    assert payloads.crowded_shows(export) == ["1"]
+    assert sorted((r.show_id, r.part_no, r.text) for r in payloads.delivery_body(export, shows, "now", part_rows=4).collect()) == whole
+    monkeypatch.setattr(payloads, "crowded_shows", lambda export: ["1", "2", "3", "4"])
+    assert sorted((r.show_id, r.part_no, r.text) for r in payloads.delivery_body(export, shows, "now", part_rows=4).collect()) == whole
